@@ -1,13 +1,17 @@
 """The registered queries of the training-data operators; ORACLE_SQL holds DuckDB SQL where it can say the same."""
 
 from placeloom.llm.chat import OP10_SQL, op10_chat_formatting
+from placeloom.llm.exact import OP1_SQL, op1_exact_dedup
 from placeloom.llm.mixing import OP5_SQL, op5_mixing
+from placeloom.llm.quality_rules import OP9_SQL, op9_quality_rules
 from placeloom.llm.sharding import op7_sharding
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op5_mixing": op5_mixing,
     "op7_sharding": op7_sharding,
+    "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL = {"op5_mixing": OP5_SQL, "op10_chat_formatting": OP10_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op9_quality_rules": OP9_SQL, "op5_mixing": OP5_SQL, "op10_chat_formatting": OP10_SQL}
