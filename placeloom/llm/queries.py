@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators; ORACLE_SQL holds DuckDB SQL where it can say the same."""
 
+from placeloom.llm.byte_bpe import op6_byte_bpe
 from placeloom.llm.chat import OP10_SQL, op10_chat_formatting
 from placeloom.llm.exact import OP1_SQL, op1_exact_dedup
 from placeloom.llm.mixing import OP5_SQL, op5_mixing
@@ -9,6 +10,7 @@ from placeloom.llm.sharding import op7_sharding
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_sharding": op7_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
