@@ -8,11 +8,13 @@ from placeloom.llm.mixing import OP5_SQL, op5_mixing
 from placeloom.llm.near_dedup import op3_minhash_near_dedup
 from placeloom.llm.quality_rules import OP9_SQL, op9_quality_rules
 from placeloom.llm.sharding import op7_sharding
+from placeloom.llm.suffix_dedup import op4_suffix_array_dedup
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_mixing": op5_mixing,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_sharding": op7_sharding,
