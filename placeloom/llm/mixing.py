@@ -92,7 +92,8 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     some = taken.filter((left > 0) | (F.col("size") == 0)).select("*", copies.alias("_copy"))
     words = F.least(F.col("size"), left - F.col("_copy") * F.col("size"))
     # The first k words and the white space between them, cut from the text as it stands.
-    cut = F.expr(r"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*+){', _words, '}'), 0)")
+    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")
     some = some.withColumn("_words", words).withColumn("text", F.when((F.col("_words") < F.col("size")) & (F.col("_words") > 0), cut).otherwise(F.col("text")))
     if "n_chars" in columns:
         some = some.withColumn("n_chars", F.length("text").cast("long"))

@@ -6,6 +6,7 @@ from placeloom.llm.exact import OP1_SQL, op1_exact_dedup
 from placeloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from placeloom.llm.mixing import OP5_SQL, op5_mixing
 from placeloom.llm.near_dedup import op3_minhash_near_dedup
+from placeloom.llm.quality_classifier import op8_quality_classifier
 from placeloom.llm.quality_rules import OP9_SQL, op9_quality_rules
 from placeloom.llm.sharding import op7_sharding
 from placeloom.llm.suffix_dedup import op4_suffix_array_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_sharding": op7_sharding,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
 }
