@@ -30,10 +30,15 @@ from pyspark.sql import DataFrame
 from placeloom.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Words kept encoded by a worker, and characters of text whose new words are replayed together.
-CACHED_WORDS, CHUNK_CHARS = 300_000, 2_000_000
+#: Words in a generation of a worker's cache, and characters of text whose new words are replayed together.
+CACHED_WORDS, CHUNK_CHARS = 300_000, 4_000_000
+#: Positions from which a merge is applied by array operations.
+MANY_SPOTS = 24
 EDGE, GONE = -1, -2
 
+# Fixed value: the public word pattern of the vocabulary; with it, a blank before a word belongs to the word.
+BLANK_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -41,6 +46,26 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+class Cache(dict):
+    """Ids of strings; what isn't asked for in a whole generation is forgotten."""
+
+    older: dict[str, tuple[int, ...]] = {}
+
+    def __contains__(self, key) -> bool:
+        if dict.__contains__(self, key):
+            return True
+        if (found := self.older.get(key)) is None:
+            return False
+        self[key] = found
+        return True
+
+    def turn(self) -> None:
+        """Begin a new generation once this one is full."""
+        if len(self) > CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
 class Codec:
     """Encodes and decodes with the ranks of one file."""
 
@@ -54,6 +79,7 @@ class Codec:
             self.bytes_of[rank] = token
         self.split = regex.compile(pattern).findall
         self.width = len(self.bytes_of)
+        self.decimal = [str(i) for i in range(self.width)]
         pairs = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -64,49 +90,100 @@ class Codec:
         self.keys = np.sort(np.fromiter(pairs, np.int64, len(pairs)))
         self.merged = np.fromiter(map(pairs.__getitem__, self.keys.tolist()), np.int64, len(pairs))
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)])
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.cut_at_blanks = pattern == BLANK_FIRST
+        self.apart = regex.compile(r"[\s\x1c-\x1f] [\s\x1c-\x1f]").search
+        self.units, self.words = Cache(), Cache()
+
+    def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, EDGE where there is none."""
+        keys = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.keys[at] == keys), self.merged[at], EDGE)
 
     def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each word: every merge in rank order over all words at once."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1)
-        symbols = np.full(int(ends[-1]) + 1 if len(words) else 1, EDGE)
+        """The ids of each word: every merge in rank order over all words at once.
+
+        A merge with many positions is applied to all of them by array operations, one with few
+        (or with overlapping ones, which go from left to right) position by position.
+        """
+        if not words:
+            return []
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        symbols = np.full(int(ends[-1]) + 1, EDGE)
         inside = np.ones(len(symbols), bool)
         inside[0] = False
         inside[ends] = False
         symbols[inside] = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        keys = symbols[:-1] * self.width + symbols[1:]
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        spots = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0) & (self.keys[at] == keys))
-        ranks = self.merged[at[spots]]
-        order = np.argsort(ranks, kind="stable")
-        spots, ranks = spots[order], ranks[order]
-        cuts = np.flatnonzero(np.diff(ranks)) + 1
-        index = {int(r[0]): s.tolist() for r, s in zip(np.split(ranks, cuts), np.split(spots, cuts)) if len(r)}
-        queue, pair, width = sorted(index), self.pairs.get, self.width
-        sym, after, before = symbols.tolist(), list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
+        after, before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        index: dict[int, list] = {}  # rank -> positions (numbers, or arrays of them) of its left symbol
+        queue: list[int] = []
+
+        def enter(spots: np.ndarray, ranks: np.ndarray) -> None:
+            spots, ranks = spots[ranks >= 0], ranks[ranks >= 0]
+            order = np.argsort(ranks, kind="stable")
+            spots, ranks = spots[order], ranks[order]
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    held = index.get(rank := int(ranks[a]))
+                    if held is None:
+                        index[rank] = [spots[a:b]]
+                        heapq.heappush(queue, rank)
+                    else:
+                        held.append(spots[a:b])
+
+        enter(np.arange(len(symbols) - 1), self._merged(symbols[:-1], symbols[1:]))
+        sym, nxt, prv, pair, width = memoryview(symbols), memoryview(after), memoryview(before), self.pairs.get, self.width
+        marked = np.zeros(len(symbols) + 1, bool)
         while queue:
             rank = heapq.heappop(queue)
-            for i in sorted(index.pop(rank)):
-                if sym[i] < 0 or sym[j := after[i]] < 0 or pair(sym[i] * width + sym[j]) != rank:
+            held = index.pop(rank)
+            if sum(1 if type(x) is int else len(x) for x in held) >= MANY_SPOTS:
+                numbers = [x for x in held if type(x) is int]
+                at = np.unique(np.concatenate([x for x in held if type(x) is not int] + [np.array(numbers, np.int64)]))
+                at = at[symbols[at] >= 0]
+                at = at[self._merged(symbols[at], symbols[after[at]]) == rank]
+                right = after[at]
+                marked[at] = True
+                overlap = marked[right].any()
+                marked[at] = False
+                if not overlap:
+                    symbols[at], symbols[right] = rank, GONE
+                    beyond = after[right]
+                    after[at], before[beyond] = beyond, at
+                    left = before[at]
+                    ranks = np.full(len(at), rank)
+                    enter(np.concatenate([left, at]), np.concatenate([self._merged(symbols[left], ranks), self._merged(ranks, symbols[beyond])]))
+                    continue
+                some = at.tolist()
+            else:
+                some = set()
+                for x in held:
+                    some.add(x) if type(x) is int else some.update(x.tolist())
+            for i in sorted(some):
+                a, j = sym[i], nxt[i]
+                if a < 0 or (b := sym[j]) < 0 or pair(a * width + b) != rank:
                     continue
                 sym[i], sym[j] = rank, GONE
-                k = after[i] = after[j]
-                before[k] = i
-                h = before[i]
-                for spot, new in ((h, pair(sym[h] * width + rank) if sym[h] >= 0 else None), (i, pair(rank * width + sym[k]) if sym[k] >= 0 else None)):
-                    if new is None:
-                        continue
-                    if new in index:
-                        index[new].append(spot)
+                k = nxt[i] = nxt[j]
+                prv[k] = i
+                h = prv[i]
+                if (a := sym[h]) >= 0 and (new := pair(a * width + rank)) is not None:
+                    if (spots := index.get(new)) is None:
+                        index[new] = [h]
+                        heapq.heappush(queue, new)
                     else:
-                        index[new] = [spot]
+                        spots.append(h)
+                if (b := sym[k]) >= 0 and (new := pair(rank * width + b)) is not None:
+                    if (spots := index.get(new)) is None:
+                        index[new] = [i]
                         heapq.heappush(queue, new)
-        left = np.array(sym)
-        alive = left >= 0
-        counts = np.add.reduceat(alive, np.concatenate([[0], ends[:-1]])) if len(words) else []
-        ids, found, start = left[alive].tolist(), [], 0
-        for n in map(int, counts):
+                    else:
+                        spots.append(i)
+        alive = symbols >= 0
+        counts = np.add.reduceat(alive, np.concatenate([[0], ends[:-1]]))
+        ids, found, start = symbols[alive].tolist(), [], 0
+        for n in counts.tolist():
             found.append(tuple(ids[start : start + n]))
             start += n
         return found
@@ -116,25 +193,46 @@ class Codec:
         held: list[list[str]] = []
         size = 0
         for text in texts:
-            held.append(self.split(text))
+            held.append(self._units(text))
             size += len(text)
             if size >= CHUNK_CHARS:
                 yield from self._encode(held)
                 held, size = [], 0
         yield from self._encode(held)
 
-    def _encode(self, split: list[list[str]]) -> Iterator[list[int]]:
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = [w for w in set(chain.from_iterable(split)) if w not in known]
+    def _units(self, text: str) -> list[str]:
+        """Parts of a text that can be split into words each by itself.
+
+        A blank always belongs to what follows it, so the text may be cut before every blank;
+        only where a blank stands between white space do words reach across.
+        """
+        if not self.cut_at_blanks or self.apart(text):
+            return self.split(text)
+        first, *rest = text.split(" ")
+        units = [" " + x for x in rest]
+        if first:
+            units.insert(0, first)
+        return units
+
+    def _encode(self, held: list[list[str]]) -> Iterator[list[int]]:
+        units, words = self.units, self.words
+        fresh = [u for u in set(chain.from_iterable(held)) if u not in units]
+        split = dict(zip(fresh, map(self.split, fresh)))
+        new = [w for w in set(chain.from_iterable(split.values())) if w not in words]
         raw = [w.encode() for w in new]
         whole = [self.ranks.get(b) for b in raw]
-        known.update((w, (r,)) for w, r in zip(new, whole) if r is not None)
+        for w, r in zip(new, whole):
+            if r is not None:
+                words[w] = (r,)
         rest = [i for i, r in enumerate(whole) if r is None]
-        known.update(zip([new[i] for i in rest], self.replay([raw[i] for i in rest])))
-        for words in split:
-            yield list(chain.from_iterable(map(known.__getitem__, words)))
+        for i, ids in zip(rest, self.replay([raw[i] for i in rest])):
+            words[new[i]] = ids
+        for u, parts in split.items():
+            units[u] = words[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(words.__getitem__, parts)))
+        for parts in held:
+            yield list(chain.from_iterable(map(units.__getitem__, parts)))
+        units.turn()
+        words.turn()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -159,7 +257,7 @@ def _map(df: DataFrame, column: str, made: dict[str, tuple[str, pa.DataType]], r
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
+            for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 512)
                 rows = list(row(c, part.column(column).to_pylist()))
                 arrays = [pa.array(values, kind) for values, (_, kind) in zip(zip(*rows), made.values())]
@@ -193,8 +291,9 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with n_tokens and digests of the ids and of the bytes they decode to, without moving the ids to the JVM."""
 
     def row(c, texts):
+        decimal = c.decimal
         for ids in c.encode(x or "" for x in texts):
-            yield len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
+            yield len(ids), hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
 
     made = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
     return _map(docs, "text", made, row, path or vocabulary_path())
