@@ -40,6 +40,15 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few plain columns (some tens of MB) that a join may broadcast once they have been counted.
+BROADCAST_ROWS = 500_000
+
+
+def counted_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``table`` (written already, of few narrow columns) with a broadcast hint if it is counted to be small; else as it is."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def replace_columns(df: DataFrame, **new: Column) -> DataFrame:
     """Add columns; an input column of the same name (whatever its case) gives way."""
     taken = {k.lower() for k in new}

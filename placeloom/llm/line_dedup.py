@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import SPACE, documents, replace_columns, scratch
+from placeloom.llm.common import BROADCAST_ROWS, SPACE, counted_broadcast, documents, replace_columns, scratch
 
 FIELD = "<*>"
 #: Leading tokens that lead to a leaf, tokens of the shortest line looked at, documents a template recurs in,
@@ -30,14 +30,26 @@ FIELD = "<*>"
 DEPTH, MIN_TOKENS, MIN_DOCS, MIN_GENERAL, MIN_CONSTANT = 3, 3, 5, 6, 0.75
 
 
-def masked(line: Column) -> Column:
-    """The line with single blanks between its tokens and fields for those with digits."""
-    plain = F.trim(F.regexp_replace(line, SPACE, " "))
-    return F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)
+def masked_lines(text: Column) -> Column:
+    """The lines of a text with single blanks between their tokens, and fields for tokens with digits.
+
+    Regular expressions run only on lines that have something for them.
+    """
+
+    def plain(x):
+        odd = F.contains(x, F.lit("  "))
+        for space in "\t\x0b\x0c\r":
+            odd = odd | F.contains(x, F.lit(space))
+        return F.trim(F.when(odd, F.regexp_replace(x, SPACE, " ")).otherwise(x))
+
+    def fields(x):
+        return F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(x)
+
+    return F.transform(F.transform(F.split(text, "\n"), plain), fields)
 
 
 def n_tokens(line: Column) -> Column:
-    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1)
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1)
 
 
 def line_key(line: Column) -> Column:
@@ -49,7 +61,7 @@ def leaf_key(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    each = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("raw")).select("doc_id", masked(F.col("raw")).alias("line"))
+    each = docs.select("doc_id", F.explode(masked_lines(F.col("text"))).alias("line"))
     return each.filter(n_tokens(F.col("line")) >= MIN_TOKENS)
 
 
@@ -57,7 +69,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, key: the lines to drop of each document."""
     slim = scratch(_lines(docs).select("doc_id", leaf_key(F.col("line")).alias("leaf"), line_key(F.col("line")).alias("key")).distinct(), "lines")
     docs_of_leaf = slim.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    live = docs_of_leaf.filter(F.col("n") >= min_docs).select("leaf")
+    live = counted_broadcast(scratch(docs_of_leaf.filter(F.col("n") >= min_docs).select("leaf"), "live-leaves"))
     slim = scratch(slim.join(live, "leaf", "left_semi"), "live-lines")
     # The texts of the distinct lines in live leaves.
     texts = _lines(docs).select(leaf_key(F.col("line")).alias("leaf"), line_key(F.col("line")).alias("key"), "line")
@@ -82,11 +94,14 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` without the lines of recurring templates, with n_lines and n_dropped."""
-    drops = recurring_lines(docs, min_docs).groupBy("doc_id").agg(F.collect_set("key").alias("_drop")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id")
+    drops = scratch(recurring_lines(docs, min_docs), "drops")
+    few = drops.count() <= BROADCAST_ROWS
+    drops = drops.groupBy("doc_id").agg(F.collect_set("key").alias("_drop")).withColumnRenamed("doc_id", "_id")
+    joined = docs.join(F.broadcast(drops) if few else drops, docs["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id")
     lines = F.split("text", "\n")
-    stays = lambda x: (n_tokens(masked(x)) < MIN_TOKENS) | ~F.array_contains("_drop", line_key(masked(x)))
-    left = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, stays))
+    known = F.transform(masked_lines(F.col("text")), lambda m: (n_tokens(m) < MIN_TOKENS) | ~F.array_contains("_drop", line_key(m)))
+    chosen = F.filter(F.zip_with(lines, known, lambda x, k: F.when(k, x)), lambda x: x.isNotNull())
+    left = F.when(F.col("_drop").isNull(), lines).otherwise(chosen)
     joined = joined.withColumn("_left", left)
     n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long")
