@@ -11,8 +11,10 @@ probability 0.15, and a pair shares no key with probability 2e-7 (6e-6 at 0.8).
 Documents of equal sets are one class and take part once. Members of a key's bucket aren't paired
 with each other: they are compared with the bucket's centre, on full sets. Buckets whose members
 then lie in one component are done; the others are compared with another centre, and what is still
-apart after that is compared pair by pair, but only across components. Links, classes and
-components stay in tables.
+apart after that is compared pair by pair, but only across components. Before sets are fetched, a
+bitmap of each set refuses pairs whose sets must differ in too many elements, so of a large group
+whose members aren't similar enough hardly a pair leaves the join. Links, classes and components
+stay in tables.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of fewer
 words than a shingle has one shingle, all its words; doc_id identifies a document: rows repeated
@@ -23,10 +25,11 @@ an empty table gives an empty result; columns other than doc_id and text are ign
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.llm.common import documents, scratch
@@ -38,7 +41,9 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 #: Words of a shingle and percent of similarity, where a caller doesn't say otherwise.
 SHINGLE, PERCENT = 5, 80
 #: Rounds of comparisons with a centre before pairs across components are enumerated.
-CENTRES = 3
+CENTRES = 2
+#: Cells of the bitmap by which pairs that cannot be similar are refused before their sets are fetched.
+BITMAP = 2048
 
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(0, 2**63, CHUNKS * IN_CHUNK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,44 +116,66 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(F.array_distinct(F.array(*made))).alias("key"), "rep")
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Which of BITMAP cells the elements of a set fall into, as 64-bit integers."""
+    cells = np.zeros(BITMAP, bool)
+    cells[(found & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+    return np.packbits(cells).view(np.int64)
+
+
+def _may_link(percent: int) -> Column:
+    """Whether two sets (size x_n and bitmap x; y_n, y) can be similar enough: a cell that only one of
+    them fills stands for an element that only this one has, so no similar pair is ever refused."""
+    apart = reduce(lambda s, i: s + F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))), range(1, BITMAP // 64), F.bit_count(F.get("x", F.lit(0)).bitwiseXOR(F.get("y", F.lit(0)))))
+    sizes = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
+    return sizes & (apart * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent))
+
+
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, centres: int = CENTRES) -> DataFrame:
     """a, b: links between representatives of classes, enough for the components of all links."""
     keys = _keys(classes)
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).filter(F.col("n") > 1)
-    members = scratch(keys.join(buckets, "key").select("key", "rep", "least"), "members")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
+    members = scratch(keys.join(buckets, "key"), "members")
     ids = members.select(F.col("rep").alias("_rep")).distinct()
     some = docs.join(ids, docs["doc_id"] == ids["_rep"], "left_semi")
-    sets = scratch(_batches(some, "found array<long>", [pa.list_(pa.int64())], lambda x: (shingles(x, size).view(np.int64),)), "sets")
+
+    def row(text):
+        found = shingles(text, size)
+        return found.view(np.int64), len(found), bitmap(found)
+
+    sets = scratch(_batches(some, "found array<long>, n long, bits array<long>", [pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())], row), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of distinct ``pairs`` (a, b), a < b, those that are similar enough on their full sets."""
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("found").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         rest = F.size("x") + F.size("y") - both
-        near = F.least(F.size("x"), F.size("y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * percent
-        return pairs.join(left, "a").join(right, "b").filter(near).filter(both * 100 >= rest * percent).select("a", "b")
-
-    def ordered(x, y):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+        return pairs.join(left, "a").join(right, "b").filter(both * 100 >= rest * percent).select("a", "b")
 
-    tested = scratch(members.filter(F.col("rep") != F.col("least")).select(*ordered(F.col("rep"), F.col("least"))).distinct(), "pairs")
-    found = scratch(confirmed(tested), "links")
-    for turn in range(1, centres + 1):
-        labels = components(found)
-        placed = members.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        open_ = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min(F.xxhash64("rep", F.lit(turn))).alias("pick")).filter(F.col("c") != F.col("d"))
-        placed = scratch(placed.join(open_.select("key", "pick"), "key"), "open")
+    known = members.join(sets.select(F.col("doc_id").alias("rep"), F.col("n").alias("x_n"), F.col("bits").alias("x")), "rep")
+    known = scratch(known.withColumn("component", F.col("rep")), "open")
+    found: DataFrame | None = None
+    for turn in range(centres + 1):
         if turn < centres:
-            # Another centre, by a seeded order, for the buckets that still have several components.
-            centre = placed.filter(F.xxhash64("rep", F.lit(turn)) == F.col("pick")).select("key", F.col("rep").alias("o"), F.col("component").alias("oc"))
+            # One centre for each bucket that has several components, by an order of its own each turn.
+            rank = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
+            picked = known.groupBy("key").agg(F.min(rank).alias("pick"))
+            centre = known.join(picked, "key").filter(rank == F.col("pick")).drop("pick")
         else:
-            centre = placed.select("key", F.col("rep").alias("o"), F.col("component").alias("oc"))
+            # What is left after that: all pairs across components.
+            centre = known
+        centre = centre.select("key", F.col("rep").alias("o"), F.col("x_n").alias("y_n"), F.col("x").alias("y"), F.col("component").alias("oc"))
         across = F.col("component") < F.col("oc") if turn == centres else F.col("component") != F.col("oc")
-        pairs = placed.join(centre, "key").filter(across).select(*ordered(F.col("rep"), F.col("o"))).distinct()
-        pairs = scratch(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        found = scratch(found.union(confirmed(pairs)), "links")
-    return found
+        pairs = known.join(centre, (known["key"] == centre["key"]) & across & _may_link(percent))
+        pairs = scratch(pairs.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct(), "pairs")
+        new = confirmed(pairs)
+        found = scratch(new if found is None else found.union(new), "links")
+        if turn == centres:
+            return found
+        labels = components(found)
+        known = known.drop("component").join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+        apart = known.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter(F.col("c") != F.col("d")).select("key")
+        known = scratch(known.join(apart, "key"), "open")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, centres: int = CENTRES) -> DataFrame:
