@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+from placeloom.plans import build_queries, clean_queries, plan_queries, retrieve_queries
+
+_MODULES = (clean_queries, build_queries, retrieve_queries, plan_queries)
 
 
 def queries() -> dict[str, Callable]:
-    return QUERIES
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE_SQL
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
