@@ -18,8 +18,8 @@ stay in tables.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of fewer
 words than a shingle has one shingle, all its words; doc_id identifies a document: rows repeated
-under one doc_id are one node; a null doc_id can't be linked with but joins the class of its equals;
-an empty table gives an empty result; columns other than doc_id and text are ignored.
+under one doc_id are one node; a null doc_id can't be linked with but joins the class of its equals, and of rows without doc_id
+all stay if one does; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
