@@ -64,7 +64,8 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, bigrams: bool = False, k1:
     asked = queries.select("query_id", F.explode(tokens(F.col("query"), bigrams)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     hits = index.postings.join(asked.join(index.terms, "term"), "term").join(index.lengths, "id").join(F.broadcast(index.sums))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score")).filter("score > 0")
+    # Rounded, so that texts that are copies tie in whatever order their terms are summed.
+    return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
 
 
 def archive(docs: DataFrame, path: str) -> None:

@@ -31,17 +31,25 @@ def missing_mentions(days: DataFrame) -> DataFrame:
     return each.filter(~mentioned(F.col("p.name"), F.col("text"))).select("request_id", "day", F.col("p.name").alias("name"))
 
 
+#: Characters of a piece of text whose substrings are listed at once.
+PIECE = 256
+
+
 def out_of_scope(texts: DataFrame, names: DataFrame, allowed: DataFrame, key: str = "id") -> DataFrame:
     """key, name: known names that a text contains but that aren't among its allowed ones (key, name).
 
     Texts list their substrings of the lengths that names have and look them up by an equi-join,
-    so it doesn't compare all texts with all names.
+    so it doesn't compare all texts with all names. A text is cut into pieces first, which
+    overlap by the longest name, so the work grows with its length and no row holds a long one's
+    substrings.
     """
     known = names.select("name").filter("name <> ''").distinct()
-    lengths = F.broadcast(known.agg(F.collect_set(F.length("name")).alias("_lengths")))  # as many numbers as lengths exist
-    cut = F.flatten(F.transform("_lengths", lambda n: F.when(n <= F.length("text"), F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substr("text", i, n))).otherwise(F.array().cast("array<string>"))))
-    parts = texts.join(lengths).select(key, F.explode(F.array_distinct(cut)).alias("name"))
-    return parts.join(known, "name").join(allowed, [key, "name"], "left_anti").select(key, "name")
+    lengths = F.broadcast(known.agg(F.collect_set(F.length("name")).alias("_lengths"), F.max(F.length("name")).alias("_most")))  # as many numbers as lengths exist
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text")), F.lit(PIECE))
+    pieces = texts.filter("text <> ''").join(lengths).select(key, "_lengths", F.explode(F.transform(starts, lambda i: F.substr("text", i, F.col("_most") + (PIECE - 1)))).alias("_piece"))
+    cut = F.flatten(F.transform("_lengths", lambda n: F.when(n <= F.length("_piece"), F.transform(F.sequence(F.lit(1), F.length("_piece") - n + 1), lambda i: F.substr("_piece", i, n))).otherwise(F.array().cast("array<string>"))))
+    parts = pieces.select(key, F.explode(F.array_distinct(cut)).alias("name"))
+    return parts.join(known, "name").select(key, "name").distinct().join(allowed, [key, "name"], "left_anti").select(key, "name")
 
 
 def photo_cards(pois: DataFrame, n: int = 6) -> DataFrame:

@@ -67,7 +67,7 @@ def clean_projection(spark, sf_dir):
 @query(oracle(f"""{JUDGED}, kept AS (SELECT * FROM judged WHERE {KEEP} AND district <> ''), c AS (SELECT ord, {_CLEAN_COLUMNS} FROM kept)
 SELECT * EXCLUDE (ord) FROM c ORDER BY rating DESC, ord LIMIT 400""", "poi_fx"))
 def clean_city_pipeline(spark, sf_dir):
-    return clean.clean_city(_raw(spark, sf_dir), RULES, CORE).drop("ord").withColumn("photos", F.array_join("photos", ","))
+    return clean.clean_city(_raw(spark, sf_dir), RULES, CORE).drop("ord", "interest_group").withColumn("photos", F.array_join("photos", ","))
 
 
 @query(oracle("""SELECT ord, id, interest_group, value, position FROM (SELECT *, min(ord) OVER (PARTITION BY id) AS position,

@@ -1,2 +1,164 @@
+"""Queries of retrieval: tokens, BM25, vectors, fusion, hybrid search; many queries in one job.
+
+The corpus is ``documents`` (its language plays the city) with ``embeddings`` of the same ids. The
+queries are all passages of ``benchmark``, each with the vector of its number; a search by vector
+alone asks for every vector whose id is divisible by 50.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from placeloom.functions import text as T
+from placeloom.operators import index, retrieve
+from placeloom.plans import build_queries as build
+from placeloom.plans.fixtures import oracle, table, view
 from placeloom.plans.registry import registry
+
 QUERIES, ORACLE_SQL, query = registry()
+
+_CITY = "CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END"
+_TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+_INDEX = rf"""WITH doc_fx AS (SELECT doc_id AS id, coalesce(text, '') AS text, lang AS city FROM documents),
+tok AS (SELECT id, unnest({_TERMS.format('text')}) AS term FROM doc_fx), post AS (SELECT term, id, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT id, len({_TERMS.format('text')}) AS dl FROM doc_fx), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post, s GROUP BY term),
+terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+
+_BM25 = rf"""{_INDEX}, q AS (SELECT item_id AS query_id, text AS query, {_CITY} AS city FROM benchmark),
+asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TERMS.format('query')}) AS term FROM q) GROUP BY ALL),
+bm AS (SELECT query_id, id, score FROM (SELECT query_id, post.id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score
+  FROM asked JOIN terms USING (term) JOIN post USING (term) JOIN dl ON post.id = dl.id, s GROUP BY ALL) WHERE score > 0)"""
+
+_L2 = "round(list_sum(list_transform(list_zip(v.embedding, {}), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))), 9)"
+
+
+def corpus(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("city"))
+
+
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def asked(spark, sf_dir):
+    """query_id, query, city, vector of all benchmark passages."""
+    q = table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text AS query", f"{_CITY} AS city")
+    return q.join(vectors(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+
+
+@query(rf"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY term")
+def tokenize_terms(spark, sf_dir):
+    each = corpus(spark, sf_dir).select("id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    per = each.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    return per.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+
+
+@query(f"{_INDEX} SELECT term, df, round(idf, 6) AS idf, n, round(avgdl, 6) AS avgdl FROM terms, s")
+def bm25_index_stats(spark, sf_dir):
+    made = index.bm25_index(corpus(spark, sf_dir))
+    return made.terms.join(F.broadcast(made.sums)).select("term", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"{_BM25} SELECT query_id, id, round(score, 6) AS score FROM bm")
+def bm25_scores(spark, sf_dir):
+    made = index.bm25_index(corpus(spark, sf_dir))
+    return index.bm25_scores(made, asked(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+_BM25_TOP = f"""{_BM25}, bt AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm JOIN doc_fx USING (id) JOIN q USING (query_id) WHERE doc_fx.city = q.city)"""
+
+
+@query(f"{_BM25_TOP} SELECT query_id, id, round(score, 6) AS score, rank FROM bt WHERE rank <= 20")
+def bm25_topk(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    top = retrieve.bm25_topk(index.bm25_index(docs), asked(spark, sf_dir), 20, docs)
+    return top.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+_PAIRS = f"""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_L2.format('q.embedding')} AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)"""
+
+
+def _probes(spark, sf_dir):
+    return vectors(spark, sf_dir).filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(f"{_PAIRS} SELECT query_id, id, round(distance, 6) AS distance FROM p")
+def vector_l2_scores(spark, sf_dir):
+    scored = retrieve.vector_distances(vectors(spark, sf_dir), _probes(spark, sf_dir))
+    return scored.select("query_id", "id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"{_PAIRS} SELECT query_id, id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) WHERE rank <= 40")
+def vector_topk(spark, sf_dir):
+    top = retrieve.vector_topk(vectors(spark, sf_dir), _probes(spark, sf_dir), 40)
+    return top.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+_VECTOR_TOP = f"""{_BM25_TOP}, qv AS (SELECT q.query_id, q.city, e.embedding AS vector FROM q JOIN embeddings e ON q.query_id = e.vec_id),
+vt AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
+  FROM (SELECT query_id, v.vec_id AS id, {_L2.format('qv.vector')} AS distance FROM embeddings v JOIN doc_fx ON v.vec_id = doc_fx.id JOIN qv ON doc_fx.city = qv.city))"""
+
+
+def _fused(vector_pool: int, bm25_pool: int) -> str:
+    return f"""{_VECTOR_TOP}, lists AS (SELECT query_id, id, 1.0::DOUBLE / (60.0::DOUBLE + rank) AS part, rank AS vector_rank, NULL::BIGINT AS bm25_rank FROM vt WHERE rank <= {vector_pool}
+  UNION ALL SELECT query_id, id, 0.3::DOUBLE / (60.0::DOUBLE + rank), NULL, rank FROM bt WHERE rank <= {bm25_pool}),
+fused AS (SELECT query_id, id, sum(part) AS score, min(vector_rank) AS vector_rank, min(bm25_rank) AS bm25_rank FROM lists GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_rank NULLS LAST, bm25_rank NULLS LAST, id) AS rank FROM fused)"""
+
+
+def _placed(spark, sf_dir):
+    """The vectors with the city of their document."""
+    return vectors(spark, sf_dir).join(corpus(spark, sf_dir).select("id", "city"), "id")
+
+
+@query(f"{_fused(50, 20)} SELECT query_id, id, round(score, 6) AS score, vector_rank, bm25_rank, rank FROM ranked")
+def rrf_fuse(spark, sf_dir):
+    docs, q = corpus(spark, sf_dir), asked(spark, sf_dir)
+    near = retrieve.vector_topk(_placed(spark, sf_dir), q, 50, city=True)
+    fused = retrieve.rrf_fuse(near, retrieve.bm25_topk(index.bm25_index(docs), q, 20, docs))
+    return fused.select("query_id", "id", F.round("score", 6).alias("score"), "vector_rank", "bm25_rank", "rank")
+
+
+# A search drops the city's name from its query first.
+_STRIPPED = f"{_fused(50, 20)} SELECT query_id, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10".replace("item_id AS query_id, text AS query", f"item_id AS query_id, coalesce(nullif(trim(replace(text, {_CITY}, '')), ''), text) AS query")
+
+
+@query(_STRIPPED)
+def hybrid_search(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    found = retrieve.search(asked(spark, sf_dir), 10, "hybrid", _placed(spark, sf_dir), index.bm25_index(docs), docs)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"{_VECTOR_TOP} SELECT query_id, id, round(distance, 6) AS distance, rank FROM vt WHERE rank <= 10")
+def search_city_filter(spark, sf_dir):
+    top = retrieve.vector_topk(_placed(spark, sf_dir), asked(spark, sf_dir), 10, city=True)
+    return top.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+_ASK = "CASE WHEN id % 3 = 0 THEN city || ' ' || name || ' ' || city WHEN id % 3 = 1 THEN city ELSE name END"
+
+
+@query(oracle(f", a AS (SELECT id, city, {_ASK} AS query FROM poi_fx) SELECT id, query, CASE WHEN trim(replace(query, city, '')) = '' THEN query ELSE trim(replace(query, city, '')) END AS stripped FROM a", "poi_fx"))
+def strip_city(spark, sf_dir):
+    named = view(spark, sf_dir, "poi_fx").selectExpr("id", "city", f"{_ASK} AS query")
+    return named.select("id", "query", T.strip_city(F.col("query"), F.col("city")).alias("stripped"))
+
+
+@query(oracle("SELECT request_id, CASE WHEN interests = '' THEN city || ' 景点' ELSE replace(interests, ',', ' ') END AS query FROM req_fx", "req_fx"))
+def build_query_text(spark, sf_dir):
+    return view(spark, sf_dir, "req_fx").select("request_id", T.query_text(T.split_tags(F.col("interests")), F.col("city")).alias("query"))
+
+
+@query(oracle(f"""{build._MERGED} SELECT id, CASE WHEN id % 4 = 0 THEN name WHEN id % 4 = 1 THEN name ELSE 'shown ' || id END AS display_name, replace(tags, '|', ',') AS tags, CASE WHEN id % 3 = 0 THEN '' ELSE 'u' || id END AS photos,
+  CASE WHEN id % 5 = 0 THEN -1 ELSE rating END AS rating, CASE WHEN id % 7 = 0 THEN -999 ELSE lat END AS lat, lng FROM merged""", "poi_fx"))
+def result_accessors(spark, sf_dir):
+    key = F.col("id").cast("string")
+    stored = build.merged(spark, sf_dir).withColumns({
+        "display_name": F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 > 1, F.concat(F.lit("shown "), key)),
+        "photos": F.when(F.col("id") % 3 == 0, "not json").otherwise(F.concat(F.lit('["u'), key, F.lit('"]'))),
+        "rating": F.when(F.col("id") % 5 != 0, F.col("rating").cast("string")), "lat": F.when(F.col("id") % 7 == 0, "north").otherwise(F.col("lat").cast("string")), "lng": F.col("lng").cast("string"),
+    })
+    return retrieve.accessors(stored).withColumn("photos", F.array_join("photos", ","))
