@@ -7,8 +7,8 @@ documents plus a seeded fractional repetition: documents in the order of a seede
 last one taken in part, so that the words taken equal the rounded target.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times more than nothing; a null
-source is a source of its own, last in order; repeated rows each count and are drawn in turn;
-an empty table gives an empty result; input columns named like an output column give way to it.
+source is a source of its own, last in order; repeated rows each count, and those at the end of a
+source's fractional pass share what is left of it; an empty table gives an empty result; input columns named like an output column give way to it.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import documents, n_words, replace_columns, scratch
+from placeloom.llm.common import counted_broadcast, documents, n_words, replace_columns, scratch
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MAX_EPOCHS, SEED = 1.5, 2.0, "mix-1"
@@ -52,30 +52,52 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return table.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
-def mix(docs: DataFrame, targets: DataFrame, seed: str = SEED, part_rows: int = PART_ROWS) -> DataFrame:
-    """``docs`` (doc_id, source, size and whatever else) with source_size, target and taken.
+def _spot(seed: str) -> Column:
+    """A document's place in the seeded order of its source."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))
+
+
+def cuts(sizes: DataFrame, targets: DataFrame, seed: str = SEED, part_rows: int = PART_ROWS) -> DataFrame:
+    """_source, _all, _target, _whole and where the fractional pass of each source ends: _cut, _cut_size, _cut_words.
 
-    The running sum over a source is put together from sums per part of the seeded order, so a
-    source that holds a third of all rows is never sorted in one task.
+    ``sizes`` has doc_id, source, size. The seeded order is cut into parts by its leading digits;
+    sums of parts tell in which one a source's pass ends, and only that part (of about
+    ``part_rows`` distinct documents, however large the source) is looked at row by row.
     """
     rows = targets.agg(F.sum("source_rows")).first()[0] or 0
     digits = max(0, min(8, math.ceil(math.log(max(1, rows / part_rows), 16))))
-    spot = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))
-    docs = replace_columns(docs, _spot=spot, _part=F.substring(spot, 1, digits)).withColumnRenamed("source", "_source")
-    parts = docs.groupBy("_source", "_part").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    known = targets.select(F.col("source").alias("_s"), "source_size", "target")
-    # The (source, part) table joins the documents by the same key that their window needs.
-    parts = parts.join(known, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").select(F.col("_source").alias("_ps"), F.col("_part").alias("_pp"), "_before", F.col("source_size").alias("_all"), F.col("target").alias("_target"))
-    docs = docs.join(parts, F.col("_source").eqNullSafe(F.col("_ps")) & (F.col("_part") == F.col("_pp"))).drop("_ps", "_pp")
-    within = Window.partitionBy("_source", "_part").orderBy("_spot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    whole = F.when(F.col("_all") > 0, F.floor(F.col("_target") / F.col("_all"))).otherwise(F.lit(0)).cast("long")
-    docs = docs.withColumn("_whole", whole).withColumn("_rest", F.round("_target").cast("long") - F.col("_whole") * F.col("_all"))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - start))
-    docs = replace_columns(docs, source_size=F.col("_all"), target=F.col("_target"), taken=(F.col("_whole") * F.col("size") + part).cast("long"))
-    return docs.withColumnRenamed("_source", "source").drop("_spot", "_part", "_before", "_all", "_target", "_whole", "_rest")
+    spots = sizes.select(F.col("source").alias("_s"), "size", _spot(seed).alias("_spot")).withColumn("_part", F.substring("_spot", 1, digits))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    known = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_all"), F.col("target").alias("_target"), whole.alias("_whole"))
+    known = known.withColumn("_rest", F.round("_target").cast("long") - F.col("_whole") * F.col("_all"))
+    parts = spots.groupBy("_s", "_part").agg(F.sum("size").alias("_sum"))
+    upto = F.sum("_sum").over(Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("_before", upto - F.col("_sum")).join(known, F.col("_s").eqNullSafe(F.col("_source")))
+    last = parts.filter((F.col("_before") < F.col("_rest")) & (F.col("_rest") <= F.col("_before") + F.col("_sum")))
+    last = counted_broadcast(scratch(last.select("_source", F.col("_part").alias("_last"), "_before", "_rest"), "last-parts"))
+    inside = spots.join(last, F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_last")))
+    inside = inside.groupBy("_source", "_spot", "size").agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_before"), F.first("_rest").alias("_rest"))
+    upto = F.col("_before") + F.sum(F.col("_n") * F.col("size")).over(Window.partitionBy("_source").orderBy("_spot", "size").rowsBetween(Window.unboundedPreceding, 0))
+    start = F.col("_upto") - F.col("_n") * F.col("size")
+    ends = inside.withColumn("_upto", upto).filter((start < F.col("_rest")) & (F.col("_rest") <= F.col("_upto")))
+    ends = ends.select(F.col("_source").alias("_of"), F.col("_spot").alias("_cut"), F.col("size").alias("_cut_size"), F.floor((F.col("_rest") - start) / F.col("_n")).cast("long").alias("_cut_words"))
+    return scratch(known.join(ends, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of", "_rest"), "cuts")
+
+
+def mix(docs: DataFrame, targets: DataFrame, seed: str = SEED, part_rows: int = PART_ROWS, sizes: DataFrame | None = None) -> DataFrame:
+    """``docs`` (doc_id, source, size and whatever else) with source_size, target and taken.
+
+    Documents aren't shuffled: each compares its place with the end of its source's pass.
+    ``sizes`` may hold the columns doc_id, source and size of ``docs``, written already.
+    """
+    ends = counted_broadcast(cuts(docs if sizes is None else sizes, targets, seed, part_rows))
+    docs = replace_columns(docs, _at=_spot(seed)).withColumnRenamed("source", "_mine")
+    docs = docs.join(ends, F.col("_mine").eqNullSafe(F.col("_source")))
+    size, at, cut = F.col("size"), F.col("_at"), F.col("_cut")
+    before = (at < cut) | ((at == cut) & (size < F.col("_cut_size")))
+    part = F.when(before, size).when((at == cut) & (size == F.col("_cut_size")), F.col("_cut_words")).otherwise(F.lit(0))
+    docs = replace_columns(docs, source_size=F.col("_all"), target=F.col("_target"), taken=(F.col("_whole") * size + part).cast("long"))
+    return docs.drop("_at", "_source", "_all", "_target", "_whole", "_cut", "_cut_size", "_cut_words").withColumnRenamed("_mine", "source")
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -85,8 +107,8 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """
     columns = docs.columns
     sized = replace_columns(docs, size=n_words(F.col("text")))
-    targets = source_targets(sized.select("source", "size"))
-    taken = mix(sized, targets, seed)
+    sizes = scratch(sized.select("doc_id", "source", "size"), "sizes")
+    taken = mix(sized, source_targets(sizes), seed, sizes=sizes)
     size, left = F.greatest(F.col("size"), F.lit(1)), F.col("taken")
     copies = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(left / size).cast("int") - 1)))
     some = taken.filter((left > 0) | (F.col("size") == 0)).select("*", copies.alias("_copy"))
