@@ -46,9 +46,11 @@ class Bm25Index:
 def bm25_index(docs: DataFrame, text: str = "text", bigrams: bool = False, epsilon: float = BM25_EPSILON) -> Bm25Index:
     """The index of ``docs`` (id, text). A negative idf becomes epsilon times the mean of all idfs."""
     listed = docs.select("id", tokens(F.col(text), bigrams).alias("_tokens"))
-    lengths = listed.select("id", F.size("_tokens").cast("long").alias("dl"))
-    sums = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     postings = listed.select("id", F.explode("_tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    # All else is summed from the postings, so Spark can use their one exchange again; texts without tokens have no length.
+    lengths = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
+    sums = docs.agg(F.count(F.lit(1)).alias("n")).join(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))
+    sums = sums.select("n", F.try_divide(F.col("total").cast("double"), F.col("n")).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     plain = df.join(F.broadcast(sums)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = F.broadcast(plain.agg(F.avg("raw").alias("mean")))
@@ -65,7 +67,7 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, bigrams: bool = False, k1:
     hits = index.postings.join(asked.join(index.terms, "term"), "term").join(index.lengths, "id").join(F.broadcast(index.sums))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     # Rounded, so that texts that are copies tie in whatever order their terms are summed.
-    return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
+    return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
 
 
 def archive(docs: DataFrame, path: str) -> None:

@@ -28,7 +28,7 @@ terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw
 
 _BM25 = rf"""{_INDEX}, q AS (SELECT item_id AS query_id, text AS query, {_CITY} AS city FROM benchmark),
 asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TERMS.format('query')}) AS term FROM q) GROUP BY ALL),
-bm AS (SELECT query_id, id, score FROM (SELECT query_id, post.id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score
+bm AS (SELECT query_id, id, score FROM (SELECT query_id, post.id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
   FROM asked JOIN terms USING (term) JOIN post USING (term) JOIN dl ON post.id = dl.id, s GROUP BY ALL) WHERE score > 0)"""
 
 _L2 = "round(list_sum(list_transform(list_zip(v.embedding, {}), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))), 9)"
@@ -61,20 +61,20 @@ def bm25_index_stats(spark, sf_dir):
     return made.terms.join(F.broadcast(made.sums)).select("term", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(f"{_BM25} SELECT query_id, id, round(score, 6) AS score FROM bm")
+@query(f"{_BM25} SELECT query_id, id, score FROM bm")
 def bm25_scores(spark, sf_dir):
     made = index.bm25_index(corpus(spark, sf_dir))
-    return index.bm25_scores(made, asked(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"))
+    return index.bm25_scores(made, asked(spark, sf_dir))
 
 
 _BM25_TOP = f"""{_BM25}, bt AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm JOIN doc_fx USING (id) JOIN q USING (query_id) WHERE doc_fx.city = q.city)"""
 
 
-@query(f"{_BM25_TOP} SELECT query_id, id, round(score, 6) AS score, rank FROM bt WHERE rank <= 20")
+@query(f"{_BM25_TOP} SELECT query_id, id, score, rank FROM bt WHERE rank <= 20")
 def bm25_topk(spark, sf_dir):
     docs = corpus(spark, sf_dir)
     top = retrieve.bm25_topk(index.bm25_index(docs), asked(spark, sf_dir), 20, docs)
-    return top.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return top.select("query_id", "id", "score", "rank")
 
 
 _PAIRS = f"""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_L2.format('q.embedding')} AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)"""
@@ -84,16 +84,16 @@ def _probes(spark, sf_dir):
     return vectors(spark, sf_dir).filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-@query(f"{_PAIRS} SELECT query_id, id, round(distance, 6) AS distance FROM p")
+@query(f"{_PAIRS} SELECT query_id, id, distance FROM p")
 def vector_l2_scores(spark, sf_dir):
     scored = retrieve.vector_distances(vectors(spark, sf_dir), _probes(spark, sf_dir))
-    return scored.select("query_id", "id", F.round("distance", 6).alias("distance"))
+    return scored.select("query_id", "id", "distance")
 
 
-@query(f"{_PAIRS} SELECT query_id, id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) WHERE rank <= 40")
+@query(f"{_PAIRS} SELECT query_id, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) WHERE rank <= 40")
 def vector_topk(spark, sf_dir):
     top = retrieve.vector_topk(vectors(spark, sf_dir), _probes(spark, sf_dir), 40)
-    return top.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+    return top.select("query_id", "id", "distance", "rank")
 
 
 _VECTOR_TOP = f"""{_BM25_TOP}, qv AS (SELECT q.query_id, q.city, e.embedding AS vector FROM q JOIN embeddings e ON q.query_id = e.vec_id),
@@ -132,10 +132,10 @@ def hybrid_search(spark, sf_dir):
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"{_VECTOR_TOP} SELECT query_id, id, round(distance, 6) AS distance, rank FROM vt WHERE rank <= 10")
+@query(f"{_VECTOR_TOP} SELECT query_id, id, distance, rank FROM vt WHERE rank <= 10")
 def search_city_filter(spark, sf_dir):
     top = retrieve.vector_topk(_placed(spark, sf_dir), asked(spark, sf_dir), 10, city=True)
-    return top.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+    return top.select("query_id", "id", "distance", "rank")
 
 
 _ASK = "CASE WHEN id % 3 = 0 THEN city || ' ' || name || ' ' || city WHEN id % 3 = 1 THEN city ELSE name END"
