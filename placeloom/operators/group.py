@@ -39,19 +39,27 @@ def merge_groups(pois: DataFrame, canon: DataFrame, order: str = "ord") -> DataF
 
     The row of the best rating, then the longest description, then the first stands for the group;
     the rating is the group's best, aliases are the other names, tags and behaviors are united in
-    order. ``position`` is where the group was first seen. Rows without a name are dropped.
+    order. ``position`` is where the group was first seen. Rows without a name are dropped. Only
+    distinct names and tags of a group are brought together, after they have been combined on the
+    map side, so a group of a third of all rows is no burden.
     """
     rows = pois.filter(or_empty(F.col("name")) != "").join(canon, "name")
     own = [c for c in pois.columns if c not in ("tags", "behaviors", "rating")]
     best = F.struct("rating", F.length(or_empty(F.col("description"))), -F.col(order))
-    seen = lambda c: F.sort_array(F.collect_list(F.struct(order, c)))
-    merged = rows.groupBy("canonical").agg(
-        F.max_by(F.struct(*own), best).alias("_rep"), F.max("rating").alias("rating"), F.min(order).alias("position"),
-        seen("name").alias("_names"), seen(split_tags(F.col("tags")).alias("x")).alias("_tags"), seen(split_tags(F.col("behaviors")).alias("x")).alias("_behaviors"),
-    )
-    aliases = F.filter(F.array_distinct(F.transform("_names", lambda x: x["name"])), lambda n: n != F.col("canonical"))
-    union = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda x: x["x"])))
-    return merged.select("_rep.*", "rating", F.col("canonical").alias("group"), aliases.alias("aliases"), union("_tags").alias("tags"), union("_behaviors").alias("behaviors"), "position")
+    merged = rows.groupBy("canonical").agg(F.max_by(F.struct(*own), best).alias("_rep"), F.max("rating").alias("rating"), F.min(order).alias("position"))
+
+    def in_order(values: DataFrame, into: str) -> DataFrame:
+        """canonical and the array of its distinct values (canonical, at, x), first seen first."""
+        first = values.groupBy("canonical", "x").agg(F.min("at").alias("at"))
+        return first.groupBy("canonical").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda v: v["x"]).alias(into))
+
+    names = rows.filter(F.col("name") != F.col("canonical")).select("canonical", F.struct(F.col(order), F.lit(0)).alias("at"), F.col("name").alias("x"))
+    merged = merged.join(in_order(names, "aliases"), "canonical", "left")
+    for c in ("tags", "behaviors"):
+        each = rows.select("canonical", order, F.posexplode(split_tags(F.col(c))).alias("_i", "x"))
+        merged = merged.join(in_order(each.select("canonical", F.struct(order, "_i").alias("at"), "x"), c), "canonical", "left")
+    filled = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    return merged.select("_rep.*", "rating", F.col("canonical").alias("group"), filled("aliases"), filled("tags"), filled("behaviors"), "position")
 
 
 def attractions(df: DataFrame, column: str = "is_attraction") -> DataFrame:

@@ -35,8 +35,8 @@ def missing_mentions(days: DataFrame) -> DataFrame:
 PIECE = 256
 
 
-def out_of_scope(texts: DataFrame, names: DataFrame, allowed: DataFrame, key: str = "id") -> DataFrame:
-    """key, name: known names that a text contains but that aren't among its allowed ones (key, name).
+def contained(texts: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
+    """keys, name: the names that each text contains.
 
     Texts list their substrings of the lengths that names have and look them up by an equi-join,
     so it doesn't compare all texts with all names. A text is cut into pieces first, which
@@ -46,10 +46,22 @@ def out_of_scope(texts: DataFrame, names: DataFrame, allowed: DataFrame, key: st
     known = names.select("name").filter("name <> ''").distinct()
     lengths = F.broadcast(known.agg(F.collect_set(F.length("name")).alias("_lengths"), F.max(F.length("name")).alias("_most")))  # as many numbers as lengths exist
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text")), F.lit(PIECE))
-    pieces = texts.filter("text <> ''").join(lengths).select(key, "_lengths", F.explode(F.transform(starts, lambda i: F.substr("text", i, F.col("_most") + (PIECE - 1)))).alias("_piece"))
+    pieces = texts.filter("text <> ''").join(lengths).select(*keys, "_lengths", F.explode(F.transform(starts, lambda i: F.substr("text", i, F.col("_most") + (PIECE - 1)))).alias("_piece"))
     cut = F.flatten(F.transform("_lengths", lambda n: F.when(n <= F.length("_piece"), F.transform(F.sequence(F.lit(1), F.length("_piece") - n + 1), lambda i: F.substr("_piece", i, n))).otherwise(F.array().cast("array<string>"))))
-    parts = pieces.select(key, F.explode(F.array_distinct(cut)).alias("name"))
-    return parts.join(known, "name").select(key, "name").distinct().join(allowed, [key, "name"], "left_anti").select(key, "name")
+    parts = pieces.select(*keys, F.explode(F.array_distinct(cut)).alias("name"))
+    return parts.join(known, "name").select(*keys, "name").distinct()
+
+
+def out_of_scope(texts: DataFrame, names: DataFrame, allowed: DataFrame, key: str = "id") -> DataFrame:
+    """key, name: known names that a text contains but that aren't among its allowed ones (key, name)."""
+    return contained(texts, names, key).join(allowed, [key, "name"], "left_anti").select(key, "name")
+
+
+def mentions(texts: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
+    """keys, name: the names that each text mentions, in full or by their first three characters."""
+    known = names.select("name").filter("name <> ''").distinct().select("name", F.substring("name", 1, 3).alias("_start"))
+    hits = contained(texts, known.select(F.col("_start").alias("name")), *keys).withColumnRenamed("name", "_start")
+    return hits.join(known, "_start").select(*keys, "name")
 
 
 def photo_cards(pois: DataFrame, n: int = 6) -> DataFrame:

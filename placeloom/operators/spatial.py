@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from placeloom.config import EARTH_KM, Spatial
 from placeloom.functions.geo import haversine
 from placeloom.functions.text import valid_coordinate
+from placeloom.operators.blocks import against
 
 Cluster = list[int]
 
@@ -236,7 +237,7 @@ def urban_majority(members: DataFrame, urban_districts: tuple[str, ...], *keys:
 
 
 def nearest_centre(points: DataFrame, centres: DataFrame, centre_key: str = "centre") -> DataFrame:
-    """id, centre, km of the nearest of a few centres (broadcast; ties by centre)."""
-    c = F.broadcast(centres.select(F.col(centre_key).alias("centre"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng")))
-    away = points.join(c).withColumn("km", haversine(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")))
+    """id, centre, km of the nearest of the centres, a stated set that goes to all tasks in blocks; ties by centre."""
+    c = centres.select(F.col(centre_key).alias("centre"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    away = against(points, c, "centre").withColumn("km", haversine(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")))
     return away.groupBy("id").agg(F.min_by("centre", F.struct("km", "centre")).alias("centre"), F.min("km").alias("km"))

@@ -300,16 +300,16 @@ def day_prompt(spark, sf_dir):
     return _prompts(spark, sf_dir).select("request_id", "day", "prompt")
 
 
-_SAID = "SELECT conv_id, turn, text FROM conversations"
+_SAID = "SELECT DISTINCT conv_id, turn, text FROM conversations"
 _NAMES = "SELECT DISTINCT split_part(name, '-', 1) AS name FROM poi_fx"
 
 
 @query(oracle(f", n AS ({_NAMES}), t AS ({_SAID}) SELECT conv_id, turn, name FROM t, n WHERE contains(coalesce(text, ''), substr(name, 1, 3))", "poi_fx"))
 def mentioned_check(spark, sf_dir):
-    """Which places each turn mentions; the names are a counted, small set, and turns stay where they are."""
+    """Which places each turn mentions."""
     names = view(spark, sf_dir, "poi_fx").select(F.split_part("name", F.lit("-"), F.lit(1)).alias("name")).distinct()
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.or_empty(F.col("text")).alias("text"))
-    return turns.join(F.broadcast(names), T.mentioned(F.col("name"), F.col("text"))).select("conv_id", "turn", "name")
+    return itinerary.mentions(turns, names, "conv_id", "turn")
 
 
 @query(oracle(f""", n AS (SELECT DISTINCT w AS name FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w <> ''), t AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents)

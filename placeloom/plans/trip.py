@@ -26,7 +26,7 @@ def recalled(requests: DataFrame, kb: DataFrame, vectors: DataFrame, index: Bm25
     """
     asked = requests.select(F.col("request_id").alias("query_id"), query_text(F.col("interests"), F.col("city")).alias("query"), "city", "vector")
     found = search(asked, most, "hybrid", vectors, index, kb.select("id", "city"))
-    wanted = F.broadcast(requests.select(F.col("request_id").alias("query_id"), recall_count(F.col("days")).alias("n")))
+    wanted = requests.select(F.col("request_id").alias("query_id"), recall_count(F.col("days")).alias("n"))
     return found.join(wanted, "query_id").filter(F.col("rank") <= F.col("n")).select(F.col("query_id").alias("request_id"), "id", "score", "rank")
 
 
@@ -36,7 +36,7 @@ def plan_trips(
 ) -> DataFrame:
     """request_id, day, stop, id: recall, split into days, pick and order the stops of each."""
     placed = stay_coordinates(requests.drop("vector"), districts)
-    found = recalled(requests, kb, vectors, index).join(kb.drop("city"), "id").join(F.broadcast(placed), "request_id")
+    found = recalled(requests, kb, vectors, index).join(kb.drop("city"), "id").join(placed, "request_id")
     days = spatial_plan(found, spatial).filter("day IS NOT NULL")
     pool = days.join(found, ["request_id", "id"]).withColumns({"start_lat": F.col("stay_lat"), "start_lng": F.col("stay_lng")})
     return pick_days(score_terms(pool, core, crowd), seed, rng, styles, default, locking).drop("base")

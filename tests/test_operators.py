@@ -248,3 +248,18 @@ def test_out_of_scope_on_long_texts(spark):
     names = spark.createDataFrame([("hidden place",), ("place",), ("é",), ("none",)], "name string")
     out = itinerary.out_of_scope(texts, names, spark.createDataFrame([(1, "é")], "id long, name string"))
     assert sorted(tuple(x) for x in out.collect()) == [(1, "hidden place"), (1, "place")]
+
+
+def test_blocks_give_the_same_pairs(spark):
+    from placeloom.operators.blocks import against
+
+    table = spark.range(20).withColumnRenamed("id", "q")
+    whole = against(spark.range(7), table, "q")
+    parts = against(spark.range(7), table, "q", block_rows=3)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) and whole.count() == 140
+
+
+def test_mentions_by_start(spark):
+    texts = spark.createDataFrame([(1, "去黄鹤楼看看 ab"), (2, None)], "id long, text string")
+    names = spark.createDataFrame([("黄鹤楼公园",), ("黄鹤",), ("abc",), ("ab",)], "name string")
+    assert sorted(x.name for x in itinerary.mentions(texts, names, "id").collect()) == ["ab", "黄鹤", "黄鹤楼公园"]
