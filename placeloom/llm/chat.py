@@ -69,7 +69,7 @@ def read_turns(formatted: Column) -> Column:
 
 def op10_chat_formatting(spark, sf_dir):
     """Digests of the conversations as read back from the formatted examples."""
-    planted = spark.createDataFrame([(-1, 0, "user", PLANTED), (-1, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
+    planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(planted)
     each = format_conversations(turns)
     whole = F.concat("context", F.coalesce("target", F.lit("")), "closing")
