@@ -55,6 +55,20 @@ def replace_columns(df: DataFrame, **new: Column) -> DataFrame:
     return df.select(*(df[c] for c in df.columns if c.lower() not in taken), *(v.alias(k) for k, v in new.items()))
 
 
+def set_aside(df: DataFrame, *needed: str) -> DataFrame:
+    """The ``needed`` columns and one struct ``_rest`` of all others, whose names then clash with nothing."""
+    rest = [df[c] for c in df.columns if c not in needed]
+    return df.select(*needed, *([F.struct(*rest).alias("_rest")] if rest else []))
+
+
+def laid_out(df: DataFrame, columns: list[str], needed: tuple[str, ...], **new: Column) -> DataFrame:
+    """After ``set_aside``: ``columns`` in their order, those named in ``new`` (whatever their case) in their new form, the others of ``new`` last."""
+    named = {k.lower(): (k, v) for k, v in new.items()}
+    place = lambda c: named[c.lower()][1].alias(named[c.lower()][0]) if c.lower() in named else F.col(c) if c in needed else F.col("_rest").getField(c).alias(c)
+    there = {c.lower() for c in columns}
+    return df.select(*map(place, columns), *(v.alias(k) for low, (k, v) in named.items() if low not in there))
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import BROADCAST_ROWS, SPACE, counted_broadcast, documents, replace_columns, scratch
+from placeloom.llm.common import BROADCAST_ROWS, SPACE, counted_broadcast, documents, laid_out, scratch, set_aside
 
 FIELD = "<*>"
 #: Leading tokens that lead to a leaf, tokens of the shortest line looked at, documents a template recurs in,
@@ -94,6 +94,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` without the lines of recurring templates, with n_lines and n_dropped."""
+    columns, needed = docs.columns, ("doc_id", "text")
+    docs = set_aside(docs, *needed)
     drops = scratch(recurring_lines(docs, min_docs), "drops")
     few = drops.count() <= BROADCAST_ROWS
     drops = drops.groupBy("doc_id").agg(F.collect_set("key").alias("_drop")).withColumnRenamed("doc_id", "_id")
@@ -106,8 +108,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long")
     left_n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_left")).cast("long")
-    out = replace_columns(joined, n_lines=n, n_dropped=n - left_n, text=F.array_join("_left", "\n")).drop("_drop", "_left")
-    return out.select(*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns))
+    return laid_out(joined, columns, needed, n_lines=n, n_dropped=n - left_n, text=F.array_join("_left", "\n"))
 
 
 def op2_line_dedup(spark, sf_dir):

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import counted_broadcast, documents, n_words, replace_columns, scratch
+from placeloom.llm.common import counted_broadcast, documents, laid_out, n_words, scratch, set_aside
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MAX_EPOCHS, SEED = 1.5, 2.0, "mix-1"
@@ -91,13 +91,14 @@ def mix(docs: DataFrame, targets: DataFrame, seed: str = SEED, part_rows: int =
     ``sizes`` may hold the columns doc_id, source and size of ``docs``, written already.
     """
     ends = counted_broadcast(cuts(docs if sizes is None else sizes, targets, seed, part_rows))
-    docs = replace_columns(docs, _at=_spot(seed)).withColumnRenamed("source", "_mine")
+    columns, needed = docs.columns, ("doc_id", "source", "size")
+    docs = set_aside(docs, *needed).withColumn("_at", _spot(seed)).withColumnRenamed("source", "_mine")
     docs = docs.join(ends, F.col("_mine").eqNullSafe(F.col("_source")))
     size, at, cut = F.col("size"), F.col("_at"), F.col("_cut")
     before = (at < cut) | ((at == cut) & (size < F.col("_cut_size")))
     part = F.when(before, size).when((at == cut) & (size == F.col("_cut_size")), F.col("_cut_words")).otherwise(F.lit(0))
-    docs = replace_columns(docs, source_size=F.col("_all"), target=F.col("_target"), taken=(F.col("_whole") * size + part).cast("long"))
-    return docs.drop("_at", "_source", "_all", "_target", "_whole", "_cut", "_cut_size", "_cut_words").withColumnRenamed("_mine", "source")
+    taken = (F.col("_whole") * size + part).cast("long")
+    return laid_out(docs.withColumnRenamed("_source", "_known").withColumnRenamed("_mine", "source"), columns, needed, source_size=F.col("_all"), target=F.col("_target"), taken=taken)
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -105,8 +106,8 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
     Rows keep the columns of ``docs``; a document of no words stays once for each whole repetition.
     """
-    columns = docs.columns
-    sized = replace_columns(docs, size=n_words(F.col("text")))
+    columns, needed = docs.columns, tuple(c for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns)
+    sized = set_aside(docs, *needed).withColumn("size", n_words(F.col("text")))
     sizes = scratch(sized.select("doc_id", "source", "size"), "sizes")
     taken = mix(sized, source_targets(sizes), seed, sizes=sizes)
     size, left = F.greatest(F.col("size"), F.lit(1)), F.col("taken")
@@ -119,7 +120,7 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     some = some.withColumn("_words", words).withColumn("text", F.when((F.col("_words") < F.col("size")) & (F.col("_words") > 0), cut).otherwise(F.col("text")))
     if "n_chars" in columns:
         some = some.withColumn("n_chars", F.length("text").cast("long"))
-    return some.select(*columns)
+    return laid_out(some, columns, needed)
 
 
 def op5_mixing(spark, sf_dir):

@@ -129,7 +129,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, as they are."""
     features = scratch(measured(docs), "features")
     verdicts = judged(features).groupBy("doc_id").agg(F.bool_and("kept").alias("_kept")).filter("_kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["_id"]), "left_semi")
 
 
 def op9_quality_rules(spark, sf_dir):

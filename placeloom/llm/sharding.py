@@ -50,7 +50,8 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: Sequence[str] = SH
     names = tuple(shards)
     table = df.sparkSession.createDataFrame([(i, names[s]) for i, s in enumerate(lookup_table(names, slots))], "_slot int, _shard string")
     placed = replace_columns(df, slot=F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int"))
-    return replace_columns(placed.join(F.broadcast(table), F.col("slot") == F.col("_slot")), shard=F.col("_shard")).drop("_slot", "_shard")
+    joined = placed.join(F.broadcast(table), placed["slot"] == table["_slot"])
+    return joined.select(*(placed[c] for c in placed.columns if c.lower() != "shard"), table["_shard"].alias("shard"))
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", parts: int = 4, **options) -> None:
