@@ -44,6 +44,8 @@ SHINGLE, PERCENT = 5, 80
 CENTRES = 2
 #: Cells of the bitmap by which pairs that cannot be similar are refused before their sets are fetched.
 BITMAP = 2048
+#: Documents whose sets a task holds at once, and elements hashed at once; both bound a worker's memory.
+ROWS, ELEMENTS = 128, 1 << 12
 
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(0, 2**63, CHUNKS * IN_CHUNK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,8 +72,8 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 def signature(found: np.ndarray) -> np.ndarray:
     """The chunks of a set's signature, as 64-bit integers of four components each."""
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
-    for start in range(0, len(found), 1 << 15):
-        least = np.minimum(least, ((found[start : start + (1 << 15), None] ^ _MASKS) * _FACTORS).min(axis=0))
+    for start in range(0, len(found), ELEMENTS):
+        least = np.minimum(least, ((found[start : start + ELEMENTS, None] ^ _MASKS) * _FACTORS).min(axis=0))
     short = (least ^ (least >> np.uint64(32))) & np.uint64((1 << BITS) - 1)
     shifts = (np.uint64(1) << (np.arange(IN_CHUNK, dtype=np.uint64) * np.uint64(BITS)))
     return (short.reshape(CHUNKS, IN_CHUNK) * shifts).sum(axis=1, dtype=np.uint64).astype(np.int64)
@@ -83,8 +85,8 @@ def _batches(df: DataFrame, schema: str, kinds: list[pa.DataType], row) -> DataF
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
                 rows = [row(x) for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 

@@ -35,6 +35,8 @@ COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass".split(),
     "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este".split(),
 }
+#: Documents that a task holds at once.
+ROWS = 512
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
 PUNCTUATION, SYMBOLS, SPACES = ".,;:!?'\"()-", "#*$%&|<>", " \t\n\x0b\x0c\r"
 
@@ -75,7 +77,7 @@ FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table, common = _class_of_byte(), {k: [w.encode() for w in v] for k, v in COMMON_WORDS.items()}
-    for batch in batches:
+    for batch in (whole.slice(start, ROWS) for whole in batches for start in range(0, whole.num_rows, ROWS)):
         rows = []
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
             text = text or ""
