@@ -4,9 +4,13 @@ A line's way down the tree is fixed: first by its number of tokens, then by its
 where tokens with digits count as the field ``<*>``. Only leaves that lines of enough documents
 reach are looked at further. In such a leaf, a token that too few documents have at its place is a
 field as well, so lines that differ in variable words fall under one template, provided that enough
-of their tokens are constant; otherwise a line stays its own template. A template that recurs in
-enough documents is dropped from all of them but the first (smallest doc_id), which keeps the
-corpus from losing what the copies say. Order of rows and partitions doesn't matter.
+of their tokens are constant; otherwise a line stays its own template. Too few is fewer than
+MIN_DOCS, and fewer than CONSTANT_OF of the documents that have the line's constant tokens (as many
+of its most frequent tokens as a template needs), so a variable word stays a field however large the
+table is. A template that recurs in enough documents is dropped from all of them but the first
+(smallest doc_id), which keeps the corpus from losing what the copies say. Order of rows and
+partitions doesn't matter. OP2_SQL knows only the limit of MIN_DOCS: what it drops is dropped here
+too, and more where a variable word's values recur in MIN_DOCS documents each.
 
 Lines travel as 64-bit hashes of their leaf and of themselves; a hot line is pre-aggregated on the
 map side, and joins are plain equi-joins, which Spark may split where a key is hot.
@@ -28,6 +32,8 @@ FIELD = "<*>"
 #: Leading tokens that lead to a leaf, tokens of the shortest line looked at, documents a template recurs in,
 #: tokens from which words may become fields, and the constant share a template then needs.
 DEPTH, MIN_TOKENS, MIN_DOCS, MIN_GENERAL, MIN_CONSTANT = 3, 3, 5, 6, 0.75
+#: The share that a constant token has, at least, of the documents of a line's MIN_CONSTANT most frequent tokens.
+CONSTANT_OF = 0.5
 
 
 def masked_lines(text: Column) -> Column:
@@ -78,12 +84,14 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     counted = scratch(counted, "distinct-lines")
     general = counted.filter(n_tokens(F.col("line")) >= MIN_GENERAL)
     tokens = general.select("leaf", "key", "n_docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("n_docs").alias("n")).filter((F.col("n") >= min_docs) & (F.col("token") != FIELD)).drop("n")
-    constant = constant.withColumn("constant", F.lit(True))
+    constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("n_docs").alias("n")).filter((F.col("n") >= min_docs) & (F.col("token") != FIELD))
     seen = tokens.drop("n_docs").join(constant, ["leaf", "at", "token"], "left")
-    shape = F.struct("at", F.when(F.col("constant"), F.col("token")).otherwise(FIELD).alias("token"))
-    made = seen.groupBy("leaf", "key").agg(F.sort_array(F.collect_list(shape)).alias("shape"), F.count("constant").alias("same"), F.count(F.lit(1)).alias("all"))
-    made = made.filter(F.col("same") >= MIN_CONSTANT * F.col("all")).select("leaf", "key", F.array_join(F.transform("shape", lambda t: t["token"]), " ").alias("made"))
+    made = seen.groupBy("leaf", "key").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("shape"))
+    # The documents of the last token that a line needs as a constant; null if it has too few such tokens.
+    level = F.get(F.sort_array(F.transform("shape", lambda t: t["n"]), asc=False), (F.ceil(MIN_CONSTANT * F.size("shape")) - 1).cast("int"))
+    made = made.withColumn("level", level).filter("level IS NOT NULL")
+    words = F.transform("shape", lambda t: F.when(t["n"] >= CONSTANT_OF * F.col("level"), t["token"]).otherwise(FIELD))
+    made = made.select("leaf", "key", F.array_join(words, " ").alias("made"))
     # A line that isn't general enough is its own template.
     templates = counted.join(made, ["leaf", "key"], "left").select("leaf", "key", F.xxhash64("leaf", F.coalesce("made", "line")).alias("template"))
     placed = scratch(slim.join(templates, ["leaf", "key"]), "placed")

@@ -153,6 +153,17 @@ def test_lines_templates_and_cases(spark):
     assert (out[8].text, out[8].n_lines, out[9].text, out[10].text, out[11].n_dropped) == (None, 0, "", "\n", 0)
 
 
+@pytest.mark.parametrize("copies", [100, 10_000])
+def test_lines_word_fields_at_any_size(spark, copies):
+    r = random.Random(copies)
+    names = [a + b for a in WORDS for b in WORDS[:5]]
+    line = "This notice was written by {} for the readers of {} in their own town"
+    texts = [f"{line.format(r.choice(names), r.choice(names))}\nBody w{i}x of its own" for i in range(copies)]
+    out = {x.doc_id: x for x in line_dedup.drop_recurring_lines(docs(spark, texts)).select("doc_id", "text", "n_dropped").collect()}
+    kept = [d for d, x in out.items() if "This notice" in x.text]
+    assert len(out) == copies and 0 in kept and len(kept) <= 0.02 * copies
+
+
 def test_lines_keep_columns(spark):
     rows = [(i, f"the same long line stands here again\nbody {i}", "x", i) for i in range(6)] + [(None, "the same long line stands here again", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _drop string, n_lines int")
