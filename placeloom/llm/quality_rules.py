@@ -2,13 +2,16 @@
 
 A document has a histogram of character classes and one of the common words of its language. The
 references are the sums of the histograms of all documents of that language that pass the base
-rules and are long enough. A document is rejected if the Jensen-Shannon distance (base 2, from 0
+rules and are long enough, if they are MIN_REFERENCE or more. A document is rejected if the Jensen-Shannon distance (base 2, from 0
 to 1) of either histogram from its reference is above a threshold. Documents of fewer words than
 the guard aren't judged by their histograms, as theirs are too thin.
 
-Defined cases: a null text has no words, so it fails the base rules; languages that are null or
-not in COMMON_WORDS form one group, judged by characters only; repeated rows are judged alike;
-an empty table gives an empty result; input columns named like an output column give way to it.
+Defined cases: a null text has no words, so it fails the base rules; a language that isn't in
+COMMON_WORDS has its own reference, of characters only; documents whose language is null or has too
+few good documents aren't judged by histograms; repeated rows are judged alike; an empty table
+gives an empty result; input columns named like an output column give way to it. OP9_SQL still sums
+all languages that are null or not in COMMON_WORDS into one reference, and has no MIN_REFERENCE: it
+says the same only of tables without such languages.
 """
 
 from __future__ import annotations
@@ -21,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import documents, scratch
+from placeloom.llm.common import counted_broadcast, documents, scratch
 
 MIN_WORDS, MAX_REPEATED = 20, 0.30
 #: Words a document needs for its histograms to count, and the largest distances of a good document.
 #: A short document's word histogram strays by chance, so its limit is wider by SLACK over its words.
 GUARD_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, SLACK = 50, 0.30, 0.27, 5.0
 
+#: Good documents that a language's reference needs, and the references (some 500 bytes each) that a join may broadcast.
+MIN_REFERENCE, BROADCAST_REFERENCES = 10, 10_000
+
 # Frequent function words of each language.
 COMMON_WORDS = {
     "en": "the of and to in a is that for it as was with be by on not he at from are or an this his but have had they which".split(),
@@ -111,15 +117,15 @@ def measured(docs: DataFrame) -> DataFrame:
 def judged(features: DataFrame) -> DataFrame:
     """``features`` with base_failed, both distances and kept.
 
-    The references are one row per known language and one for all others, whatever the input.
+    The references are one row per language with enough good documents.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
-    key = F.when(F.col("lang").isin(list(COMMON_WORDS)), F.col("lang")).otherwise("")
-    rows = features.withColumns({"base_failed": failed, "_key": key})
+    rows = features.withColumn("base_failed", failed)
     good = rows.filter(~F.col("base_failed") & (F.col("n_words") >= GUARD_WORDS))
     bins = lambda c, n: F.array(*(F.sum(F.get(c, F.lit(i))).cast("double") for i in range(n)))
-    refs = good.groupBy("_key").agg(bins("_chars", len(CLASSES)).alias("_ref_chars"), bins("_common", 1 + max(map(len, COMMON_WORDS.values()))).alias("_ref_common"))
-    rows = rows.join(F.broadcast(refs), "_key", "left")
+    refs = good.groupBy(F.col("lang").alias("_key")).agg(F.count(F.lit(1)).alias("_n"), bins("_chars", len(CLASSES)).alias("_ref_chars"), bins("_common", 1 + max(map(len, COMMON_WORDS.values()))).alias("_ref_common"))
+    refs = scratch(refs.filter((F.col("_n") >= MIN_REFERENCE) & F.col("_key").isNotNull()).drop("_n"), "references")
+    rows = rows.join(counted_broadcast(refs, BROADCAST_REFERENCES), rows["lang"] == refs["_key"], "left")
     common = F.slice("_ref_common", F.lit(1), F.size("_common"))
     apart = {c: F.coalesce(distance(F.transform(x, lambda v: v.cast("double")), ref), F.lit(0.0)) for c, x, ref in (("char_distance", F.col("_chars"), F.col("_ref_chars")), ("word_distance", F.col("_common"), common))}
     rows = rows.withColumns(apart)

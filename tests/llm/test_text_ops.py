@@ -165,6 +165,18 @@ def test_rules_cases(spark):
     assert quality_rules.keep_good(df.limit(0)).count() == 0
 
 
+def test_rules_judge_each_language_by_itself(spark):
+    r = random.Random(3)
+    italian, japanese = "la casa sul mare dove vivono molti amici di una volta".split(), "これは 日本語 文章 です 東京 から 大阪 まで 電車 行きます".split()
+    text = lambda words: " ".join(r.choice(words) + r.choice(words) for _ in range(80))
+    rows = [(i, text((italian, japanese)[i % 2]), ("it", "ja")[i % 2]) for i in range(60)]
+    rows += [(60, "#### 0123 4567 " * 3 + " ".join(f"{i}#{i * 7}" for i in range(90)), "it"), (61, text(japanese), "it")]
+    rows += [(70 + i, text((italian, japanese)[i % 2]), None) for i in range(40)] + [(200 + i, text((italian, japanese)[i > 0]), "rare") for i in range(3)]
+    out = quality_rules.judged(quality_rules.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect()
+    assert len(out) == len(rows) and not any(x.base_failed or x.n_words < quality_rules.GUARD_WORDS for x in out)
+    assert sorted(x.doc_id for x in out if not x.kept) == [60, 61]
+
+
 def test_rules_keep_clean_documents(spark):
     docs = spark.read.parquet(f"{ROOT}/sf0.1/documents.parquet")
     labels = spark.read.parquet(f"{ROOT}/sf0.1/labels.parquet").filter("quality = 1 AND toxic = 0")
