@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,29 +18,62 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only a local session may do without the setting (tests): it gets a folder of this machine.
+    Only a session without executors of its own (``local[n]``, tests) may do without the setting; it gets a new folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "/tmp/checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; each application has its own subfolder."""
-    return f"{shared_dir(spark)}/placeloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+def scratch_database(spark: SparkSession) -> str:
+    """The database of this application's scratch tables; its folder is below the shared one."""
+    name = "placeloom_" + re.sub(r"[^0-9A-Za-z]", "_", spark.sparkContext.applicationId)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{shared_dir(spark)}/{name}'")
+    return name
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends there, lost executors don't matter."""
+@dataclass(frozen=True)
+class Table:
+    """A scratch table and its rows; ``drop`` deletes its files, once nothing lazy needs them any more."""
+
+    name: str
+    df: DataFrame
+
+    def drop(self) -> None:
+        self.df.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def save(df: DataFrame, name: str, bucket: str | None = None, buckets: int = 0, part: str | None = None) -> Table:
+    """Write a table into the shared folder and read it back: lineage ends there, lost executors don't matter.
+
+    With ``bucket``, rows are dealt to ``buckets`` files by that column and sorted by it in each, so
+    that joins and groupings of such tables need no exchange. With ``part``, one folder per value.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = f"{scratch_database(spark)}.{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet")
+    if bucket:
+        writer = writer.bucketBy(buckets, bucket).sortBy(bucket)
+    if part:
+        writer = writer.partitionBy(part)
+    writer.saveAsTable(table)
+    return Table(table, spark.table(table))
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """The rows of a table that ``save`` writes, for results that are read later on."""
+    return save(df, name).df
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that haven't been read yet are lost."""
+    spark.sql(f"DROP DATABASE IF EXISTS {scratch_database(spark)} CASCADE")
 
 
 #: Rows of a few plain columns (some tens of MB) that a join may broadcast once they have been counted.

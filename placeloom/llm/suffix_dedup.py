@@ -1,42 +1,50 @@
-"""Removal of repeated passages with a logarithmic family of sparse suffix indexes.
+"""Removal of repeated passages with a logarithmic family of sparse suffix arrays.
 
 Every byte is removed that a string of ``span`` bytes covers which also starts anywhere else, in the
 same document or another; strings are judged on the input and never cross documents.
 
-Suffixes are sampled consistently: of the 128-byte grams in a string of ``span`` bytes the one of
-the least hash (the leftmost of equals) is its anchor, so equal strings have their anchor at the
-same place. Consecutive strings with one anchor form a run. A level of the index holds suffixes at
-anchors, ordered by the fingerprint of their first bytes, equal runs as one entry with a count.
-A batch of documents gets an index of its own, is merge-scanned against all levels for common
-grams, and enters the family: two levels of equal size merge into one twice as large, so each
-entry is rewritten as often as the logarithm of the number of batches.
-
-Runs that are equal as a whole are removed whole. Where only parts of runs may agree, the bytes of
-each distinct run are brought together by gram, and the fingerprints of their strings tell which
-start twice. A gram with very many distinct runs (the edge of a passage that a large share of
-documents have) is instead compared by strings, in a distributed aggregation.
+Suffixes are sampled consistently: of the ``gram``-byte strings inside a string of ``span`` bytes the
+one of the least hash (the leftmost of equals) is its anchor, so equal strings have their anchor at
+the same place, and the suffixes that start there have a common prefix of ``gram`` bytes or more.
+Consecutive strings with one anchor form a run. The hash only chooses anchors; nothing is taken for
+equal because of it.
+
+A batch of documents gets a suffix array: the first ``gram`` bytes of its sampled suffixes, each
+once with the number of its occurrences, in the order of bytes. It is a bucketed and sorted table,
+so a merge-scan of two arrays is a sort-merge join without an exchange. A new array is merge-scanned
+against all levels for common prefixes, and enters the family: arrays of equal size merge, in
+order, into one twice as large, so each suffix is rewritten as often as the logarithm of the number
+of batches. What has been merged is deleted.
+
+The occurrences of matched suffixes are then extended to both sides. Runs whose bytes agree as a
+whole (by 128-bit cryptographic digests) are removed whole. Where only parts of runs may agree, the
+bytes of each distinct run are brought together by suffix; strings that sort as equal are compared
+byte by byte. A suffix with very many distinct runs (the edge of a passage that a large share of
+documents have) is instead compared by digests of its strings, in a distributed aggregation.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``span`` lose nothing; very
 long texts are sampled in overlapping pieces; repeated rows repeat their strings, so they lose
-them; rows of one doc_id with different texts are told apart; null doc_ids are kept apart by text;
-an empty table gives an empty result; columns other than doc_id and text are ignored.
+them; rows of one doc_id with different texts are told apart (by two 64-bit hashes of both); doc_id
+may have any type that can be hashed, null included; an empty table gives an empty result; columns
+other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import documents, scratch
+from placeloom.llm.common import BROADCAST_ROWS, Table, documents, save
 
-SPAN, GRAM = 400, 128
-#: Batches in which documents enter the index, and distinct runs from which a gram is compared by strings.
-BATCHES, MANY_RUNS = 4, 20_000
+SPAN, GRAM = 400, 64
+#: Batches in which documents enter the index, and distinct runs from which a suffix is compared by strings.
+BATCHES, MANY_RUNS = 4, 5_000
 #: Bytes hashed at once.
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -83,108 +91,138 @@ def runs(raw: bytes, span: int = SPAN, gram: int = GRAM) -> Iterator[tuple[int,
             yield start + p, start + a, start + b, h
 
 
-def _run_hash(raw: bytes, p: int, a: int, b: int, span: int) -> int:
-    import xxhash
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
 
-    return int.from_bytes(xxhash.xxh3_64_digest(raw[a : b + span], seed=p - a), "big", signed=True)
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
 def _arrow(df: DataFrame, schema: str, work) -> DataFrame:
-    """``work``: an iterator of batches to an iterator of lists of rows of ``schema`` (long and binary)."""
-    names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
+    """``work``: an iterator of batches to an iterator of lists of rows of ``schema``."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
 
     def mapped(batches):
         for rows in work(batches):
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for c, k in zip(zip(*rows), kinds)], list(names))
 
     return df.mapInArrow(mapped, schema)
 
 
-RUN = ["gram", "run", "off", "n_strings"]
+ROW = ["row_a", "row_b"]
 
 
 def occurrences(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """row_key, p (anchor), gram, run (fingerprints), off (anchor less first string), n_strings: one row per run.
+    """batch, row_a, row_b, p (anchor), off (anchor less first string), n_strings, run (digest), suffix: a row per run.
 
-    ``docs`` has row_key and text.
+    ``docs`` has batch, row_a, row_b and text.
     """
 
     def work(batches):
+        rows = []
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column("row_key").to_pylist(), batch.column("text").to_pylist()):
+            for part, a, b, text in zip(*(batch.column(c).to_pylist() for c in ("batch", *ROW, "text"))):
                 raw = (text or "").encode()
-                rows += [(key, p, h, _run_hash(raw, p, a, b, span), p - a, b - a + 1) for p, a, b, h in runs(raw, span, gram)]
+                rows += [(part, a, b, p, p - x, y - x + 1, _digest(raw[x : y + span]), raw[p : p + gram]) for p, x, y, _ in runs(raw, span, gram)]
                 if len(rows) > 50_000:
                     yield rows
                     rows = []
-            yield rows
+        yield rows
 
-    return _arrow(docs.select("row_key", "text"), "row_key long, p long, gram long, run long, off long, n_strings long", work)
+    return _arrow(docs.select("batch", *ROW, "text"), "batch int, row_a long, row_b long, p long, off long, n_strings long, run binary, suffix binary", work)
 
 
 class SuffixIndexFamily:
-    """Levels of sampled suffixes; level k holds 2^k batches. ``common`` has the grams found twice so far."""
+    """Levels of suffix arrays; level k holds 2^k batches. ``matches`` has the suffixes found twice so far.
+
+    All arrays are dealt to the same ``buckets``, and a suffix is one row of its array however often
+    it occurs, so neither scans nor merges have hot keys.
+    """
 
-    def __init__(self):
-        self.levels: dict[int, DataFrame] = {}
-        self.common: DataFrame | None = None
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.levels: dict[int, Table] = {}
+        self.matches: Table | None = None
 
-    @staticmethod
-    def _index(entries: DataFrame) -> DataFrame:
-        """Entries (RUN, n, row_key, p) with equal runs merged; row_key and p tell where one of them stands."""
-        merged = entries.groupBy(*RUN).agg(F.sum("n").alias("n"), F.min("row_key").alias("row_key"), F.min_by("p", "row_key").alias("p"))
-        return scratch(merged.repartition("gram").sortWithinPartitions("gram", "run"), "level")
+    def _array(self, counts: DataFrame) -> Table:
+        return save(counts, "suffix-array", bucket="suffix", buckets=self.buckets)
 
     def add(self, batch: DataFrame) -> None:
-        """Take in the occurrences of new documents."""
-        new = self._index(batch.select(*RUN, F.lit(1).cast("long").alias("n"), "row_key", "p"))
-        grams = new.groupBy("gram").agg(F.sum("n").alias("n"))
-        found = [grams.filter(F.col("n") > 1).select("gram"), *(grams.select("gram").join(old.select("gram"), "gram", "left_semi") for old in self.levels.values())]
-        if self.common is not None:
-            found.append(self.common)
-        both = found[0]
-        for x in found[1:]:
-            both = both.union(x)
-        self.common = scratch(both.distinct(), "common")
-        k = 0
+        """Take in the sampled suffixes (suffix) of new documents."""
+        new = self._array(batch.repartition(self.buckets, "suffix").groupBy("suffix").agg(F.count(F.lit(1)).alias("n")))
+        found = [new.df.filter("n > 1").select("suffix"), *(new.df.join(old.df.hint("merge"), "suffix", "left_semi").select("suffix") for old in self.levels.values())]
+        if self.matches is not None:
+            found.append(self.matches.df)
+        earlier, self.matches = self.matches, save(reduce(DataFrame.union, found).distinct(), "matches")
+        if earlier is not None:
+            earlier.drop()
+        merged, k = [new], 0
         while k in self.levels:
-            new = self._index(new.select(*RUN, "n", "row_key", "p").union(self.levels.pop(k).select(*RUN, "n", "row_key", "p")))
+            merged.append(self.levels.pop(k))
             k += 1
+        if len(merged) > 1:
+            new = self._array(reduce(DataFrame.union, (x.df for x in merged)).groupBy("suffix").agg(F.sum("n").alias("n")))
+        for old in merged if len(merged) > 1 else ():
+            old.drop()
         self.levels[k] = new
 
-    def entries(self) -> DataFrame:
-        """All entries whose gram occurs twice or more, equal runs of different levels merged."""
-        levels = [x.select(*RUN, "n", "row_key", "p").join(self.common, "gram", "left_semi") for x in self.levels.values()]
-        if len(levels) == 1:
-            return levels[0]
-        both = levels[0]
-        for x in levels[1:]:
-            both = both.union(x)
-        return self._index(both)
-
-
-def _strings(held: list[tuple], span: int) -> tuple[np.ndarray, np.ndarray]:
-    """A key for each string of the runs in ``held`` (gram, off, n_strings, bytes, ...), and the run it is in."""
-    keys, owner, at = [], [], 0
-    while at < len(held):
-        part, size = [], 0
-        while at < len(held) and (not part or size + len(held[at][3]) <= PIECE):
-            part.append(held[at])
-            size += len(held[at][3])
-            at += 1
-        hashes = fingerprints(np.frombuffer(b"".join(x[3] for x in part), np.uint8), span)
-        counts = np.array([x[2] for x in part])
-        begin = np.concatenate([[0], np.cumsum([len(x[3]) for x in part])[:-1]])
-        inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        place = np.repeat(np.array([x[1] for x in part]), counts) - inner
-        grams = np.repeat(np.array([x[0] for x in part], np.int64), counts).view(np.uint64)
-        found = hashes[np.repeat(begin, counts) + inner] + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + grams * np.uint64(0x165667B19E3779F9)
-        keys.append(found)
-        owner.append(np.repeat(np.arange(at - len(part), at), counts))
-    return np.concatenate(keys), np.concatenate(owner)
+    def drop(self) -> None:
+        for table in [*self.levels.values(), self.matches]:
+            if table is not None:
+                table.drop()
+
+
+def _few(rows: DataFrame, of: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` whose ROW columns stand in ``of`` (a written table), if it is counted to be small enough to be broadcast; else all rows.
+
+    A filter ahead of a join with ``of`` that keeps rows from being shuffled in vain; the join decides.
+    """
+    return rows.join(F.broadcast(of.select(*ROW)), ROW, "left_semi") if of.count() <= limit else rows
+
+
+def _starts(held: list[tuple]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the runs in ``held`` (suffix, off, n_strings, bytes, ...) end to end, and for each string its start there, its run and the place of its anchor."""
+    counts = np.array([x[2] for x in held])
+    begin = np.concatenate([[0], np.cumsum([len(x[3]) for x in held])[:-1]])
+    owner = np.repeat(np.arange(len(held)), counts)
+    inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return b"".join(x[3] for x in held), begin[owner] + inner, owner, np.array([x[1] for x in held])[owner] - inner
+
+
+def _twice(held: list[tuple], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each string of the runs in ``held`` stands there twice or more, and the run it is in.
+
+    Strings are sorted by fingerprints; neighbours of equal fingerprints are compared byte by byte,
+    those at the same distance from each other in one comparison.
+    """
+    blob, start, owner, place = _starts(held)
+    raw = np.frombuffer(blob, np.uint8)
+    step = PIECE - span + 1
+    every = np.concatenate([fingerprints(raw[x : x + PIECE], span) for x in range(0, max(1, len(raw) - span + 1), step)])
+    keys = every[start] + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    order = np.argsort(keys, kind="stable")
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    x, y = order[same], order[same + 1]
+    twice = np.zeros(len(keys), bool)
+    by = np.lexsort((x, start[y] - start[x]))
+    x, y = x[by], y[by]
+    apart = (np.diff(start[x]) != 1) | (np.diff(start[y]) != 1)
+    cuts = [0, *(np.flatnonzero(apart) + 1).tolist(), len(x)] if len(x) else [0]
+    for i, j in zip(cuts, cuts[1:]):
+        a, b, n = start[x[i]], start[y[i]], j - i - 1 + span
+        if blob[a : a + n] == blob[b : b + n]:
+            twice[x[i:j]] = twice[y[i:j]] = True
+        else:
+            # Some fingerprint stands for several strings: all strings of these fingerprints are told apart by their bytes.
+            for key in np.unique(keys[x[i:j]]):
+                seen: dict[bytes, list[int]] = {}
+                for s in np.flatnonzero(keys == key).tolist():
+                    seen.setdefault(blob[start[s] : start[s] + span], []).append(s)
+                for members in seen.values():
+                    if len(members) > 1:
+                        twice[members] = True
+    return twice, owner
 
 
 def _spans(mask: np.ndarray, first: int, span: int) -> Iterator[tuple[int, int]]:
@@ -193,27 +231,27 @@ def _spans(mask: np.ndarray, first: int, span: int) -> Iterator[tuple[int, int]]
         yield first + a, first + b - 1 + span
 
 
+PIECES = "gram long, off long, n_strings long, bytes binary, n long, row_a long, row_b long, p long, many long"
+SPANS = "row_a long, row_b long, start long, end long"
+
+
 def _compare(batches, span: int):
     """The repeated parts of runs that stand once, from rows sorted by gram."""
 
     def flush(held):
-        keys, owner = _strings(held, span)
-        order = np.argsort(keys)
-        same = keys[order[1:]] == keys[order[:-1]]
-        twice = np.zeros(len(keys), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        twice, owner = _twice(held, span)
         cuts = np.searchsorted(owner, np.arange(len(held) + 1))
         rows = []
         for i in np.unique(owner[twice]).tolist():
-            _, off, _, _, n, key, p = held[i]
+            _, off, _, _, n, a, b, p = held[i]
             if n == 1:
-                rows += [(key, a, b) for a, b in _spans(twice[cuts[i] : cuts[i + 1]], p - off, span)]
+                rows += [(a, b, *ends) for ends in _spans(twice[cuts[i] : cuts[i + 1]], p - off, span)]
         return rows
 
     held, size = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "off", "n_strings", "bytes", "n", "row_key", "p"))):
-            if size > (4 << 20) and row[0] != held[-1][0]:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "off", "n_strings", "bytes", "n", *ROW, "p"))):
+            if size > PIECE and row[0] != held[-1][0]:
                 yield flush(held)
                 held, size = [], 0
             held.append(row)
@@ -222,89 +260,98 @@ def _compare(batches, span: int):
         yield flush(held)
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batches: int = BATCHES, many_runs: int = MANY_RUNS) -> DataFrame:
-    """row_key, start, end: spans of bytes to remove, perhaps overlapping. ``docs`` has row_key and text."""
-    every = scratch(occurrences(docs, span, gram), "occurrences")
-    family = SuffixIndexFamily()
-    for i in range(batches):
-        family.add(every.filter(F.pmod(F.xxhash64("row_key"), F.lit(batches)) == i))
-    entries = scratch(family.entries(), "entries")
-    whole = entries.filter(F.col("n") > 1).select(*RUN)
-    spans = every.join(whole, RUN, "left_semi").select("row_key", (F.col("p") - F.col("off")).alias("start"), (F.col("p") - F.col("off") + F.col("n_strings") - 1 + span).alias("end"))
-    mixed = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n_runs"), F.min("n").alias("least")).filter((F.col("n_runs") > 1) & (F.col("least") == 1))
-    wanted = entries.join(mixed.select("gram", (F.col("n_runs") > many_runs).alias("many")), "gram")
-    wanted = wanted.groupBy("row_key").agg(F.collect_list(F.struct("p", *RUN, "n", F.col("many").cast("long").alias("many"))).alias("wanted"))
-
-    def cut(rows):
-        for batch in rows:
-            out, size = [], 0
-            for key, text, asked in zip(*(batch.column(c).to_pylist() for c in ("row_key", "text", "wanted"))):
-                raw = text.encode()
-                for x in asked:
-                    a = x["p"] - x["off"]
-                    b = a + x["n_strings"] - 1
-                    if _run_hash(raw, x["p"], a, b, span) == x["run"]:
-                        out.append((x["gram"], x["off"], x["n_strings"], raw[a : b + span], x["n"], key, x["p"], x["many"]))
-                        size += b + span - a
-                if size > (4 << 20):
-                    yield out
-                    out, size = [], 0
-            yield out
-
-    asked = docs.join(wanted, "row_key").select("row_key", "text", "wanted")
-    pieces = scratch(_arrow(asked, "gram long, off long, n_strings long, bytes binary, n long, row_key long, p long, many long", cut), "pieces")
-    few = pieces.filter("many = 0").repartition("gram").sortWithinPartitions("gram")
-    spans = spans.union(_arrow(few, "row_key long, start long, end long", lambda rows: _compare(rows, span)))
-    return spans.union(_by_strings(pieces.filter("many = 1"), span))
-
-
 def _by_strings(pieces: DataFrame, span: int) -> DataFrame:
-    """The same comparison for grams with very many runs: strings are counted by key, first on the map side."""
+    """The same comparison for suffixes with very many runs: strings are counted by digest, first on the map side."""
 
     def work(rows):
         for batch in rows:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "off", "n_strings", "bytes", "n", "row_key", "p"))):
-                keys, _ = _strings([row], span)
-                yield [(k, row[4], row[5], row[6] - row[1] + i) for i, k in enumerate(keys.view(np.int64).tolist())]
-
-    strings = _arrow(pieces, "key long, n long, row_key long, start long", work)
-    twice = strings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select("key")
-    return strings.filter("n = 1").join(twice, "key", "left_semi").select("row_key", "start", (F.col("start") + span).alias("end"))
+            for off, count, raw, n, a, b, p in zip(*(batch.column(c).to_pylist() for c in ("off", "n_strings", "bytes", "n", *ROW, "p"))):
+                yield [(_digest(raw[i : i + span]), n, a, b, p - off + i) for i in range(count)]
+
+    strings = _arrow(pieces, "string binary, n long, row_a long, row_b long, start long", work)
+    twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select("string")
+    return strings.filter("n = 1").join(twice, "string", "left_semi").select(*ROW, "start", (F.col("start") + span).alias("end"))
+
+
+def _cut(rows, span: int):
+    """The bytes of the runs asked for, from their documents."""
+    out, size = [], 0
+    for batch in rows:
+        for a, b, text, asked in zip(*(batch.column(c).to_pylist() for c in (*ROW, "text", "wanted"))):
+            raw = text.encode()
+            for x in asked:
+                first = x["p"] - x["off"]
+                piece = raw[first : first + x["n_strings"] - 1 + span]
+                out.append((x["gram"], x["off"], x["n_strings"], piece, x["n"], a, b, x["p"], x["many"]))
+                size += len(piece)
+                if size > (4 << 20):
+                    yield out
+                    out, size = [], 0
+    yield out
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batches: int = BATCHES, many_runs: int = MANY_RUNS) -> DataFrame:
+    """row_a, row_b, start, end: spans of bytes to remove, perhaps overlapping. ``docs`` has row_a, row_b and text."""
+    spark = docs.sparkSession
+    batch = F.pmod(F.col("row_b"), F.lit(batches)).cast("int").alias("batch")
+    every = save(occurrences(docs.select("*", batch), span, gram), "occurrences", part="batch")
+    family = SuffixIndexFamily(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for i in range(batches):
+        family.add(every.df.filter(F.col("batch") == i).select("suffix"))
+    # A hash of the suffix is enough to find the occurrences of matches; what isn't a match finds no equal bytes below.
+    matches = save(family.matches.df.select(F.xxhash64("suffix").alias("gram")).distinct(), "matched")
+    family.drop()
+    hashed = every.df.select(F.xxhash64("suffix").alias("gram"), "run", "off", "n_strings", *ROW, "p")
+    small = matches.df.count() <= BROADCAST_ROWS
+    matched = save(hashed.join(F.broadcast(matches.df) if small else matches.df, "gram", "left_semi").withColumn("id", F.monotonically_increasing_id()), "matched-runs")
+    every.drop()
+    matches.drop()
+    place = [F.min_by(c, "id").alias(c) for c in (*ROW, "p")]
+    entries = save(matched.df.groupBy("gram", "run", "off", "n_strings").agg(F.count(F.lit(1)).alias("n"), *place), "runs")
+    whole = matched.df.join(entries.df.filter(F.col("n") > 1).select("gram", "run"), ["gram", "run"], "left_semi")
+    first = F.col("p") - F.col("off")
+    whole = save(whole.select(*ROW, first.alias("start"), (first + F.col("n_strings") - 1 + span).alias("end")), "whole-runs")
+    matched.drop()
+    mixed = entries.df.groupBy("gram").agg(F.count(F.lit(1)).alias("n_runs"), F.min("n").alias("least")).filter((F.col("n_runs") > 1) & (F.col("least") == 1))
+    wanted = entries.df.join(mixed.select("gram", (F.col("n_runs") > many_runs).cast("long").alias("many")), "gram")
+    wanted = save(wanted.groupBy(*ROW).agg(F.collect_list(F.struct("gram", "off", "n_strings", "n", "p", "many")).alias("wanted")), "wanted")
+    asked = _few(docs, wanted.df).join(wanted.df, ROW).select(*ROW, "text", "wanted")
+    pieces = save(_arrow(asked, PIECES, lambda rows: _cut(rows, span)), "pieces")
+    entries.drop()
+    wanted.drop()
+    few = pieces.df.filter("many = 0").repartition("gram").sortWithinPartitions("gram")
+    parts = save(_arrow(few, SPANS, lambda rows: _compare(rows, span)).union(_by_strings(pieces.df.filter("many = 1"), span)), "parts-of-runs")
+    pieces.drop()
+    return whole.df.union(parts.df)
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and two hashes by which equal rows are known."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("row_b"))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the remaining bytes."""
-    keyed = with_row_key(docs)
-    spans = repeated_spans(keyed, span, **options).groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = keyed.join(spans, "row_key", "left").select("doc_id", "text", "spans")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def work(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(start, 512), []
-                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                    raw = (text or "").encode()
-                    kept, upto, n_spans, removed = [], 0, 0, 0
-                    end = -1
-                    for x in sorted((x["start"], x["end"]) for x in spans or ()):
-                        if x[0] > end:
-                            n_spans += 1
-                            kept.append(raw[upto : x[0]])
-                            removed += x[1] - x[0]
-                        else:
-                            removed += max(0, x[1] - end)
-                        upto = end = max(end, x[1])
-                    kept.append(raw[upto:])
-                    rows.append((len(raw), removed, n_spans, b"".join(kept)))
-                arrays = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 3 + [pa.binary()])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return joined.mapInArrow(work, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = with_rows(docs)
+    order = Window.partitionBy(*ROW).orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = repeated_spans(rows, span, **options).distinct().withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    spans = spans.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy(*ROW, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = save(spans, "spans").df
+    small = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS
+    found = rows.join(F.broadcast(spans) if small else spans, ROW, "left")
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    n = F.size("spans")
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col("spans"), i - 1)["end"]).cast("int")
+    end = lambda i: F.when(i == n, F.octet_length(raw)).otherwise(F.get(F.col("spans"), i)["start"]).cast("int")
+    left = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(raw, begin(i) + 1, end(i) - begin(i)).cast("string")), "")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return found.select(
+        "doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.coalesce(removed, F.lit(0)).alias("n_removed"), F.coalesce(n, F.lit(0)).cast("long").alias("n_spans"),
+        F.when(F.col("spans").isNull(), raw).otherwise(left.cast("binary")).alias("kept"),
+    )
 
 
 def op4_suffix_array_dedup(spark, sf_dir):
