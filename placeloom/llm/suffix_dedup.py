@@ -150,7 +150,7 @@ class SuffixIndexFamily:
 
     def add(self, batch: DataFrame) -> None:
         """Take in the sampled suffixes (suffix) of new documents."""
-        new = self._array(batch.repartition(self.buckets, "suffix").groupBy("suffix").agg(F.count(F.lit(1)).alias("n")))
+        new = self._array(batch.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")))
         found = [new.df.filter("n > 1").select("suffix"), *(new.df.join(old.df.hint("merge"), "suffix", "left_semi").select("suffix") for old in self.levels.values())]
         if self.matches is not None:
             found.append(self.matches.df)

@@ -51,6 +51,39 @@ def test_exact_nulls_and_repeated_ids(spark):
     assert exact.exact_dedup(docs(spark, []))[0].count() == 0
 
 
+def test_exact_directory_doubles(spark):
+    # 30 keys that agree in their 24 leading bits, 20 spread ones and, at the other end, one alone.
+    keys = sorted({(7 << 39) + i * (65_537 << 16) for i in range(30)} | {(i << 58) + i for i in range(-10, 10)} | {-1})
+    buckets, began = exact.directory(spark.createDataFrame([(k,) for k in keys], "h long"), 3)
+    found = buckets.collect()
+    assert max(x.n_keys for x in found) <= 3 and max(x.depth for x in found) > 24 > 2 * began
+    assert len({x.depth for x in found}) > 3
+    for k in keys:
+        (own,) = [x for x in found if x.low <= k <= x.high]
+        assert own.n_keys == sum(own.low <= j <= own.high for j in keys) and own.bucket == own.low
+
+
+def test_exact_colliding_texts_are_a_chain(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact.F, "xxhash64", lambda c: F.length(c).cast("long"))
+    texts = ["ab", "ba", "a b", "c", " c", "ba", "abc"]
+    out, index = exact.exact_dedup(docs(spark, texts), capacity=1)
+    got = {x.doc_id: (x.keep_id, x.group_size, x.text_sha256) for x in out.collect()}
+    monkeypatch.undo()
+    assert got == {0: (2, 2, sha("ab")), 2: (2, 2, sha("ab")), 1: (1, 2, sha("ba")), 5: (1, 2, sha("ba")), 3: (4, 2, sha("c")), 4: (4, 2, sha("c")), 6: (6, 1, sha("abc"))}
+    assert sorted((x.h, x.link) for x in index.collect()) == [(1, 1), (2, 1), (2, 2), (3, 1)]
+
+
+def test_exact_hot_copies_and_text_ids(spark):
+    rows = [(f"d{i:03d}", ("same text ", "same  text", "other", None)[i % 4]) for i in range(200)] + [(None, "same  text")]
+    for copies in (10, 1000):
+        out = exact.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string"), copies=copies)[0].collect()
+        got = {(x.text_sha256, x.keep_id, x.group_size) for x in out}
+        assert got == {(sha("sametext"), "d000", 101), (sha("other"), "d002", 50), (sha(""), "d003", 50)}
+        assert len(out) == 201 and sum(x.kept for x in out) == 3
+
+
 def _near_texts():
     r = random.Random(2)
     texts = list(ODD)
