@@ -24,6 +24,7 @@ def main(words: list[str] | None = None) -> None:
     p.add_argument("--query", help="search: what to look for")
     p.add_argument("--top_k", type=int, default=10)
     p.add_argument("--mode", default="hybrid")
+    p.add_argument("--whole_words", action="store_true", help="build: index runs of ideographs whole instead of by pairs")
     a = p.parse_args(words)
     city, spark = city_config(load_cities(a.config), a.city), session()
     if a.stage == "crawl":
@@ -33,7 +34,7 @@ def main(words: list[str] | None = None) -> None:
     elif a.stage == "tag":
         stages.tag_stage(spark, city, a.root)
     elif a.stage == "build":
-        stages.build_stage(spark, city, a.root, a.force)
+        stages.build_stage(spark, city, a.root, a.force, bigrams=not a.whole_words)
     elif a.stage == "eval":
         aggregate(stages.eval_stage(spark, city, a.root, read_eval_set(spark, a.cases), a.top_k)).show()
     else:

@@ -162,3 +162,27 @@ def city_config(cities: Mapping[str, City], key: str) -> City:
     if key not in cities:
         raise KeyError(f"unknown city {key}; known: {', '.join(cities)}")
     return cities[key]
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """The words that tags, companions and texts are made of."""
+
+    interests: tuple[str, ...] = INTERESTS
+    behaviors: tuple[str, ...] = BEHAVIORS
+    crowd: Mapping[str, Mapping[str, float]] = field(default_factory=lambda: CROWD_WEIGHTS)
+    template: str = TEXT_TEMPLATE
+
+
+def load_vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a YAML file; an error if the file or one of its four entries is missing."""
+    import yaml
+
+    file = Path(path)
+    if not file.exists():
+        raise FileNotFoundError(f"no vocabulary file {path}")
+    raw = yaml.safe_load(file.read_text(encoding="utf-8")) or {}
+    for name in ("interest_tags", "behavior_tags", "crowd_to_tags", "text_template"):
+        if not raw.get(name):
+            raise ValueError(f"{path} has no {name}")
+    return Vocabulary(tuple(raw["interest_tags"]), tuple(raw["behavior_tags"]), raw["crowd_to_tags"], raw["text_template"])

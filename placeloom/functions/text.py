@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from placeloom.config import GENERIC_TYPES
+from placeloom.config import BEHAVIORS, DEFAULT_STYLE, GENERIC_TYPES, INTERESTS
 from placeloom.schema import NO_COORDINATE, NO_RATING
 
 #: A decimal number as Python's float() reads it, underscores between digits included; no infinities.
@@ -151,6 +151,37 @@ def parse_tag_json(raw: Column) -> Column:
     return F.struct(flag.alias("is_attraction"), *(said(c).alias(c) for c in ("tags", "behaviors", "description")))
 
 
+def tag_system_prompt(interests: Sequence[str] = INTERESTS, behaviors: Sequence[str] = BEHAVIORS) -> str:
+    """What a tagging model is told first: the fields, the words to choose from and the form of the answer."""
+    return "\n".join((
+        "你负责给城市地点打标签。根据名称、类型、地址、评分和景区等级，只返回一个 JSON 对象，不加代码块，也不加其他文字。",
+        "is_attraction：值得专程游览的地方为 true；单店、学校、医院、写字楼、住宅、交通工具，以及景点内部的子设施为 false，此时其余字段都是空字符串。",
+        f"tags：只从这些词里选 1 到 3 个，用英文逗号分隔：{' / '.join(interests)}",
+        f"behaviors：只从这些词里选 2 到 5 个，用英文逗号分隔，要有依据：{' / '.join(behaviors)}",
+        "description：一句 20 到 40 字的介绍，只写给出的信息和公认的常识，不写价格、时间、活动和不确定的称号。",
+        '格式：{"is_attraction": true, "tags": "…", "behaviors": "…", "description": "…"}',
+    ))
+
+
+#: What each style asks of a day's text.
+STYLE_NOTES = {
+    "综合": "本方案求均衡：兴趣、路程和时间兼顾，节奏适中。",
+    "口碑": "本方案重口碑：评分和等级高的地方优先，但不要念评分。",
+    "悠闲": "本方案求悠闲：节奏放慢，多留空闲。",
+}
+
+
+def day_system_prompt(style: str | None, notes: Mapping[str, str] = STYLE_NOTES, default: str = DEFAULT_STYLE) -> str:
+    """What a writing model is told first; an unknown style has the default one's note."""
+    return "\n".join((
+        "你是旅行规划师，为用户写行程中某一天的文案，语气口语、简洁。",
+        "只写列出的景点，每个都要出现，不增、不减、不换，只安排先后和时间；路线以住宿地为中心，不写到站信息。",
+        "写成一段话，说明先后、大致时间和理由；不写天数开头，不用标题、列表和 JSON。",
+        notes.get(style, notes[default]),
+    ))
+
+
+# The two prompts below are held to the form that models and stored answers expect.
 def tag_prompt(name: Column, kind: Column, address: Column, rating: Column, level: Column) -> Column:
     """What a tagging model is told about a place."""
     level = F.when(or_empty(level) == "", "无").otherwise(level)

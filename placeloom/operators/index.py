@@ -27,20 +27,31 @@ def build_documents(merged: DataFrame, template: str = TEXT_TEMPLATE) -> DataFra
 
 @dataclass
 class Bm25Index:
-    """postings (term, id, tf), lengths (id, dl), terms (term, df, idf) and one row of sums (n, avgdl)."""
+    """postings (term, id, tf), lengths (id, dl), terms (term, df, idf), one row of sums (n, avgdl, bigrams), and how texts were cut into terms."""
 
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame
     sums: DataFrame
+    bigrams: bool = False
 
     def write(self, path: str) -> None:
+        """Postings and terms are written in the order of terms, so files and row groups cover ranges of them."""
         for name in ("postings", "lengths", "terms", "sums"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+            table = getattr(self, name)
+            if name in ("postings", "terms"):
+                table = table.repartitionByRange("term").sortWithinPartitions("term")
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def read(spark, path: str) -> "Bm25Index":
-        return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms", "sums")))
+        """The index as written, with the choice of terms it was made with."""
+        postings, lengths, terms, sums = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms", "sums"))
+        return Bm25Index(postings, lengths, terms, sums, sums.first()["bigrams"])
+
+
+#: Asked (query, term) pairs that are broadcast to the postings once they have been counted; some 5 MB.
+ASKED_ROWS = 100_000
 
 
 def bm25_index(docs: DataFrame, text: str = "text", bigrams: bool = False, epsilon: float = BM25_EPSILON) -> Bm25Index:
@@ -50,21 +61,23 @@ def bm25_index(docs: DataFrame, text: str = "text", bigrams: bool = False, epsil
     # All else is summed from the postings, so Spark can use their one exchange again; texts without tokens have no length.
     lengths = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
     sums = docs.agg(F.count(F.lit(1)).alias("n")).join(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))
-    sums = sums.select("n", F.try_divide(F.col("total").cast("double"), F.col("n")).alias("avgdl"))
+    sums = sums.select("n", F.try_divide(F.col("total").cast("double"), F.col("n")).alias("avgdl"), F.lit(bigrams).alias("bigrams"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     plain = df.join(F.broadcast(sums)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = F.broadcast(plain.agg(F.avg("raw").alias("mean")))
     terms = plain.join(mean).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, lengths, terms, sums)
+    return Bm25Index(postings, lengths, terms, sums, bigrams)
 
 
-def bm25_scores(index: Bm25Index, queries: DataFrame, bigrams: bool = False, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """query_id, id, score for ``queries`` (query_id, query); terms asked twice count twice, scores of 0 and less are left out.
 
-    Only the postings of the queries' terms are read; the asked terms are few and join first.
+    Queries are cut into terms as the index was. The asked terms are counted: if they are few they go
+    to the postings, so a very common term isn't shuffled; all postings are scanned.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"), bigrams)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = index.postings.join(asked.join(index.terms, "term"), "term").join(index.lengths, "id").join(F.broadcast(index.sums))
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"), index.bigrams)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = asked.join(index.terms, "term")
+    hits = index.postings.join(F.broadcast(asked) if asked.count() <= ASKED_ROWS else asked, "term").join(index.lengths, "id").join(F.broadcast(index.sums))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     # Rounded, so that texts that are copies tie in whatever order their terms are summed.
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")

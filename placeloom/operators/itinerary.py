@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeloom.functions.text import day_prompt, mentioned
+from placeloom.functions.text import STYLE_NOTES, day_prompt, day_system_prompt, mentioned
 from placeloom.operators.providers import Answer, answered, offline_writer
 
 
 def day_prompts(stops: DataFrame, requests: DataFrame) -> DataFrame:
-    """request_id, day, prompt from stops (request_id, day, stop, display_name, name, aliases, tags, description) and requests."""
+    """request_id, day, system, prompt from stops (request_id, day, stop, display_name, name, aliases, tags, description) and requests.
+
+    ``system`` follows the request's style, if it has one.
+    """
     line = F.struct("stop", F.struct("display_name", "name", "aliases", "tags", "description").alias("p"))
     days = stops.groupBy("request_id", "day").agg(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["p"]).alias("pois"))
     named = days.withColumn("day_name", F.concat(F.lit("Day"), F.col("day").cast("string"))).join(requests, "request_id")
     prompt = day_prompt(F.col("city"), F.col("interests"), F.col("companion"), F.col("days"), F.col("stay_district"), F.col("day_name"), F.col("pois"))
-    return named.select("request_id", "day", "day_name", "pois", prompt.alias("prompt"))
+    notes = F.create_map(*(F.lit(x) for s in STYLE_NOTES for x in (s, day_system_prompt(s))))
+    style = F.coalesce(F.try_element_at(notes, F.col("style")), F.lit(day_system_prompt(None))) if "style" in requests.columns else F.lit(day_system_prompt(None))
+    return named.select("request_id", "day", "day_name", "pois", style.alias("system"), prompt.alias("prompt"))
 
 
 def write_days(prompts: DataFrame, answer: Answer = offline_writer) -> DataFrame:
     """The day's text and warnings: a model's failure becomes the text, with a warning, and never stops the others."""
-    said = answered(prompts, "prompt", answer, "text", on_error=lambda e: f"[failed] {e}")
+    asked = prompts.withColumn("_asked", F.concat("system", F.lit("\n\n"), "prompt"))
+    said = answered(asked, "_asked", answer, "text", on_error=lambda e: f"[failed] {e}")
     failed = F.when(F.col("text").startswith("[failed] "), F.array(F.lit("the model failed"))).otherwise(F.array().cast("array<string>"))
-    return said.withColumn("warnings", failed)
+    return said.withColumn("warnings", failed).drop("_asked")
 
 
 def missing_mentions(days: DataFrame) -> DataFrame:

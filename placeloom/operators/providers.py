@@ -26,8 +26,8 @@ Embed = Callable[[list[str]], np.ndarray]
 def offline_tagger(prompt: str) -> str:
     """Tags and behaviours picked by a digest of the prompt, as a model's JSON answer."""
     n = int(hashlib.md5(prompt.encode()).hexdigest()[:8], 16)
-    name = prompt.split("\n", 1)[0].partition("：")[2]
-    return json.dumps({"is_attraction": True, "tags": INTERESTS[n % len(INTERESTS)], "behaviors": ",".join(BEHAVIORS[(n + i) % len(BEHAVIORS)] for i in (0, 5)), "description": name}, ensure_ascii=False)
+    name = re.search(r"^名称：(.*)$", prompt, re.MULTILINE)
+    return json.dumps({"is_attraction": True, "tags": INTERESTS[n % len(INTERESTS)], "behaviors": ",".join(BEHAVIORS[(n + i) % len(BEHAVIORS)] for i in (0, 5)), "description": name[1] if name else ""}, ensure_ascii=False)
 
 
 def offline_writer(prompt: str) -> str:

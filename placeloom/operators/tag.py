@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.functions.text import parse_tag_json, tag_prompt
+from placeloom.functions.text import parse_tag_json, tag_prompt, tag_system_prompt
 from placeloom.operators.providers import Answer, answered, offline_tagger
 
 
@@ -14,9 +14,13 @@ def pending(pois: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     return pois.join(done.select(key).distinct(), key, "left_anti")
 
 
-def tag(pois: DataFrame, answer: Answer = offline_tagger) -> DataFrame:
-    """``pois`` with is_attraction, tags, behaviors, description; what can't be parsed counts as an attraction without tags."""
-    asked = pois.withColumn("_prompt", tag_prompt(F.col("name"), F.col("type"), F.col("address"), F.col("rating"), F.col("poi_level")))
+def tag(pois: DataFrame, answer: Answer = offline_tagger, system: str | None = None) -> DataFrame:
+    """``pois`` with is_attraction, tags, behaviors, description; what can't be parsed counts as an attraction without tags.
+
+    The model gets the system prompt, an empty line and the place.
+    """
+    first = F.lit(tag_system_prompt() if system is None else system)
+    asked = pois.withColumn("_prompt", F.concat(first, F.lit("\n\n"), tag_prompt(F.col("name"), F.col("type"), F.col("address"), F.col("rating"), F.col("poi_level"))))
     said = answered(asked, "_prompt", answer, "_answer").withColumn("_tag", parse_tag_json(F.col("_answer")))
     return said.select(*pois.columns, "_tag.*")
 

@@ -10,6 +10,7 @@ from placeloom.functions.text import query_text, split_tags
 from placeloom.operators import anchors, clean, evaluate, group, index, retrieve, tag
 from placeloom.operators.providers import Answer, Embed, embedded, offline_tagger
 from placeloom.schema import CLEAN_ANCHOR, RAW_POI, TAGGED_POI
+from placeloom.session import logger
 from placeloom.sources import places
 from placeloom.sources.search_api import Provider, as_places, crawl
 
@@ -17,19 +18,26 @@ _OWN = ("_city", "_interest_group", "_source_keyword", "_crawled_at")
 
 
 def crawl_city(spark: SparkSession, city: City, root: str, provider: Provider, force: bool = False) -> bool:
-    """Raw places by core and category words."""
+    """Raw places by core and category words. The pages are written first, with what could not be fetched, which is logged."""
+    if not force and places.exists(spark, city.paths(root)["raw"]):
+        return False
     from pyspark.sql import types as T
 
     fields = [f for f in T._parse_datatype_string(RAW_POI).fields if f.name not in _OWN]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    found = as_places(crawl(spark, city, provider), [f.name for f in fields], schema)
+    at = f"{city.paths(root)['raw']}_pages"
+    crawl(spark, city, provider).write.mode("overwrite").parquet(at)
+    pages = spark.read.parquet(at)
+    if missed := pages.filter("_missed IS NOT NULL").count():
+        logger("crawl").warning("%d keywords of %s could not be fetched to their end; see _missed in %s", missed, city.key, at)
+    found = as_places(pages.filter("_missed IS NULL"), [f.name for f in fields], schema)
     return places.write_rows(found, city.paths(root)["raw"], force)
 
 
 def clean_stage(spark: SparkSession, city: City, root: str, force: bool = False) -> bool:
     raw = spark.read.parquet(city.paths(root)["raw"])
     done = clean.clean_city(raw, city.rules, city.core_flat, city.max_pois)
-    return places.write_rows(done.drop("ord", "interest_group"), city.paths(root)["clean"], force)
+    return places.write_rows(done.drop("interest_group"), city.paths(root)["clean"], force)
 
 
 def anchor_stage(spark: SparkSession, city: City, root: str, found: DataFrame, force: bool = False) -> bool:
@@ -47,14 +55,18 @@ def tag_stage(spark: SparkSession, city: City, root: str, answer: Answer = offli
     tag.tag(tag.pending(spark.read.parquet(city.paths(root)["clean"]), done), answer).select(done.columns).write.mode("append").parquet(at)
 
 
-def build_stage(spark: SparkSession, city: City, root: str, force: bool = False, embed: Embed | None = None) -> bool:
-    """The knowledge base with texts and embeddings, and the inverted index over it."""
+def build_stage(spark: SparkSession, city: City, root: str, force: bool = False, embed: Embed | None = None, bigrams: bool = True) -> bool:
+    """The knowledge base with texts and embeddings, and the inverted index over it; ideographs are indexed by pairs unless ``bigrams`` is off.
+
+    Places keep the order of the clean table (by rating, then as they were found), which decides
+    who stands for a group among equals.
+    """
     tagged = group.attractions(spark.read.schema(TAGGED_POI).parquet(city.paths(root)["tagged"]))
-    rows = tagged.withColumn("ord", F.xxhash64("id"))  # an order that doesn't depend on files
+    rows = tagged.join(spark.read.parquet(city.paths(root)["clean"]).select("id", "ord"), "id")
     docs = index.build_documents(group.merge_groups(rows, group.canonical_map(rows, city.groups)))
     if not places.write_rows(embedded(docs, embed=embed), city.paths(root)["kb"], force):
         return False
-    index.bm25_index(spark.read.parquet(city.paths(root)["kb"])).write(city.paths(root)["index"])
+    index.bm25_index(spark.read.parquet(city.paths(root)["kb"]), bigrams=bigrams).write(city.paths(root)["index"])
     return True
 
 

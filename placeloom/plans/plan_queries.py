@@ -285,7 +285,7 @@ def _stops(spark, sf_dir):
 
 def _prompts(spark, sf_dir):
     req = view(spark, sf_dir, "req_fx").withColumn("interests", T.split_tags(F.col("interests")))
-    return itinerary.day_prompts(_stops(spark, sf_dir), req)
+    return itinerary.day_prompts(_stops(spark, sf_dir), req).drop("system")
 
 
 @query(oracle(f"{_LINES} SELECT request_id, day, lines FROM ln", "cand_fx"))

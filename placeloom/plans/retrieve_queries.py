@@ -20,17 +20,36 @@ QUERIES, ORACLE_SQL, query = registry()
 _CITY = "CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END"
 _TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
-_INDEX = rf"""WITH doc_fx AS (SELECT doc_id AS id, coalesce(text, '') AS text, lang AS city FROM documents),
-tok AS (SELECT id, unnest({_TERMS.format('text')}) AS term FROM doc_fx), post AS (SELECT term, id, count(*) AS tf FROM tok GROUP BY ALL),
-dl AS (SELECT id, len({_TERMS.format('text')}) AS dl FROM doc_fx), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post, s GROUP BY term),
-terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
-
-_BM25 = rf"""{_INDEX}, q AS (SELECT item_id AS query_id, text AS query, {_CITY} AS city FROM benchmark),
-asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TERMS.format('query')}) AS term FROM q) GROUP BY ALL),
+
+
+def _index(docs: str, terms: str) -> str:
+    """The index of documents (id, text, city) whose texts ``terms`` cuts into a list."""
+    return rf"""WITH doc_fx AS ({docs}),
+tok AS MATERIALIZED (SELECT id, {terms.format("text")} AS terms FROM doc_fx),
+post AS MATERIALIZED (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM tok) GROUP BY ALL),
+dl AS MATERIALIZED (SELECT id, len(terms) AS dl FROM tok), s AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY term), s),
+terms AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END AS idf FROM raw, (SELECT avg(raw) AS mean FROM raw))"""
+
+
+def _scored(index_sql: str, queries: str, terms: str) -> str:
+    return rf"""{index_sql}, q AS ({queries}),
+asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({terms.format('query')}) AS term FROM q) GROUP BY ALL),
 bm AS (SELECT query_id, id, score FROM (SELECT query_id, post.id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
   FROM asked JOIN terms USING (term) JOIN post USING (term) JOIN dl ON post.id = dl.id, s GROUP BY ALL) WHERE score > 0)"""
 
+
+_INDEX = _index("SELECT doc_id AS id, coalesce(text, '') AS text, lang AS city FROM documents", _TERMS)
+_BM25 = _scored(_INDEX, f"SELECT item_id AS query_id, text AS query, {_CITY} AS city FROM benchmark", _TERMS)
+
+# Names of parts with each letter as an ideograph of its own; a run of ideographs is cut into pairs.
+_LETTERS, _IDEOGRAPHS = "abcdefghijklmnopqrstuvwxyz", "江湖楼阁山水园林寺塔街巷桥岛城门宫殿书院洞天峰泉谷滩"
+_PAIRS_OF = r"flatten(list_transform(regexp_extract_all(lower({}), '\p{{Han}}+|[a-z0-9]+'), lambda w: CASE WHEN regexp_full_match(w, '\p{{Han}}{{2,}}') THEN list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) ELSE [w] END))"
+_NAMED = f"translate(replace(p_name, ' ', ''), '{_LETTERS}', '{_IDEOGRAPHS}') || ' ' || p_size || 'm' || lower(substr(p_brand, 1, 5))"
+_NAMES = f"SELECT p_partkey AS id, {_NAMED} AS text FROM part"
+# The stated queries: a part of a run, of every 50th name.
+_PART_OF = "SELECT id AS query_id, substr(text, 2, 4) AS query FROM doc_fx WHERE id % 50 = 0"
+
 _L2 = "round(list_sum(list_transform(list_zip(v.embedding, {}), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))), 9)"
 
 
@@ -61,6 +80,23 @@ def bm25_index_stats(spark, sf_dir):
     return made.terms.join(F.broadcast(made.sums)).select("term", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
 
 
+def _names(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{_NAMED} AS text")
+
+
+@query(f"SELECT id, term, count(*) AS n FROM (SELECT id, unnest({_PAIRS_OF.format('text')}) AS term FROM ({_NAMES})) GROUP BY ALL")
+def tokenize_ideographs(spark, sf_dir):
+    each = _names(spark, sf_dir).select("id", F.explode(T.tokens(F.col("text"), bigrams=True)).alias("term"))
+    return each.groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_scored(_index(_NAMES, _PAIRS_OF), _PART_OF, _PAIRS_OF)} SELECT query_id, id, score FROM bm")
+def bm25_ideographs(spark, sf_dir):
+    names = _names(spark, sf_dir)
+    made = index.bm25_index(names, bigrams=True)
+    return index.bm25_scores(made, names.filter("id % 50 = 0").selectExpr("id AS query_id", "substr(text, 2, 4) AS query"))
+
+
 @query(f"{_BM25} SELECT query_id, id, score FROM bm")
 def bm25_scores(spark, sf_dir):
     made = index.bm25_index(corpus(spark, sf_dir))

@@ -1,4 +1,4 @@
-"""Place search behind a pluggable provider, as a Spark data source with one partition per keyword and page.
+"""Place search behind a pluggable provider; tasks fetch the pages of keywords, a bounded number at a time.
 
 A provider is a function (keyword, region, page_size, page) -> list of places (dicts as in RAW_POI).
 The offline default reads a JSON file per keyword.
@@ -19,6 +19,7 @@ from placeloom.config import City
 
 Provider = Callable[[str, str, int, int], list[dict]]
 TRIES, PAUSE_S = 3, 2.0
+MISS = "_missed"
 
 
 def offline(folder: str) -> Provider:
@@ -32,8 +33,8 @@ def offline(folder: str) -> Provider:
     return fetch
 
 
-def with_retries(fetch: Provider, tries: int = TRIES, pause_s: float = PAUSE_S, sleep=time.sleep) -> Provider:
-    """Exceptions are tried again after a pause that grows with each attempt; after the last one there is nothing."""
+def with_retries(fetch: Provider, tries: int = TRIES, pause_s: float = PAUSE_S, sleep=time.sleep, strict: bool = False) -> Provider:
+    """Exceptions are tried again after a pause that grows with each attempt; after the last one there is nothing, or it is raised if ``strict``."""
 
     def tried(keyword: str, region: str, page_size: int, page: int) -> list[dict]:
         for attempt in range(1, tries + 1):
@@ -42,15 +43,21 @@ def with_retries(fetch: Provider, tries: int = TRIES, pause_s: float = PAUSE_S,
             except Exception:  # noqa: BLE001  whatever a remote service raises
                 if attempt < tries:
                     sleep(pause_s * attempt)
+                elif strict:
+                    raise
         return []
 
     return tried
 
 
 def fetch_pages(fetch: Provider, keyword: str, region: str, page_size: int, max_pages: int) -> Iterator[tuple[int, dict]]:
-    """(page, place) until a page is empty or short."""
+    """(page, place) until a page is empty or short; a page that fails for good is a place {MISS: reason} and counts as empty."""
     for page in range(1, max_pages + 1):
-        rows = fetch(keyword, region, page_size, page)
+        try:
+            rows = fetch(keyword, region, page_size, page)
+        except Exception as e:  # noqa: BLE001  whatever a remote service raises
+            yield page, {MISS: f"page {page}: {e}"}
+            return
         for row in rows:
             yield page, row
         if len(rows) < page_size:
@@ -64,18 +71,21 @@ def keyword_table(spark: SparkSession, city: City) -> DataFrame:
 
 
 def crawl(spark: SparkSession, city: City, provider: Provider, parallel: int = 4) -> DataFrame:
-    """ord, place (JSON) and stamps for all keywords of a city; ``parallel`` bounds the requests at a time."""
+    """ord, place (JSON) and stamps for all keywords of a city; ``parallel`` bounds the requests at a time.
+
+    A keyword whose page failed for good has a row without a place, with the reason in _missed.
+    """
     region, stamp = city.region, datetime.now(timezone.utc).isoformat(timespec="seconds")
-    safe = with_retries(provider)
+    safe = with_retries(provider, strict=True)
 
     def work(batches):
         import pandas as pd
 
         for rows in batches:
-            found = [(o * 1_000_000 + i, json.dumps(place, ensure_ascii=False), k, g) for o, k, g, n, m in zip(rows["ord"], rows["keyword"], rows["interest_group"], rows["page_size"], rows["max_pages"]) for i, (_, place) in enumerate(fetch_pages(safe, k, region, int(n), int(m)))]
-            yield pd.DataFrame(found, columns=["ord", "place", "_source_keyword", "_interest_group"]).astype({"ord": "int64"})
+            found = [(o * 1_000_000 + i, None if MISS in place else json.dumps(place, ensure_ascii=False), k, g, place.get(MISS)) for o, k, g, n, m in zip(rows["ord"], rows["keyword"], rows["interest_group"], rows["page_size"], rows["max_pages"]) for i, (_, place) in enumerate(fetch_pages(safe, k, region, int(n), int(m)))]
+            yield pd.DataFrame(found, columns=["ord", "place", "_source_keyword", "_interest_group", MISS]).astype({"ord": "int64"})
 
-    pages = keyword_table(spark, city).repartition(parallel, "ord").mapInPandas(work, "ord long, place string, _source_keyword string, _interest_group string")
+    pages = keyword_table(spark, city).repartition(parallel, "ord").mapInPandas(work, "ord long, place string, _source_keyword string, _interest_group string, _missed string")
     return pages.select("*", F.lit(region).alias("_city"), F.lit(stamp).alias("_crawled_at"))
 
 

@@ -37,3 +37,61 @@ def test_stages(spark, tmp_path, capsys):
     assert stages.load_anchors(spark, city, str(root)).count() == 0
     stages.anchor_stage(spark, city, str(root), results)
     assert [x.name for x in stages.load_anchors(spark, city, str(root)).collect()] == ["站"]
+
+
+def test_chinese_queries_share_parts_of_runs(spark, tmp_path, capsys):
+    from placeloom.operators import index
+
+    root, settings, found = (tmp_path / x for x in ("data", "cities", "places"))
+    settings.mkdir(), found.mkdir()
+    (settings / "y.yaml").write_text("name: Y\nspatial: {urban_districts: [D0]}\ncategory_words: [园]\n", encoding="utf-8")
+    names = "黄鹤楼 植物园 听涛景区 木兰草原 归元禅寺 昙华林 江汉关 晴川阁".split()
+    (found / "园.json").write_text(json.dumps([{"id": str(i), "name": n, "adname": "D0", "location": f"114.{i},30.{i}", "type": "风景名胜"} for i, n in enumerate(names)], ensure_ascii=False), encoding="utf-8")
+    common = ["--city", "y", "--config", str(settings), "--root", str(root)]
+    for stage, more in (("crawl", ["--places", str(found)]), ("clean", []), ("tag", []), ("build", [])):
+        main([stage, *common, *more])
+    city = config.load_cities(str(settings))["y"]
+    at = city.paths(str(root))
+    # The query and the text share a part of a run of ideographs: found by pairs, not by whole runs.
+    asked = spark.createDataFrame([(0, "想去听涛的湖边")], "query_id long, query string")
+    assert [x.id for x in stages.search_city(spark, city, str(root), asked, 1, "bm25").collect()] == ["2"]
+    whole = str(tmp_path / "whole")
+    index.bm25_index(spark.read.parquet(at["kb"])).write(whole)
+    assert index.Bm25Index.read(spark, at["index"]).bigrams and not index.Bm25Index.read(spark, whole).bigrams
+    assert index.bm25_scores(index.Bm25Index.read(spark, whole), asked).count() == 0
+    assert [x.position for x in sorted(spark.read.parquet(at["kb"]).collect(), key=lambda x: int(x.id))] == list(range(8))
+
+
+def test_pages_that_fail_are_recorded(spark, tmp_path):
+    from placeloom.sources import search_api
+
+    def fetch(keyword, region, size, page):
+        if keyword == "b" and page == 2:
+            raise OSError("gone")
+        return [{"id": f"{keyword}{page}{i}", "name": keyword} for i in range(size if page < 3 else 0)]
+
+    strict = search_api.with_retries(fetch, sleep=lambda s: None, strict=True)
+    city = config.City("x", "X", "X", config.Spatial(("D",)), {"g": ("a", "b")}, core_pages=(2, 4))
+    rows = [p for _, p in search_api.fetch_pages(strict, "b", "X", 2, 4)]
+    assert [x.get("id") for x in rows] == ["b10", "b11", None] and "gone" in rows[-1][search_api.MISS]
+    quick = lambda keyword, *rest: [] if keyword == "a" else 1 / 0
+    search_api.PAUSE_S, pause = 0.0, search_api.PAUSE_S
+    try:
+        got = search_api.crawl(spark, city, quick).collect()
+    finally:
+        search_api.PAUSE_S = pause
+    assert [(x._source_keyword, x.place) for x in got] == [("b", None)] and "division" in got[0]._missed
+
+
+def test_vocabulary_file(tmp_path):
+    import pytest
+
+    with pytest.raises(FileNotFoundError):
+        config.load_vocabulary(str(tmp_path / "none.yaml"))
+    at = tmp_path / "schema.yaml"
+    at.write_text("interest_tags: [甲]\nbehavior_tags: [乙, 丙]\ncrowd_to_tags: {丁: {乙: 2.0}}\ntext_template: '{name}'\n", encoding="utf-8")
+    words = config.load_vocabulary(str(at))
+    assert words.interests == ("甲",) and words.behaviors == ("乙", "丙") and words.crowd["丁"]["乙"] == 2.0 and words.template == "{name}"
+    at.write_text("interest_tags: [甲]\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="behavior_tags"):
+        config.load_vocabulary(str(at))

@@ -263,3 +263,41 @@ def test_mentions_by_start(spark):
     texts = spark.createDataFrame([(1, "去黄鹤楼看看 ab"), (2, None)], "id long, text string")
     names = spark.createDataFrame([("黄鹤楼公园",), ("黄鹤",), ("abc",), ("ab",)], "name string")
     assert sorted(x.name for x in itinerary.mentions(texts, names, "id").collect()) == ["ab", "黄鹤", "黄鹤楼公园"]
+
+
+# The archived evaluation at 60 results: kind, difficulty, expected names, and the ranks at which results bear or contain one of them.
+ARCHIVED = (
+    ("single", "easy", "黄鹤楼 湖北省博物馆 辛亥革命博物院 晴川阁 江汉关", {1: "湖北省博物馆", 3: "江汉关", 4: "辛亥革命博物院", 26: "黄鹤楼", 41: "晴川阁"}),
+    ("single", "easy", "东湖 磨山 武汉大学 龟山 沙湖公园", {7: "东湖听涛景区", 13: "凌波门东湖观景点", 14: "龟山", 19: "武汉东湖", 20: "东湖绿道", 29: "东湖生态旅游风景区", 31: "磨山", 40: "武汉大学", 49: "沙湖公园"}),
+    ("single", "easy", "户部巷 吉庆街 粮道街 万松园", {11: "粮道街", 12: "户部巷", 14: "万松园", 15: "吉庆街"}),
+    ("single", "easy", "楚河汉街 江汉路 光谷步行街 武汉新天地", {46: "武汉新天地", 50: "光谷步行街", 54: "楚河汉街", 57: "江汉路"}),
+    ("single", "medium", "汉口江滩 武昌江滩 楚河汉街 江汉路", {9: "武昌江滩", 10: "汉口江滩", 37: "江汉路", 39: "楚河汉街"}),
+    ("combined", "hard", "黄鹤楼 昙华林 户部巷 粮道街 吉庆街", {11: "粮道街", 12: "户部巷", 22: "吉庆街", 50: "昙华林"}),
+    ("combined", "hard", "东湖 磨山 武汉大学 楚河汉街 江汉路", {34: "东湖听涛景区", 41: "凌波门东湖观景点"}),
+    ("combined", "hard", "黄鹤楼 湖北省博物馆 东湖 磨山 晴川阁", {4: "湖北省博物馆", 7: "凌波门东湖观景点", 12: "晴川阁", 19: "磨山", 23: "东湖听涛景区", 29: "黄鹤楼", 31: "武汉东湖", 41: "东湖绿道"}),
+    ("combined", "hard", "黄鹤楼 东湖 户部巷 楚河汉街 昙华林", {27: "昙华林", 29: "户部巷", 50: "凌波门东湖观景点", 52: "楚河汉街"}),
+    ("single", "easy", "黄鹤楼 晴川阁 归元禅寺 湖北省博物馆 辛亥革命博物院", {1: "湖北省博物馆", 4: "辛亥革命博物院", 23: "归元禅寺", 26: "黄鹤楼", 41: "晴川阁"}),
+)
+
+
+def test_archived_evaluation_is_reproduced(spark):
+    rows = [(str(i), [at.get(k, "别处") for k in range(1, 61)], expected.split(), ["停车场", "地铁站"], kind, level) for i, (kind, level, expected, at) in enumerate(ARCHIVED)]
+    df = spark.createDataFrame(rows, "case_id string, top_names array<string>, expected array<string>, must_not array<string>, type string, difficulty string")
+    got = {(x.by, x.value): x for x in evaluate.aggregate(evaluate.evaluate_cases(df)).collect()}
+    overall = got["overall", "all"]
+    assert (round(overall.hit_rate, 3), round(overall.mrr, 4), overall.noise_rate) == (0.88, 0.2774, 0.0)
+    assert [round(got["type", t].mrr, 3) for t in ("single", "combined")] == [0.394, 0.102] and round(got["difficulty", "easy"].mrr, 3) == 0.451
+
+
+def test_system_prompts(spark):
+    seen = T.tag_system_prompt(("甲", "乙"), ("丙",))
+    assert "甲 / 乙" in seen and "丙" in seen and "is_attraction" in seen
+    assert T.day_system_prompt("none") == T.day_system_prompt("综合") != T.day_system_prompt("悠闲")
+    pois = spark.createDataFrame([("1", "楼", "景点", None, 4.5, None)], "id string, name string, type string, address string, rating double, poi_level string")
+    told = tag.tag(pois, lambda prompt: '{"tags": "' + str(prompt.startswith(T.tag_system_prompt())) + '", "description": "' + str("名称：楼" in prompt) + '"}').first()
+    assert (told.tags, told.description) == ("True", "True")
+    assert tag.tag(pois).first().description == "楼"
+    stops = spark.createDataFrame([(r, 1, 1, "d", "n", [], "t", "x") for r in (1, 2)], "request_id long, day int, stop int, display_name string, name string, aliases array<string>, tags string, description string")
+    requests = spark.createDataFrame([(1, "C", ["a"], "solo", 1, "D", "悠闲"), (2, "C", ["a"], "solo", 1, "D", "odd")], "request_id long, city string, interests array<string>, companion string, days int, stay_district string, style string")
+    days = {x.request_id: x.text for x in itinerary.write_days(itinerary.day_prompts(stops, requests), lambda p: p.split("\n\n")[0]).collect()}
+    assert days == {1: T.day_system_prompt("悠闲"), 2: T.day_system_prompt("综合")}
