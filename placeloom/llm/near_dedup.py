@@ -10,11 +10,13 @@ probability 0.15, and a pair shares no key with probability 2e-7 (6e-6 at 0.8).
 
 Documents of equal sets are one class and take part once. Members of a key's bucket aren't paired
 with each other: they are compared with the bucket's centre, on full sets. Buckets whose members
-then lie in one component are done; the others are compared with another centre, and what is still
-apart after that is compared pair by pair, but only across components. Before sets are fetched, a
-bitmap of each set refuses pairs whose sets must differ in too many elements, so of a large group
-whose members aren't similar enough hardly a pair leaves the join. Links, classes and components
-stay in tables.
+then lie in one component are done; the others are compared with another centre. Members of buckets
+that are still apart after that are compared across components, but only if they can be similar:
+of two similar sets each has one of their common elements among its rarest ones (as many as may be
+missing in the other, and one more), so pairs are joined on those elements, with bounds on sizes
+and places. A large bucket of documents that share much but not enough has rare elements of each
+one's own, and makes hardly a pair. Before sets are fetched, a bitmap of each set refuses pairs
+whose sets must differ in too many elements. Links, classes and components stay in tables.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of fewer
 words than a shingle has one shingle, all its words; doc_id identifies a document: rows repeated
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import documents, scratch
+from placeloom.llm.common import counted_broadcast, documents, save, scratch
 from placeloom.llm.components import components
 
 CHUNKS, IN_CHUNK, BITS = 7, 4, 16
@@ -40,7 +42,7 @@ CHUNKS, IN_CHUNK, BITS = 7, 4, 16
 MAX_DISTANCE = 2 * CHUNKS - 1
 #: Words of a shingle and percent of similarity, where a caller doesn't say otherwise.
 SHINGLE, PERCENT = 5, 80
-#: Rounds of comparisons with a centre before pairs across components are enumerated.
+#: Rounds of comparisons with a centre before what is still apart is joined on its rarest elements.
 CENTRES = 2
 #: Cells of the bitmap by which pairs that cannot be similar are refused before their sets are fetched.
 BITMAP = 2048
@@ -108,14 +110,14 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """key, rep: a chunk with one component masked, the mask's number in its place."""
+    """key, rep, n (size of the set): a chunk with one component masked, the mask's number in its place."""
     made = []
     for i in range(CHUNKS):
         for j in range(IN_CHUNK):
             mask = int((~np.uint64(((1 << BITS) - 1) << (j * BITS))).astype(np.int64))
             number = (i * IN_CHUNK + j + 1) << (j * BITS)
             made.append(F.col(f"c{i}").bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(number)))
-    return classes.select(F.explode(F.array_distinct(F.array(*made))).alias("key"), "rep")
+    return classes.select(F.explode(F.array_distinct(F.array(*made))).alias("key"), "rep", F.col("n_shingles").alias("n"))
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
@@ -125,21 +127,38 @@ def bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(cells).view(np.int64)
 
 
+def _sizes(percent: int) -> Column:
+    """Whether sets of x_n and y_n elements can be similar enough."""
+    return F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
+
+
 def _may_link(percent: int) -> Column:
     """Whether two sets (size x_n and bitmap x; y_n, y) can be similar enough: a cell that only one of
     them fills stands for an element that only this one has, so no similar pair is ever refused."""
     apart = reduce(lambda s, i: s + F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))), range(1, BITMAP // 64), F.bit_count(F.get("x", F.lit(0)).bitwiseXOR(F.get("y", F.lit(0)))))
-    sizes = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
-    return sizes & (apart * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent))
+    return apart * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent)
+
+
+def _rarest(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """rep, component, n, e, at: the elements, and their places by rarity, of which each similar pair of ``members`` (rep, component) shares one.
+
+    An element that one member alone has counts for the places, but is left out.
+    """
+    elements = sets.join(counted_broadcast(members), sets["doc_id"] == members["rep"]).select("rep", "component", "n", F.explode("found").alias("e"))
+    counted = elements.join(elements.groupBy("e").agg(F.count(F.lit(1)).alias("c")), "e")
+    ordered = counted.groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))
+    needed = F.floor((F.col("n") * percent + 99) / 100)
+    first = ordered.select("rep", "component", "n", F.posexplode(F.slice("es", F.lit(1), (F.col("n") - needed + 1).cast("int"))).alias("at", "x"))
+    return first.filter(F.col("x.c") > 1).select("rep", "component", "n", F.col("x.e").alias("e"), "at")
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, centres: int = CENTRES) -> DataFrame:
     """a, b: links between representatives of classes, enough for the components of all links."""
     keys = _keys(classes)
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
-    members = scratch(keys.join(buckets, "key"), "members")
-    ids = members.select(F.col("rep").alias("_rep")).distinct()
-    some = docs.join(ids, docs["doc_id"] == ids["_rep"], "left_semi")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_members")).filter(F.col("n_members") > 1).select("key")
+    members = save(keys.join(buckets, "key"), "members")
+    ids = scratch(members.df.select(F.col("rep").alias("_rep")).distinct(), "ids")
+    some = docs.join(counted_broadcast(ids), docs["doc_id"] == ids["_rep"], "left_semi")
 
     def row(text):
         found = shingles(text, size)
@@ -147,44 +166,57 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, centres:
 
     sets = scratch(_batches(some, "found array<long>, n long, bits array<long>", [pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())], row), "sets")
 
+    def side(node: str, into: str, column: str) -> DataFrame:
+        return sets.select(F.col("doc_id").alias(node), F.col(column).alias(into))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of distinct ``pairs`` (a, b), a < b, those that are similar enough on their full sets."""
-        left, right = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("found").alias("y"))
+        """Of distinct ``pairs`` (a, x_n, b, y_n) those that are similar enough on their full sets; bitmaps go first."""
+        likely = pairs.join(side("a", "x", "bits"), "a").join(side("b", "y", "bits"), "b").filter(_may_link(percent))
+        likely = save(likely.select("a", "b"), "likely")
         both = F.size(F.array_intersect("x", "y"))
         rest = F.size("x") + F.size("y") - both
-        return pairs.join(left, "a").join(right, "b").filter(both * 100 >= rest * percent).select("a", "b")
-
-    known = members.join(sets.select(F.col("doc_id").alias("rep"), F.col("n").alias("x_n"), F.col("bits").alias("x")), "rep")
-    known = scratch(known.withColumn("component", F.col("rep")), "open")
+        found = scratch(likely.df.join(side("a", "x", "found"), "a").join(side("b", "y", "found"), "b").filter(both * 100 >= rest * percent).select("a", "b"), "confirmed")
+        likely.drop()
+        return found
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        """a < b with their sizes, each pair once, from rep, x_n, o, y_n."""
+        turned = F.col("rep") > F.col("o")
+        one = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+        return scratch(pairs.select(one("rep", "o").alias("a"), one("x_n", "y_n").alias("x_n"), one("o", "rep").alias("b"), one("y_n", "x_n").alias("y_n")).distinct(), "pairs")
+
+    known = save(members.df.withColumn("component", F.col("rep")), "open")
+    members.drop()
     found: DataFrame | None = None
-    for turn in range(centres + 1):
-        if turn < centres:
-            # One centre for each bucket that has several components, by an order of its own each turn.
-            rank = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
-            picked = known.groupBy("key").agg(F.min(rank).alias("pick"))
-            centre = known.join(picked, "key").filter(rank == F.col("pick")).drop("pick")
-        else:
-            # What is left after that: all pairs across components.
-            centre = known
-        centre = centre.select("key", F.col("rep").alias("o"), F.col("x_n").alias("y_n"), F.col("x").alias("y"), F.col("component").alias("oc"))
-        across = F.col("component") < F.col("oc") if turn == centres else F.col("component") != F.col("oc")
-        pairs = known.join(centre, (known["key"] == centre["key"]) & across & _may_link(percent))
-        pairs = scratch(pairs.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct(), "pairs")
-        new = confirmed(pairs)
-        found = scratch(new if found is None else found.union(new), "links")
-        if turn == centres:
-            return found
+    for turn in range(centres):
+        # One centre for each bucket that has several components, by an order of its own each turn.
+        rank = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
+        picked = known.df.groupBy("key").agg(F.min(rank).alias("pick"))
+        centre = known.df.join(picked, "key").filter(rank == F.col("pick")).select("key", F.col("rep").alias("o"), F.col("n").alias("y_n"), F.col("component").alias("oc"))
+        pairs = known.df.withColumnRenamed("n", "x_n").join(centre, "key").filter((F.col("component") != F.col("oc")) & _sizes(percent))
+        new = confirmed(ordered(pairs))
+        found = new if found is None else found.union(new)
         labels = components(found)
-        known = known.drop("component").join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-        apart = known.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter(F.col("c") != F.col("d")).select("key")
-        known = scratch(known.join(apart, "key"), "open")
+        moved = known.df.drop("component").join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+        apart = moved.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter(F.col("c") != F.col("d")).select("key")
+        earlier, known = known, save(moved.join(apart, "key"), "open")
+        earlier.drop()
+    # What is left after that: pairs across components that share one of their rarest elements.
+    apart = scratch(known.df.select("rep", "component").distinct(), "apart")
+    known.drop()
+    rare = scratch(_rarest(sets, apart, percent), "rarest")
+    x = rare.select("e", "rep", "component", F.col("n").alias("x_n"), F.col("at").alias("x_at"))
+    y = rare.select("e", F.col("rep").alias("o"), F.col("component").alias("oc"), F.col("n").alias("y_n"), F.col("at").alias("y_at"))
+    room = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
+    new = confirmed(ordered(x.join(y, "e").filter((F.col("component") < F.col("oc")) & _sizes(percent) & room)))
+    return new if found is None else found.union(new)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, centres: int = CENTRES) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept for each row of ``docs``."""
     each = scratch(signed(docs, size), "signatures")
     chunks = [f"c{i}" for i in range(CHUNKS)]
-    classes = each.filter(F.col("n_shingles") > 0).groupBy("set_a", "set_b", *chunks).agg(F.min("doc_id").alias("rep"))
+    classes = each.filter(F.col("n_shingles") > 0).groupBy("set_a", "set_b", "n_shingles", *chunks).agg(F.min("doc_id").alias("rep"))
     classes = scratch(classes, "classes")
     nodes = classes.filter(F.col("rep").isNotNull())
     labels = components(links(docs, nodes, size, percent, centres))

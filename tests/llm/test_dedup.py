@@ -110,6 +110,20 @@ def test_near_against_all_pairs(spark, size, percent, centres):
     assert any(c != d for d, (_, c) in want.items())
 
 
+def test_near_bucket_of_documents_that_share_too_little(spark):
+    """Many documents with one passage and ends of their own: one bucket, no links, and hardly a pair to compare."""
+    r = random.Random(9)
+    shared = prose(r, 400)
+    texts = [f"{shared} " + " ".join(f"w{i}x{j}" for j in range(90)) for i in range(60)] + [f"{shared} w0x0 " + " ".join(f"w0x{j}" for j in range(1, 89))]
+    df = docs(spark, texts)
+    assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(df, 3, 85, 0).collect()} == {d: c for d, (_, c) in near(list(enumerate(texts)), 3, 85).items()}
+    found = [(i, t) for i, t in enumerate(texts)]
+    sets = spark.createDataFrame([(i, [int(x) for x in near_dedup.shingles(t, 3).view("int64")]) for i, t in found], "doc_id long, found array<long>").selectExpr("*", "cast(size(found) as long) AS n")
+    rare = near_dedup._rarest(sets, sets.selectExpr("doc_id AS rep", "doc_id AS component"), 85)
+    pairs = rare.alias("x").join(rare.alias("y"), "e").filter("x.rep < y.rep").select("x.rep", "y.rep").distinct().collect()
+    assert [tuple(p) for p in pairs] == [(0, 60)]
+
+
 def test_near_on_documents(spark):
     table = spark.read.parquet(f"{ROOT}/sf0.01/documents.parquet").select("doc_id", "text")
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in queries.QUERIES["op3_minhash_near_dedup"](spark, f"{ROOT}/sf0.01").collect()}
