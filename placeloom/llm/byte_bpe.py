@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Instead of encoding word by word, all words that a task meets for the first time are laid out one
-after another, and an inverted index holds, for each merge, the positions where it applies. The
-merges are replayed in rank order; each touches only its positions and their neighbours, whose new
-pairs enter the index. Words met again come from a cache of bounded size. Tasks share nothing, so
-no word count or vocabulary of the corpus passes through the driver or a shuffle.
+Instead of encoding word by word, all words that a task meets for the first time in some millions
+of characters of its partition are laid out one after another, and an inverted index holds, for
+each merge, the positions where it applies. The merges are replayed in rank order; each touches
+only its positions and their neighbours, whose new pairs enter the index. Words met again come from
+a cache of bounded size. The corpus of a replay is a partition, or as much of it as memory is to
+hold: tasks share nothing, so no word count or vocabulary passes through the driver or a shuffle.
 
 The result equals that of the tiktoken library for the same ranks and pattern, without special
 tokens; ids decode to exactly the bytes that were encoded.
@@ -21,13 +22,14 @@ import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from placeloom.llm.common import documents
+from placeloom.llm.common import documents, laid_out, set_aside
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words in a generation of a worker's cache, and characters of text whose new words are replayed together.
@@ -256,12 +258,22 @@ def _map(df: DataFrame, column: str, made: dict[str, tuple[str, pa.DataType]], r
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
+
+        def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = row(c, chain.from_iterable(part.column(column).to_pylist() for part in held))
+            for part in held:
+                values = zip(*islice(rows, part.num_rows))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *(pa.array(v, kind) for v, (_, kind) in zip(values, made.values()))], [*kept, *made])
+
+        held, size = [], 0
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                rows = list(row(c, part.column(column).to_pylist()))
-                arrays = [pa.array(values, kind) for values, (_, kind) in zip(zip(*rows), made.values())]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *arrays], [*kept, *made])
+                held.append(batch.slice(start, 512))
+                size += held[-1].column(column).nbytes
+                if size >= CHUNK_CHARS:
+                    yield from done(held)
+                    held, size = [], 0
+        yield from done(held)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), *(f"{k} {v[0]}" for k, v in made.items())])
     return df.mapInArrow(work, schema)
@@ -287,6 +299,20 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return _map(encoded, "ids", {"decoded": ("binary", pa.binary())}, row, path or vocabulary_path())
 
 
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``docs`` with ids and n_tokens, and with the text that the ids decode to in place of the text; a null one stays null."""
+
+    def row(c, texts):
+        texts = list(texts)
+        for text, ids in zip(texts, c.encode(x or "" for x in texts)):
+            yield None if text is None else c.decode(ids).decode(), ids, len(ids)
+
+    made = {"_decoded": ("string", pa.string()), "ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("long", pa.int64())}
+    columns = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
+    rest = set_aside(docs.select(*columns), "text")
+    return laid_out(_map(rest, "text", made, row, path or vocabulary_path()).drop("text").withColumnRenamed("_decoded", "text"), columns, ("text",), ids=F.col("ids"), n_tokens=F.col("n_tokens"))
+
+
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with n_tokens and digests of the ids and of the bytes they decode to, without moving the ids to the JVM."""
 

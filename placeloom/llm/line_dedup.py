@@ -13,7 +13,8 @@ partitions doesn't matter. OP2_SQL knows only the limit of MIN_DOCS: what it dro
 too, and more where a variable word's values recur in MIN_DOCS documents each.
 
 Lines travel as 64-bit hashes of their leaf and of themselves; a hot line is pre-aggregated on the
-map side, and joins are plain equi-joins, which Spark may split where a key is hot.
+map side, and templates (one row each, counted) go to the lines by broadcast, or by equi-joins,
+which Spark may split where a key is hot.
 
 Defined cases: a null text stays null and has no lines; lines of fewer than MIN_TOKENS tokens,
 blank ones among them, always stay; doc_id identifies a document, so rows repeated under one
@@ -94,9 +95,11 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     made = made.select("leaf", "key", F.array_join(words, " ").alias("made"))
     # A line that isn't general enough is its own template.
     templates = counted.join(made, ["leaf", "key"], "left").select("leaf", "key", F.xxhash64("leaf", F.coalesce("made", "line")).alias("template"))
+    templates = counted_broadcast(scratch(templates, "templates"))
     placed = scratch(slim.join(templates, ["leaf", "key"]), "placed")
     per = placed.select("template", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    hot = placed.join(per.filter(F.col("n") >= min_docs), "template")
+    per = counted_broadcast(scratch(per.filter(F.col("n") >= min_docs), "recurring"))
+    hot = placed.join(per, "template")
     return hot.filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "key")
 
 
@@ -106,10 +109,14 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     docs = set_aside(docs, *needed)
     drops = scratch(recurring_lines(docs, min_docs), "drops")
     few = drops.count() <= BROADCAST_ROWS
-    drops = drops.groupBy("doc_id").agg(F.collect_set("key").alias("_drop")).withColumnRenamed("doc_id", "_id")
+    # A document's lines to drop, dealt to short lists by their keys, so that each of its lines looks into one of them.
+    parts = F.least(F.lit(1024), F.ceil(F.size("_keys") / 8)).cast("int")
+    drops = drops.groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))
+    drops = drops.select(F.col("doc_id").alias("_id"), F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.filter("_keys", lambda k: F.pmod(k, parts) == i)).alias("_drop"))
     joined = docs.join(F.broadcast(drops) if few else drops, docs["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id")
     lines = F.split("text", "\n")
-    known = F.transform(masked_lines(F.col("text")), lambda m: (n_tokens(m) < MIN_TOKENS) | ~F.array_contains("_drop", line_key(m)))
+    looked_at = F.transform(masked_lines(F.col("text")), lambda m: F.when(n_tokens(m) >= MIN_TOKENS, line_key(m)))
+    known = F.transform(looked_at, lambda k: k.isNull() | ~F.array_contains(F.get("_drop", F.pmod(k, F.size("_drop")).cast("int")), k))
     chosen = F.filter(F.zip_with(lines, known, lambda x, k: F.when(k, x)), lambda x: x.isNotNull())
     left = F.when(F.col("_drop").isNull(), lines).otherwise(chosen)
     joined = joined.withColumn("_left", left)

@@ -89,17 +89,29 @@ class Model:
         return float(self.weights[features].sum())
 
 
+def likelihood(thresholds: np.ndarray, score: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's negative log likelihood, and its derivatives by the score and by the thresholds."""
+    n, at = len(score), np.arange(len(score))
+    below = 1 / (1 + np.exp(-np.clip(thresholds[None, :] - score[:, None], -40, 40)))
+    edges = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
+    slopes = edges * (1 - edges)
+    p = np.maximum(edges[at, grades + 1] - edges[at, grades], 1e-9)
+    by_cut = np.zeros_like(edges)
+    by_cut[at, grades + 1] -= slopes[at, grades + 1] / p
+    by_cut[at, grades] += slopes[at, grades] / p
+    return -np.log(p), (slopes[at, grades + 1] - slopes[at, grades]) / p, by_cut[:, 1:-1]
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, lasso: float = LASSO, min_rows: int = MIN_ROWS, seed: int = SEED) -> Model:
     """Minimise the negative log likelihood and ``lasso`` times the weights' sizes, by batches.
 
     The penalty keeps the many words that tell nothing at 0. The thresholds, which start at the
     log odds of the grades, stay ordered as the first and positive gaps. Features of fewer than
-    ``min_rows`` rows are left out.
+    ``min_rows`` rows are left out; a row without features scores 0.
     """
     weights, steps = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-6)
     often = np.bincount(np.concatenate([*rows, [0]]).astype(np.int64), minlength=DIMENSIONS) >= min_rows
     rows = [x[often[x]] for x in rows]
-    rows = [x if len(x) else np.zeros(1, np.int64) for x in rows]
     share = np.cumsum(np.bincount(grades, minlength=GRADES) + 1.0)[:-1] / (len(grades) + GRADES)
     odds = np.log(share / (1 - share))
     cuts, cut_steps = np.concatenate([odds[:1], np.log(np.diff(odds))]), np.full(GRADES - 1, 1e-2)
@@ -111,24 +123,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = EPOCHS, rate:
             some = order[start : start + BATCH]
             lengths = np.array([len(rows[i]) for i in some])
             flat = np.concatenate([rows[i] for i in some])
-            score = np.add.reduceat(weights[flat], np.cumsum(lengths) - lengths)
-            y = grades[some]
-            below = 1 / (1 + np.exp(-np.clip(model.thresholds[None, :] - score[:, None], -40, 40)))
-            edges = np.concatenate([np.zeros((len(some), 1)), below, np.ones((len(some), 1))], axis=1)
-            slopes = edges * (1 - edges)
-            at = np.arange(len(some))
-            p = np.maximum(edges[at, y + 1] - edges[at, y], 1e-9)
-            of_score = (slopes[at, y + 1] - slopes[at, y]) / p
-            by_cut = np.zeros_like(edges)
-            by_cut[at, y + 1] -= slopes[at, y + 1] / p
-            by_cut[at, y] += slopes[at, y] / p
+            score = np.bincount(np.repeat(np.arange(len(some)), lengths), weights[flat], len(some))
+            _, of_score, by_cut = likelihood(model.thresholds, score, grades[some])
             touched, place = np.unique(flat, return_inverse=True)
             slope = np.bincount(place, np.repeat(of_score, lengths)) / len(some)
             steps[touched] += slope**2
             pace = rate / np.sqrt(steps[touched])
             moved = weights[touched] - pace * slope
             weights[touched] = np.sign(moved) * np.maximum(0, np.abs(moved) - pace * lasso)
-            per_cut = by_cut[:, 1:-1].sum(axis=0) / len(some)
+            per_cut = by_cut.sum(axis=0) / len(some)
             back = np.cumsum(per_cut[::-1])[::-1].copy()
             back[1:] *= np.exp(cuts[1:])
             cut_steps += back**2
@@ -147,16 +150,17 @@ def graded(labels: DataFrame) -> DataFrame:
 def training_rows(docs: DataFrame, grades: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashed features and grades of at most ``max_rows`` labelled rows, the same at every run."""
     sample = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "grade", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select(F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("copy"), "grade", "text")
+    # Rows repeated under one doc_id could exceed the bound again.
+    texts = texts.orderBy("place", "copy").limit(max_rows)
 
     def work(batches):
         features = Features()
         for batch in batches:
             found = [features(x).tolist() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("grade"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("place", "copy", "grade")), pa.array(found, pa.list_(pa.int32()))], ["place", "copy", "grade", "features"])
 
-    # Rows repeated under one doc_id could exceed the bound again.
-    rows = texts.mapInArrow(work, "doc_id long, grade int, features array<int>").limit(max_rows).toArrow().sort_by("doc_id")
+    rows = texts.mapInArrow(work, "place long, copy long, grade int, features array<int>").toArrow().sort_by([("place", "ascending"), ("copy", "ascending")])
     return [np.array(x, np.int64) for x in rows["features"].to_pylist()], np.array(rows["grade"].to_pylist(), np.int64)
 
 

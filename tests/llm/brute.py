@@ -77,3 +77,32 @@ def repeats(rows, span):
         spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         out[d] = (len(b), sum(gone), spans, sha(bytes(c for c, g in zip(b, gone) if not g)))
     return out
+
+
+def permutation_fill(names, slots):
+    """The shard of each slot: in turn, each shard takes the first slot of its own whole permutation that nobody has."""
+    orders = []
+    for name in names:
+        d = hashlib.blake2b(name.encode(), digest_size=16).digest()
+        offset, stride = int.from_bytes(d[:8], "little") % slots, int.from_bytes(d[8:], "little") % (slots - 1) + 1
+        orders.append([(offset + j * stride) % slots for j in range(slots)])
+    assert all(sorted(o) == list(range(slots)) for o in orders)
+    taken = {}
+    while len(taken) < slots:
+        for name, order in zip(names, orders):
+            free = next((s for s in order if s not in taken), None)
+            if free is not None:
+                taken[free] = name
+    return [taken[s] for s in range(slots)]
+
+
+def ordinal_loss(weights, thresholds, rows, grades):
+    """Mean negative log likelihood of a cumulative-link model, row by row."""
+    import math
+
+    below = lambda k, score: 0.0 if k < 0 else 1.0 if k == len(thresholds) else 1 / (1 + math.exp(score - thresholds[k]))
+    total = 0.0
+    for row, grade in zip(rows, grades):
+        score = sum(weights[f] for f in row)
+        total -= math.log(below(grade, score) - below(grade - 1, score))
+    return total / len(rows)

@@ -211,6 +211,17 @@ def test_lines_word_fields_at_any_size(spark, copies):
     assert len(out) == copies and 0 in kept and len(kept) <= 0.02 * copies
 
 
+def test_lines_of_a_long_document(spark):
+    """Thousands of recurring lines in one document, each once more in five others."""
+    lines = [f"this is line w{a}{b} of the long list" for a in WORDS for b in WORDS[:20]]
+    long = "\n".join(lines + [f"own line {i} x{i}" for i in range(50)])
+    rest = ["\n".join(lines[i::5]) for i in range(5) for _ in range(5)]
+    out = {x.doc_id: x for x in line_dedup.drop_recurring_lines(docs(spark, rest + [long])).collect()}
+    # Digits make fields, so all these lines are one template, which only the first document keeps.
+    assert out[0].n_dropped == 0 and all(out[i].n_dropped == out[i].n_lines for i in range(1, 25))
+    assert out[25].n_lines == len(lines) + 50 and "of the long list" not in out[25].text
+
+
 def test_lines_keep_columns(spark):
     rows = [(i, f"the same long line stands here again\nbody {i}", "x", i) for i in range(6)] + [(None, "the same long line stands here again", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _drop string, n_lines int")

@@ -5,7 +5,7 @@ import pytest
 
 from placeloom.llm import byte_bpe, chat, mixing, quality_classifier, quality_rules, queries, sharding
 from tests.compare import ROOT
-from tests.llm.brute import WORD, sha
+from tests.llm.brute import WORD, ordinal_loss, permutation_fill, sha
 
 
 def _tiktoken():
@@ -45,6 +45,15 @@ def test_bpe_on_documents(spark):
     assert got == {d: (len(ids := plain.encode_ordinary(t or "")), sha(" ".join(map(str, ids))), sha(t or "")) for d, t in table.items()}
 
 
+def test_bpe_round_trip_and_chunks(spark, monkeypatch):
+    texts, plain = _odd_texts(), _tiktoken()
+    df = spark.createDataFrame([(i, t, "k", i) for i, t in enumerate(texts)], "doc_id long, text string, ids string, _rest int").coalesce(1)
+    out = byte_bpe.round_trip(df)
+    assert out.columns == ["doc_id", "text", "_rest", "ids", "n_tokens"]
+    for x in out.collect():
+        assert x.text == texts[x.doc_id] and x._rest == x.doc_id and list(x.ids) == plain.encode_ordinary(x.text or "") and x.n_tokens == len(x.ids)
+
+
 def test_bpe_cases(spark):
     df = spark.createDataFrame([(1, "a b", "x", 2), (1, "a b", None, None), (None, None, None, None)], "doc_id long, text string, ids string, N_TOKENS int")
     out = byte_bpe.encode_documents(df)
@@ -111,6 +120,21 @@ def test_sharding(spark):
     assert all(names[table[x.slot]] == x.shard for x in out)
 
 
+def test_sharding_against_whole_permutations(spark):
+    import struct
+
+    import xxhash
+
+    names = tuple(f"node-{i}" for i in range(5))
+    table = permutation_fill(names, 499)
+    assert [names[i] for i in sharding.lookup_table(names, 499)] == table
+    ids = [0, 1, -7, 2**40, *range(100, 400)]
+    out = sharding.assign_shards(spark.createDataFrame([(i,) for i in ids], "doc_id long"), shards=names, slots=499).collect()
+    for x in out:
+        slot = struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", x.doc_id), seed=42)))[0] % 499
+        assert (x.slot, x.shard) == (slot, table[slot])
+
+
 def test_sharding_on_documents(spark):
     out = queries.QUERIES["op7_sharding"](spark, f"{ROOT}/sf0.01").collect()
     rows = {x.doc_id: x.text for x in spark.read.parquet(f"{ROOT}/sf0.01/documents.parquet").collect()}
@@ -139,6 +163,42 @@ def test_classifier_held_out(spark):
     assert all(0 <= x.expected_grade <= 2 and 0 <= x.tail_probability <= 1 for x in scored)
 
 
+def test_classifier_slopes_and_fit_against_a_plain_model():
+    r = np.random.default_rng(1)
+    score, grades, cuts = r.normal(size=40), r.integers(0, 3, 40), np.array([-0.7, 0.9])
+    loss, of_score, by_cut = quality_classifier.likelihood(cuts, score, grades)
+    plain = lambda s, c: [ordinal_loss([x], c, [[0]], [g]) for x, g in zip(s, grades)]
+    assert loss == pytest.approx(plain(score, cuts))
+    step = 1e-6
+    assert of_score == pytest.approx((np.array(plain(score + step, cuts)) - plain(score - step, cuts)) / (2 * step), abs=1e-4)
+    for k in range(2):
+        move = step * np.eye(2)[k]
+        assert by_cut[:, k] == pytest.approx((np.array(plain(score, cuts + move)) - plain(score, cuts - move)) / (2 * step), abs=1e-4)
+    # A few features; a plain descent by differences finds how good a fit can be.
+    true, n = np.array([2.0, -1.5, 0.5, 0.0, 1.0]), 400
+    rows = [np.flatnonzero(r.random(5) < 0.5) for _ in range(n)]
+    noise = r.logistic(size=n)
+    y = np.array([int(np.searchsorted([-0.5, 1.0], true[x].sum() + e)) for x, e in zip(rows, noise)])
+    at = np.concatenate([np.zeros(5), [-0.5, 0.5]])
+    of = lambda v: ordinal_loss(v[:5], v[5:], rows, y)
+    for _ in range(150):
+        at = at - 2.0 * np.array([(of(at + 1e-5 * e) - of(at - 1e-5 * e)) / 2e-5 for e in np.eye(7)])
+    model = quality_classifier.fit(rows, y, epochs=60, lasso=0.0, min_rows=1)
+    assert ordinal_loss(model.weights, model.thresholds, rows, y) < of(at) + 0.01
+    assert model.weights[:5] == pytest.approx(at[:5], abs=0.35) and not model.weights[5:].any()
+    for x in rows[:20]:
+        tails = 1 / (1 + np.exp(-(sum(model.weights[f] for f in x) - model.thresholds)))
+        p = model.probabilities(np.array([model.score(x)]))[0]
+        assert p[-1] == pytest.approx(tails[1]) and p @ [0, 1, 2] == pytest.approx(tails.sum())
+
+
+def test_classifier_takes_any_ids(spark):
+    docs = spark.createDataFrame([(f"d{i % 7}", f"text {i}") for i in range(20)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, 0) for i in range(7)], "doc_id string, quality int, toxic int")
+    first, again = (quality_classifier.training_rows(docs, quality_classifier.graded(labels), max_rows=5) for _ in range(2))
+    assert len(first[0]) == 5 and all((a == b).all() for a, b in zip(first[0], again[0])) and (first[1] == again[1]).all()
+
+
 def test_classifier_cases(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 0, None), (3, None, None), (None, 1, 0), (4, 1, None)], "doc_id long, quality int, toxic int")
     assert sorted(tuple(x) for x in quality_classifier.graded(labels).collect()) == [(1, 0), (2, 1), (4, 2)]
