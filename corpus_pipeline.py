@@ -36,8 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents with their ids and n_tokens; decoded, the ids give the text again."""
-    return byte_bpe.encode_documents(docs)
+    """The mixed documents with their ids and n_tokens; their text is what the ids decode to, which is the text again."""
+    return byte_bpe.round_trip(docs)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near), ("mixing", mix), ("byte bpe", tokens)]
