@@ -259,11 +259,36 @@ def point_in_polygon(spark, sf_dir):
 
 
 def _shapes(shape: str):
-    return lambda spark, sf_dir: geometry.day_shapes(view(spark, sf_dir, "cand_fx"), shape)
+    rounded = lambda df: df.withColumns({c: F.round(c, 9) for c in ("lat", "lng")}) if shape != "area" else df
+    return lambda spark, sf_dir: rounded(geometry.day_shapes(view(spark, sf_dir, "cand_fx"), shape))
 
 
+# An edge of the hull has all other points on its left, or on itself; its ends in the order of their angle from the middle, the least point first.
+_HULL = """, pt AS (SELECT DISTINCT request_id, day, lat, lng FROM cand_fx), big AS (SELECT request_id, day, count(*) AS n FROM pt GROUP BY ALL),
+edge AS (SELECT a.request_id, a.day, a.lat, a.lng FROM pt a JOIN pt b ON a.request_id = b.request_id AND a.day = b.day AND (a.lat <> b.lat OR a.lng <> b.lng)
+  WHERE NOT EXISTS (SELECT 1 FROM pt c WHERE c.request_id = a.request_id AND c.day = a.day AND ((b.lat - a.lat) * (c.lng - a.lng) - (b.lng - a.lng) * (c.lat - a.lat) < 0
+    OR ((b.lat - a.lat) * (c.lng - a.lng) = (b.lng - a.lng) * (c.lat - a.lat) AND (c.lat - a.lat) * (c.lat - b.lat) + (c.lng - a.lng) * (c.lng - b.lng) > 0)))),
+corner AS (SELECT *, lat = first_value(lat) OVER o AND lng = first_value(lng) OVER o AS least, atan2(lng - avg(lng) OVER w, lat - avg(lat) OVER w) AS angle
+  FROM (SELECT DISTINCT * FROM edge) WINDOW w AS (PARTITION BY request_id, day), o AS (PARTITION BY request_id, day ORDER BY lat, lng)),
+turned AS (SELECT *, angle - max(angle) FILTER (least) OVER (PARTITION BY request_id, day) AS turn FROM corner),
+hull AS (SELECT request_id, day, row_number() OVER (PARTITION BY request_id, day ORDER BY CASE WHEN turn < 0 THEN turn + 2 * pi() ELSE turn END) - 1 AS vertex, lat, lng FROM turned JOIN big USING (request_id, day) WHERE n > 2
+  UNION ALL SELECT request_id, day, row_number() OVER (PARTITION BY request_id, day ORDER BY lat, lng) - 1, lat, lng FROM pt JOIN big USING (request_id, day) WHERE n <= 2)"""
+
+
+def _cut(before: str, after: str) -> str:
+    """One round of corner cutting; rings of one or two points stay as they are."""
+    return f""", {before}_n AS (SELECT *, count(*) OVER w AS m, coalesce(lead(lat) OVER o, first_value(lat) OVER o) AS lat2, coalesce(lead(lng) OVER o, first_value(lng) OVER o) AS lng2
+  FROM {before} WINDOW w AS (PARTITION BY request_id, day), o AS (PARTITION BY request_id, day ORDER BY vertex)),
+{after} AS (SELECT request_id, day, vertex, lat, lng FROM {before}_n WHERE m <= 2
+  UNION ALL SELECT request_id, day, 2 * vertex, 0.75::DOUBLE * lat + 0.25::DOUBLE * lat2, 0.75::DOUBLE * lng + 0.25::DOUBLE * lng2 FROM {before}_n WHERE m > 2
+  UNION ALL SELECT request_id, day, 2 * vertex + 1, 0.25::DOUBLE * lat + 0.75::DOUBLE * lat2, 0.25::DOUBLE * lng + 0.75::DOUBLE * lng2 FROM {before}_n WHERE m > 2)"""
+
+
+_RING = " SELECT request_id, day, vertex::INT AS vertex, round(lat, 9) AS lat, round(lng, 9) AS lng FROM {}"
+_SHAPE_SQL = {"hull": oracle(_HULL + _RING.format("hull"), "cand_fx"), "smooth": oracle(_HULL + _cut("hull", "one") + _cut("one", "two") + _cut("two", "three") + _RING.format("three"), "cand_fx"), "area": None}
+
 for _name, _shape in (("convex_hull", "hull"), ("chaikin", "smooth"), ("fit_area", "area")):
-    query(name=_name)(_shapes(_shape))
+    query(_SHAPE_SQL[_shape], name=_name)(_shapes(_shape))
 
 
 # Day texts.

@@ -301,3 +301,74 @@ def test_system_prompts(spark):
     requests = spark.createDataFrame([(1, "C", ["a"], "solo", 1, "D", "悠闲"), (2, "C", ["a"], "solo", 1, "D", "odd")], "request_id long, city string, interests array<string>, companion string, days int, stay_district string, style string")
     days = {x.request_id: x.text for x in itinerary.write_days(itinerary.day_prompts(stops, requests), lambda p: p.split("\n\n")[0]).collect()}
     assert days == {1: T.day_system_prompt("悠闲"), 2: T.day_system_prompt("综合")}
+
+
+def test_kmeans_finds_the_best_split_of_few_points():
+    from itertools import product
+
+    r = np.random.default_rng(4)
+    for _ in range(5):
+        points = r.random((8, 2))
+        cost = lambda labels: sum(((points[labels == j] - points[labels == j].mean(0)) ** 2).sum() for j in set(labels.tolist()))
+        best = min(cost(np.array(x)) for x in product((0, 1), repeat=8))
+        assert cost(spatial.kmeans(points, 2, 7)) == pytest.approx(best)
+
+
+def _far(a, b):
+    """Haversine with plain numbers."""
+    from math import asin, cos, radians, sin, sqrt
+
+    (p, q), (s, t) = (tuple(map(radians, x)) for x in (a, b))
+    return 2 * 6371.0 * asin(sqrt(min(1.0, sin((s - p) / 2) ** 2 + cos(p) * cos(s) * sin((t - q) / 2) ** 2)))
+
+
+def _middle(points, members):
+    return tuple(sum(float(points[m][i]) for m in members) / len(members) for i in (0, 1)) if members else (0.0, 0.0)
+
+
+def test_spatial_steps_against_plain_loops():
+    """Absorbing, correcting, filling and ordering, from clusters that are given, by dictionaries and loops."""
+    r, s = np.random.default_rng(11), config.Spatial(("U",), min_points=4)
+    flat = lambda days: [[list(c) for c in d] for d in days]
+    for _ in range(25):
+        n = int(r.integers(6, 30))
+        points, districts = np.column_stack([30 + r.random(n), 114 + r.random(n)]), np.where(r.random(n) < 0.7, "U", "R")
+        labels = r.integers(0, max(2, n // 2), n)
+        clusters = [c for c in ([i for i in range(n) if labels[i] == j] for j in range(n)) if c]
+        city = lambda c: 2 * sum(districts[i] == "U" for i in c) > len(c)
+        groups, alone, country = [list(c) for c in clusters if city(c) and len(c) > 1], [c[0] for c in clusters if city(c) and len(c) == 1], [c for c in clusters if not city(c)]
+        for p in alone if groups else ():
+            distance = {j: _far(points[p], _middle(points, c)) for j, c in enumerate(groups)}
+            groups[min(distance, key=distance.get)].append(p)
+        assert spatial.absorb_singletons(points, districts, clusters, s) == (groups + country if groups else clusters)
+
+        days = int(r.integers(2, 5))
+        segments = [[c for c, x in zip(clusters, r.integers(0, days, len(clusters))) if x == d] for d in range(days)]
+        want = flat(segments)
+        for _ in range(s.correction_rounds):
+            middles = {d: _middle(points, sum(seg, [])) for d, seg in enumerate(want) if seg}
+            goes = [(min(middles, key=lambda d: _far(_middle(points, c), middles[d])), d, c) for d, seg in enumerate(want) for c in seg]
+            if all(to == d for to, d, _ in goes):
+                break
+            want = [[c for to, _, c in goes if to == d] for d in range(days)]
+        assert flat(spatial.correct(points, segments, s)) == want
+
+        want, size = flat(segments), lambda seg: sum(len(c) for c in seg)
+        for _ in range(s.fill_rounds):
+            sizes = [size(seg) for seg in want]
+            poor = sizes.index(min(sizes))
+            rich = [d for d in range(days) if d != poor and want[d] and sizes[d] - min(len(c) for c in want[d]) >= s.min_points]
+            if sizes[poor] >= s.min_points or not rich:
+                break
+            here = _middle(points, sum(want[poor], []))
+            giver = want[min(rich, key=lambda d: _far(here, _middle(points, sum(want[d], []))))]
+            give = min(range(len(giver)), key=lambda i: _far(here, _middle(points, giver[i])))
+            want[poor].append(giver.pop(give))
+        assert flat(spatial.fill(points, segments, s)) == want
+
+        at, rest, want = (30.5, 114.5), [seg for seg in segments if seg], []
+        while rest:
+            want.append(rest.pop(min(range(len(rest)), key=lambda i: _far(at, _middle(points, sum(rest[i], []))))))
+            at = _middle(points, sum(want[-1], []))
+        assert flat(spatial.order_days(points, segments, np.array([30.5, 114.5]))) == flat(want) + [[]] * (days - len(want))
+        assert flat(spatial.deal_days(points, clusters[:days], days + 1, s)) == [[c] for c in clusters[:days]] + [[]] * (days + 1 - len(clusters[:days]))
