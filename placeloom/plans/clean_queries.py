@@ -156,9 +156,9 @@ def anchor_lookup(spark, sf_dir):
     return anchors.lookup(known.union(doubled), wanted).select("wanted", "ord", "type")
 
 
-@query(oracle("SELECT request_id, stay_district, coalesce(d.lat, 0) AS stay_lat, coalesce(d.lng, 0) AS stay_lng, d.name IS NOT NULL AS stay_found FROM req_fx r LEFT JOIN dist_fx d ON r.stay_district = d.name", "req_fx", "dist_fx"))
+@query(oracle("SELECT request_id, stay_district, coalesce(d.lat, 0) AS stay_lat, coalesce(d.lng, 0) AS stay_lng, d.name IS NOT NULL AS stay_found FROM cust_fx r LEFT JOIN dist_fx d ON r.stay_district = d.name", "cust_fx", "dist_fx"))
 def stay_coord_lookup(spark, sf_dir):
-    return anchors.stay_coordinates(view(spark, sf_dir, "req_fx"), view(spark, sf_dir, "dist_fx")).select("request_id", "stay_district", "stay_lat", "stay_lng", "stay_found")
+    return anchors.stay_coordinates(view(spark, sf_dir, "cust_fx"), view(spark, sf_dir, "dist_fx")).select("request_id", "stay_district", "stay_lat", "stay_lng", "stay_found")
 
 
 @query("SELECT event_id AS id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'error' AND d.user_id = e.event_id)")

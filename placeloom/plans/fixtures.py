@@ -35,15 +35,18 @@ POI = """SELECT p_partkey AS ord, p_partkey AS id,
   CASE WHEN p_partkey % 31 = 0 THEN cast(-999 AS double) ELSE round(cast(114 AS double) + cast((p_partkey * 104729) % 10009 AS double) / 10009 * cast(0.9 AS double), 6) END AS lng
 FROM part"""
 
-# The stated set of requests: customers whose key is divisible by 50.
-REQ = """SELECT c_custkey AS request_id, CASE WHEN c_custkey % 4 < 2 THEN 'C0' ELSE 'C1' END AS city, cast(c_custkey / cast(50 AS double) AS int) % 10 + 1 AS days,
-  CASE cast(c_custkey / cast(50 AS double) AS int) % 3 WHEN 0 THEN 'balanced' WHEN 1 THEN 'acclaimed' ELSE 'relaxed' END AS style,
-  CASE cast(c_custkey / cast(50 AS double) AS int) % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'small,ring' WHEN 2 THEN 'blue,bolt,gear' ELSE '' END AS interests,
-  CASE cast(c_custkey / cast(50 AS double) AS int) % 5 WHEN 0 THEN 'couple' WHEN 1 THEN 'family' WHEN 2 THEN 'nobody' ELSE 'solo' END AS companion,
-  'D' || cast(c_nationkey % 13 AS string) AS stay_district
-FROM customer WHERE c_custkey % 50 = 0"""
+# A request of every customer; some ask for a district that isn't known.
+CUST = """SELECT c_custkey AS request_id, CASE WHEN c_custkey % 4 < 2 THEN 'C0' ELSE 'C1' END AS city, cast(floor(c_custkey / cast(50 AS double)) AS int) % 10 + 1 AS days,
+  CASE cast(floor(c_custkey / cast(50 AS double)) AS int) % 3 WHEN 0 THEN 'balanced' WHEN 1 THEN 'acclaimed' ELSE 'relaxed' END AS style,
+  CASE cast(floor(c_custkey / cast(50 AS double)) AS int) % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'small,ring' WHEN 2 THEN 'blue,bolt,gear' ELSE '' END AS interests,
+  CASE cast(floor(c_custkey / cast(50 AS double)) AS int) % 5 WHEN 0 THEN 'couple' WHEN 1 THEN 'family' WHEN 2 THEN 'nobody' ELSE 'solo' END AS companion,
+  CASE WHEN c_custkey % 19 = 0 THEN 'nowhere' ELSE 'D' || cast(c_nationkey % 13 AS string) END AS stay_district
+FROM customer"""
 
-DIST = """SELECT n_nationkey AS ord, 'D' || cast(n_nationkey AS string) AS name, cast(30.2 AS double) + cast(n_nationkey AS double) / 40 AS lat, cast(114 AS double) + cast(n_nationkey AS double) / 30 AS lng FROM nation WHERE n_regionkey < 4"""
+# The stated set that searches all places: requests whose id is divisible by 50.
+REQ = "SELECT * FROM cust_fx WHERE request_id % 50 = 0"
+
+DIST = """SELECT n_nationkey AS ord, 'D' || cast(n_nationkey AS string) AS name, cast(30.2 AS double) + cast(n_nationkey AS double) / 40 AS lat, cast(114 AS double) + cast(n_nationkey AS double) / 30 AS lng FROM nation"""
 
 # A request's candidates: as many places of its city as its days ask for, in the order of a digest.
 CAND = """SELECT request_id, id, rank, name, rating, tags, interests, behaviors, companion, level, style, district, lat, lng, days, cast(rank % days AS int) + 1 AS day,
@@ -67,8 +70,8 @@ TAGGED = """SELECT event_id AS id, CASE event_id % 6
   WHEN 1 THEN '{"is_attraction": "no", "tags": "a", "behaviors": "b", "description": "c"}' WHEN 2 THEN 'not json' WHEN 3 THEN '["a"]'
   WHEN 4 THEN '{"is_attraction": "YES", "tags": null, "behaviors": " x "}' ELSE props END AS raw FROM events"""
 
-VIEWS = {"poi_fx": POI, "req_fx": REQ, "dist_fx": DIST, "cand_fx": CAND, "evt_fx": EVT, "anchor_fx": ANCHOR, "found_fx": FOUND, "tagged_fx": TAGGED}
-NEEDS = {"cand_fx": ("poi_fx", "req_fx")}
+VIEWS = {"poi_fx": POI, "cust_fx": CUST, "req_fx": REQ, "dist_fx": DIST, "cand_fx": CAND, "evt_fx": EVT, "anchor_fx": ANCHOR, "found_fx": FOUND, "tagged_fx": TAGGED}
+NEEDS = {"req_fx": ("cust_fx",), "cand_fx": ("poi_fx", "req_fx")}
 
 RULES = CleanRules(hard_names=("anvil",), hard_types=("PROMO",), soft_types=("ECONOMY", "Brand#1"), exempt_words=("ring", "gear"), brand_store=r"\(.*shop\)", sub_facility=("medium", "large"), local=("gizmo",))
 CORE = ("cold bolt", "hot bolt", "red ring")
@@ -97,7 +100,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(body: str, *views: str, recursive: bool = False) -> str:
     """DuckDB SQL: the views as common table expressions before ``body`` (which may go on with ", x AS (...)")."""
     names: list[str] = []
+
+    def add(v: str) -> None:
+        for n in NEEDS.get(v, ()):
+            add(n)
+        if v not in names:
+            names.append(v)
+
     for v in views:
-        names += [n for n in (*NEEDS.get(v, ()), v) if n not in names]
+        add(v)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}{body}" if body.startswith(",") else f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from placeloom.config import KM_A_DEGREE
 from placeloom.functions import scores
 from placeloom.functions import text as T
 from placeloom.functions.geo import circle, haversine, inside
@@ -51,9 +52,9 @@ def scored(spark, sf_dir):
     return picker.score_terms(candidates(spark, sf_dir), CORE, CROWD)
 
 
-@query(oracle("SELECT request_id, days, least(greatest(40, days * 20), 120) AS n FROM req_fx", "req_fx"))
+@query(oracle("SELECT request_id, days, least(greatest(40, days * 20), 120) AS n FROM cust_fx", "cust_fx"))
 def recall_count(spark, sf_dir):
-    return view(spark, sf_dir, "req_fx").select("request_id", "days", scores.recall_count(F.col("days")).alias("n"))
+    return view(spark, sf_dir, "cust_fx").select("request_id", "days", scores.recall_count(F.col("days")).alias("n"))
 
 
 @query(oracle(f"SELECT id, rating, {_RATING} AS rating_norm FROM poi_fx", "poi_fx"))
@@ -76,10 +77,10 @@ def level_norm(spark, sf_dir):
     return view(spark, sf_dir, "poi_fx").select("id", "level", scores.level_norm(F.col("level")).alias("level_norm"))
 
 
-@query(oracle(f"{_STYLES} SELECT request_id, r.style, rating_w, core_w, target FROM req_fx r JOIN styles s ON r.style = s.style", "req_fx"))
+@query(oracle(f"{_STYLES} SELECT request_id, r.style, rating_w, core_w, target FROM cust_fx r JOIN styles s ON r.style = s.style", "cust_fx"))
 def style_weights(spark, sf_dir):
     w = lambda term: scores.style_weight(F.col("style"), term, STYLE_TABLE, "balanced")
-    return view(spark, sf_dir, "req_fx").select("request_id", "style", w("rating").alias("rating_w"), w("core").alias("core_w"), w("target").alias("target"))
+    return view(spark, sf_dir, "cust_fx").select("request_id", "style", w("rating").alias("rating_w"), w("core").alias("core_w"), w("target").alias("target"))
 
 
 @query(oracle(f"SELECT id, name, {_CORE} AS is_core FROM poi_fx", "poi_fx"))
@@ -135,16 +136,18 @@ def greedy_nn_order(spark, sf_dir):
 
 # Rounds of one draw each over the candidates of a day, then the greedy walk over what was picked.
 _NEAREST = f"list_min(list_transform(picked, lambda p: {km_sql('p.lat', 'p.lng', 'b.lat', 'b.lng')}))"
-_PICK = f"""{_TERMS}, pool AS (SELECT *, count(*) OVER (PARTITION BY request_id, day) AS n FROM based),
+_WEIGHED = f"""SELECT d.request_id, d.day, d.style, d.target, d.i, d.picked, b.id, b.lat, b.lng, b.rank, {uniform_sql("'42|' || d.style || '|' || (d.day - 1) || '|r|' || d.i")} AS u,
+  CASE WHEN list_contains(list_transform(d.picked, lambda p: p.id), b.id) THEN 0.0::DOUBLE ELSE base * (SELECT CASE WHEN km IS NULL THEN 1.0::DOUBLE WHEN b.t_core THEN 1 - (1 - {_FACTOR}) / 2 ELSE {_FACTOR} END FROM (SELECT {_NEAREST} AS km)) END AS w
+  FROM draws d JOIN pool b ON d.request_id = b.request_id AND d.day = b.day WHERE len(d.picked) < d.target"""
+_DRAWS = f"""{_TERMS}, pool AS (SELECT *, count(*) OVER (PARTITION BY request_id, day) AS n FROM based),
 locked AS (SELECT request_id, day, id, lat, lng, rank, row_number() OVER (PARTITION BY request_id, day ORDER BY t_rating DESC, rank) AS l FROM pool WHERE n > target AND style = 'acclaimed' AND level = '5A' QUALIFY l <= target),
 begun AS (SELECT p.request_id, p.day, p.style, p.target, coalesce(l.picked, []::STRUCT(id BIGINT, lat DOUBLE, lng DOUBLE)[]) AS picked FROM (SELECT DISTINCT request_id, day, style, target FROM pool WHERE n > target) p
   LEFT JOIN (SELECT request_id, day, list({{'id': id, 'lat': lat, 'lng': lng}}) AS picked FROM locked GROUP BY ALL) l ON p.request_id = l.request_id AND p.day = l.day),
 draws AS (SELECT request_id, day, style, target, 0 AS i, picked FROM begun
   UNION ALL SELECT request_id, day, any_value(style), any_value(target), any_value(i) + 1, list_append(any_value(picked), arg_min({{'id': id, 'lat': lat, 'lng': lng}}, rank) FILTER (run >= u * total)) FROM (
     SELECT *, sum(w) OVER (PARTITION BY request_id, day ORDER BY rank) AS run, sum(w) OVER (PARTITION BY request_id, day) AS total FROM (
-      SELECT d.request_id, d.day, d.style, d.target, d.i, d.picked, b.id, b.lat, b.lng, b.rank, {uniform_sql("'42|' || d.style || '|' || (d.day - 1) || '|r|' || d.i")} AS u,
-        CASE WHEN list_contains(list_transform(d.picked, lambda p: p.id), b.id) THEN 0.0::DOUBLE ELSE base * (SELECT CASE WHEN km IS NULL THEN 1.0::DOUBLE WHEN b.t_core THEN 1 - (1 - {_FACTOR}) / 2 ELSE {_FACTOR} END FROM (SELECT {_NEAREST} AS km)) END AS w
-      FROM draws d JOIN pool b ON d.request_id = b.request_id AND d.day = b.day WHERE len(d.picked) < d.target)) GROUP BY request_id, day),
+      {_WEIGHED})) GROUP BY request_id, day)"""
+_PICK = f"""{_DRAWS},
 chosen AS (SELECT request_id, day, unnest(picked).id AS id FROM draws WHERE len(picked) = target UNION ALL SELECT request_id, day, id FROM pool WHERE n <= target),
 stops AS (SELECT p.request_id, p.day, p.id, p.rank, p.lat, p.lng, p.start_lat, p.start_lng FROM pool p JOIN chosen c ON p.request_id = c.request_id AND p.day = c.day AND p.id = c.id){walk_sql('stops', 'request_id', 'day')}
 SELECT request_id, day, stop, id FROM walk WHERE stop > 0"""
@@ -154,11 +157,32 @@ def picked(spark, sf_dir):
     return picker.pick_days(scored(spark, sf_dir), 42, "md5", STYLE_TABLE, "balanced", "acclaimed").drop("base")
 
 
+def traced(spark, sf_dir):
+    return picker.pick_traces(scored(spark, sf_dir), 42, "md5", STYLE_TABLE, "balanced", "acclaimed")
+
+
 @query(oracle(_PICK, "cand_fx", recursive=True))
 def pick_day(spark, sf_dir):
     return picked(spark, sf_dir)
 
 
+@query(oracle(f"""{_DRAWS}, done AS (SELECT b.request_id, b.day, len(b.picked) AS locked, list_transform(d.picked, lambda p: p.id) AS ids FROM begun b JOIN draws d ON b.request_id = d.request_id AND b.day = d.day AND len(d.picked) = d.target)
+SELECT p.request_id, p.day, p.id, CASE WHEN n > target THEN round(base, 6) END AS base, CASE WHEN n <= target THEN 0 WHEN list_contains(ids, p.id) THEN greatest(list_position(ids, p.id) - locked, 0) END AS picked_in
+FROM pool p LEFT JOIN done USING (request_id, day)""", "cand_fx", recursive=True))
+def pick_trace(spark, sf_dir):
+    """Every candidate's base score and the round that picked it."""
+    return traced(spark, sf_dir).select("request_id", "day", "id", F.round("base", 6).alias("base"), "picked_in")
+
+
+@query(oracle(f"""{_DRAWS}, weighed AS ({_WEIGHED}), after AS (SELECT request_id, day, i, picked[len(picked)].id AS last FROM draws)
+SELECT w.request_id, w.day, w.i + 1 AS round, w.place, w.id, round(w.w, 6) AS weight, w.id = a.last AS picked
+FROM (SELECT *, row_number() OVER (PARTITION BY request_id, day, i ORDER BY round(w, 9) DESC, rank) AS place FROM weighed WHERE NOT list_contains(list_transform(picked, lambda p: p.id), id)) w
+JOIN after a ON a.request_id = w.request_id AND a.day = w.day AND a.i = w.i + 1 WHERE w.place <= 5""", "cand_fx", recursive=True))
+def pick_rounds(spark, sf_dir):
+    """The five heaviest candidates of every round of picking."""
+    return picker.heaviest(traced(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+
+
 @query()
 def style_compare(spark, sf_dir):
     return picker.compare_styles(scored(spark, sf_dir), 42, "python", STYLE_TABLE, default="balanced", locking="acclaimed").drop("base")
@@ -259,8 +283,7 @@ def point_in_polygon(spark, sf_dir):
 
 
 def _shapes(shape: str):
-    rounded = lambda df: df.withColumns({c: F.round(c, 9) for c in ("lat", "lng")}) if shape != "area" else df
-    return lambda spark, sf_dir: rounded(geometry.day_shapes(view(spark, sf_dir, "cand_fx"), shape))
+    return lambda spark, sf_dir: geometry.day_shapes(view(spark, sf_dir, "cand_fx"), shape).withColumns({c: F.round(c, 9) for c in ("lat", "lng")})
 
 
 # An edge of the hull has all other points on its left, or on itself; its ends in the order of their angle from the middle, the least point first.
@@ -285,7 +308,24 @@ def _cut(before: str, after: str) -> str:
 
 
 _RING = " SELECT request_id, day, vertex::INT AS vertex, round(lat, 9) AS lat, round(lng, 9) AS lng FROM {}"
-_SHAPE_SQL = {"hull": oracle(_HULL + _RING.format("hull"), "cand_fx"), "smooth": oracle(_HULL + _cut("hull", "one") + _cut("one", "two") + _cut("two", "three") + _RING.format("three"), "cand_fx"), "area": None}
+# The smoothed hull (a circle for fewer than three corners) grown about the mean of the stops by the first factor that leaves all of them well inside.
+_AREA = _HULL + _cut("hull", "one") + _cut("one", "two") + _cut("two", "three") + f""", mid AS (SELECT request_id, day, avg(lat) AS mlat, avg(lng) AS mlng, cos(radians(avg(lat))) * {KM_A_DEGREE} AS km_lng FROM cand_fx GROUP BY ALL),
+corners AS (SELECT request_id, day, count(*) AS h FROM hull GROUP BY ALL),
+far AS (SELECT request_id, day, greatest(max(sqrt(pow((lng - mlng) * km_lng, 2) + pow((lat - mlat) * {KM_A_DEGREE}, 2))), {geometry.LEAST_RADIUS_KM}::DOUBLE) AS r FROM cand_fx JOIN mid USING (request_id, day) GROUP BY ALL),
+base AS (SELECT request_id, day, vertex, lat, lng FROM three JOIN corners USING (request_id, day) WHERE h > 2
+  UNION ALL SELECT request_id, day, i, mlat + r / {KM_A_DEGREE}::DOUBLE * cos(2 * pi() * i / 48), mlng + r / km_lng * sin(2 * pi() * i / 48) FROM corners JOIN far USING (request_id, day) JOIN mid USING (request_id, day), range(48) t(i) WHERE h <= 2),
+factors(f, factor) AS (VALUES {", ".join(f"({i}, {x}::DOUBLE)" for i, x in enumerate(geometry.FACTORS))}),
+grown AS (SELECT request_id, day, f, vertex, mlat + (lat - mlat) * factor AS lat, mlng + (lng - mlng) * factor AS lng, km_lng FROM base JOIN mid USING (request_id, day), factors),
+side AS (SELECT request_id, day, f, km_lng, ax, ay, coalesce(lead(ax) OVER o, first_value(ax) OVER o) AS bx, coalesce(lead(ay) OVER o, first_value(ay) OVER o) AS by_
+  FROM (SELECT *, lng * km_lng AS ax, lat * {KM_A_DEGREE}::DOUBLE AS ay FROM grown) WINDOW o AS (PARTITION BY request_id, day, f ORDER BY vertex)),
+seen AS (SELECT c.request_id, c.day, c.id, f, ax, ay, bx, by_, lng * km_lng AS x, lat * {KM_A_DEGREE}::DOUBLE AS y FROM cand_fx c JOIN side s ON c.request_id = s.request_id AND c.day = s.day),
+along AS (SELECT *, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / greatest(pow(bx - ax, 2) + pow(by_ - ay, 2), 1e-300))) AS t FROM seen),
+held AS (SELECT request_id, day, f, id, count(*) FILTER ((ay > y) <> (by_ > y) AND x < (bx - ax) * (y - ay) / (by_ - ay) + ax) % 2 = 1 AS inside, min(sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (by_ - ay), 2))) AS km FROM along GROUP BY ALL),
+fits AS (SELECT request_id, day, f FROM held GROUP BY ALL HAVING bool_and(inside) AND min(km) >= {geometry.MARGIN_KM}),
+grows AS (SELECT mid.request_id, mid.day, coalesce(min(f), {len(geometry.FACTORS) - 1}) AS f FROM mid LEFT JOIN fits ON mid.request_id = fits.request_id AND mid.day = fits.day GROUP BY ALL),
+area AS (SELECT g.* FROM grown g JOIN grows USING (request_id, day, f))"""
+
+_SHAPE_SQL = {"hull": oracle(_HULL + _RING.format("hull"), "cand_fx"), "smooth": oracle(_HULL + _cut("hull", "one") + _cut("one", "two") + _cut("two", "three") + _RING.format("three"), "cand_fx"), "area": oracle(_AREA + _RING.format("area"), "cand_fx")}
 
 for _name, _shape in (("convex_hull", "hull"), ("chaikin", "smooth"), ("fit_area", "area")):
     query(_SHAPE_SQL[_shape], name=_name)(_shapes(_shape))

@@ -183,9 +183,9 @@ def strip_city(spark, sf_dir):
     return named.select("id", "query", T.strip_city(F.col("query"), F.col("city")).alias("stripped"))
 
 
-@query(oracle("SELECT request_id, CASE WHEN interests = '' THEN city || ' 景点' ELSE replace(interests, ',', ' ') END AS query FROM req_fx", "req_fx"))
+@query(oracle("SELECT request_id, CASE WHEN interests = '' THEN city || ' 景点' ELSE replace(interests, ',', ' ') END AS query FROM cust_fx", "cust_fx"))
 def build_query_text(spark, sf_dir):
-    return view(spark, sf_dir, "req_fx").select("request_id", T.query_text(T.split_tags(F.col("interests")), F.col("city")).alias("query"))
+    return view(spark, sf_dir, "cust_fx").select("request_id", T.query_text(T.split_tags(F.col("interests")), F.col("city")).alias("query"))
 
 
 @query(oracle(f"""{build._MERGED} SELECT id, CASE WHEN id % 4 = 0 THEN name WHEN id % 4 = 1 THEN name ELSE 'shown ' || id END AS display_name, replace(tags, '|', ',') AS tags, CASE WHEN id % 3 = 0 THEN '' ELSE 'u' || id END AS photos,
