@@ -54,11 +54,8 @@ class Bm25Index:
 ASKED_ROWS = 100_000
 
 
-def bm25_index(docs: DataFrame, text: str = "text", bigrams: bool = False, epsilon: float = BM25_EPSILON) -> Bm25Index:
-    """The index of ``docs`` (id, text). A negative idf becomes epsilon times the mean of all idfs."""
-    listed = docs.select("id", tokens(F.col(text), bigrams).alias("_tokens"))
-    postings = listed.select("id", F.explode("_tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    # All else is summed from the postings, so Spark can use their one exchange again; texts without tokens have no length.
+def _of_postings(postings: DataFrame, docs: DataFrame, bigrams: bool, epsilon: float) -> Bm25Index:
+    """All else is summed from the postings, so Spark can use their one exchange again; texts without tokens have no length."""
     lengths = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
     sums = docs.agg(F.count(F.lit(1)).alias("n")).join(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))
     sums = sums.select("n", F.try_divide(F.col("total").cast("double"), F.col("n")).alias("avgdl"), F.lit(bigrams).alias("bigrams"))
@@ -69,18 +66,42 @@ def bm25_index(docs: DataFrame, text: str = "text", bigrams: bool = False, epsil
     return Bm25Index(postings, lengths, terms, sums, bigrams)
 
 
-def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def bm25_index(docs: DataFrame, text: str = "text", bigrams: bool = False, epsilon: float = BM25_EPSILON) -> Bm25Index:
+    """The index of ``docs`` (id, text). A negative idf becomes epsilon times the mean of all idfs."""
+    listed = docs.select("id", tokens(F.col(text), bigrams).alias("_tokens"))
+    postings = listed.select("id", F.explode("_tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    return _of_postings(postings, docs, bigrams, epsilon)
+
+
+def write_bm25_index(docs: DataFrame, path: str, text: str = "text", bigrams: bool = False, epsilon: float = BM25_EPSILON) -> Bm25Index:
+    """Write the index of ``docs`` and read it back. Texts are cut into terms once: the other tables are made from the postings as written."""
+    postings = bm25_index(docs, text, bigrams).postings
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    made = _of_postings(docs.sparkSession.read.parquet(f"{path}/postings"), docs, bigrams, epsilon)
+    made.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    made.sums.write.mode("overwrite").parquet(f"{path}/sums")
+    made.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    return Bm25Index.read(docs.sparkSession, path)
+
+
+def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B, docs: DataFrame | None = None) -> DataFrame:
     """query_id, id, score for ``queries`` (query_id, query); terms asked twice count twice, scores of 0 and less are left out.
 
-    Queries are cut into terms as the index was. The asked terms are counted: if they are few they go
-    to the postings, so a very common term isn't shuffled; all postings are scanned.
+    With ``docs`` (id, city) only documents of the query's city count. Queries are cut into terms as
+    the index was. The asked terms are counted: if they are few they go to the postings, which are
+    scanned where they are, so only postings of asked terms travel: once, to the lengths of their
+    documents. There they meet the queries and are summed, in place.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"), index.bigrams)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = asked.join(index.terms, "term")
-    hits = index.postings.join(F.broadcast(asked) if asked.count() <= ASKED_ROWS else asked, "term").join(index.lengths, "id").join(F.broadcast(index.sums))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
+    city = [] if docs is None else ["city"]
+    asked = queries.select("query_id", *city, F.explode(tokens(F.col("query"), index.bigrams)).alias("term")).groupBy("query_id", *city, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    few = (lambda df: F.broadcast(df)) if asked.count() <= ASKED_ROWS else (lambda df: df)
+    asked = asked.join(index.terms, "term").select("query_id", *city, "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    lengths = index.lengths if docs is None else index.lengths.join(docs.select("id", "city"), "id")
+    found = index.postings.join(few(asked.select("term").distinct()), "term", "left_semi").join(lengths, "id").join(F.broadcast(index.sums))
+    part = found.select("id", *city, "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))).alias("part"))
+    hits = part.join(few(asked), ["term", *city])
     # Rounded, so that texts that are copies tie in whatever order their terms are summed.
-    return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+    return hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("part")), 6).alias("score")).filter("score > 0")
 
 
 def archive(docs: DataFrame, path: str) -> None:

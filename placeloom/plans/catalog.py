@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from placeloom.plans import build_queries, clean_queries, plan_queries, retrieve_queries
+from placeloom.plans import build_queries, clean_queries, plan_queries, retrieve_queries, store_queries
 
-_MODULES = (clean_queries, build_queries, retrieve_queries, plan_queries)
+_MODULES = (clean_queries, build_queries, retrieve_queries, plan_queries, store_queries)
 
 
 def queries() -> dict[str, Callable]:

@@ -66,7 +66,7 @@ def build_stage(spark: SparkSession, city: City, root: str, force: bool = False,
     docs = index.build_documents(group.merge_groups(rows, group.canonical_map(rows, city.groups)))
     if not places.write_rows(embedded(docs, embed=embed), city.paths(root)["kb"], force):
         return False
-    index.bm25_index(spark.read.parquet(city.paths(root)["kb"]), bigrams=bigrams).write(city.paths(root)["index"])
+    index.write_bm25_index(spark.read.parquet(city.paths(root)["kb"]), city.paths(root)["index"], bigrams=bigrams)
     return True
 
 

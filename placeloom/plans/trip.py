@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placeloom.config import CROWD_WEIGHTS, DEFAULT_STYLE, LOCKING_STYLE, STYLES, Spatial, Style
 from placeloom.functions.scores import recall_count
-from placeloom.functions.text import query_text
+from placeloom.functions.text import first_nonempty, or_empty, query_text
 from placeloom.operators.anchors import stay_coordinates
 from placeloom.operators.index import Bm25Index
 from placeloom.operators.itinerary import day_prompts, write_days
@@ -30,6 +30,17 @@ def recalled(requests: DataFrame, kb: DataFrame, vectors: DataFrame, index: Bm25
     return found.join(wanted, "query_id").filter(F.col("rank") <= F.col("n")).select(F.col("query_id").alias("request_id"), "id", "score", "rank")
 
 
+def plan_places(planned: DataFrame, docs: DataFrame) -> DataFrame:
+    """What a plan has of its places: ``planned`` (request_id, day, id, cluster_id) with the fields of ``docs``."""
+    joined = lambda c: or_empty(F.array_join(c, ",")).alias(c)
+    none = F.array().cast("array<string>")
+    fields = docs.select(
+        "id", "name", first_nonempty(F.col("display_name"), F.col("name")).alias("display_name"), joined("tags"), joined("behaviors"), or_empty(F.col("level")).alias("level"),
+        F.coalesce("aliases", none).alias("aliases"), F.coalesce("photos", none).alias("photos"), or_empty(F.col("description")).alias("description"), "lat", "lng", "rating", or_empty(F.col("district")).alias("district"),
+    )
+    return planned.select("request_id", "day", "id", "cluster_id").join(fields, "id").withColumnRenamed("id", "poi_id")
+
+
 def plan_trips(
     requests: DataFrame, kb: DataFrame, vectors: DataFrame, index: Bm25Index | None, districts: DataFrame, spatial: Spatial, core: Iterable[str] = (), seed: int = 42, rng: str = "python",
     styles: Mapping[str, Style] = STYLES, default: str = DEFAULT_STYLE, locking: str = LOCKING_STYLE, crowd: Mapping[str, Mapping[str, float]] = CROWD_WEIGHTS,

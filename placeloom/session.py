@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,6 +22,16 @@ def session(app: str = "placeloom", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; only a local session may do without that setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    return f"{shared.rstrip('/')}/placeloom-{uuid.uuid4().hex}"
+
+
 def logger(name: str, folder: str | None = None) -> logging.Logger:
     """A logger to the console and, with ``folder``, to <folder>/<name>.log; asking again adds no handlers."""
     log = logging.getLogger(f"placeloom.{name}")

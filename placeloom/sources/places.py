@@ -9,10 +9,11 @@ from placeloom.schema import EVAL_CASE, RAW_ANCHOR, RAW_POI, TAGGED_POI
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files that each hold one JSON array of objects, with ``ord``, the place in the array."""
+    """Files that each hold one JSON array of objects, with ``ord``, the place in the array, and the values of folders."""
     whole = spark.read.text(path, wholetext=True)
-    items = whole.select(F.posexplode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("ord", "item"))
-    return items.select(F.col("ord").cast("long").alias("ord"), "item.*")
+    parts = [c for c in whole.columns if c != "value"]
+    items = whole.select(*parts, F.posexplode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("ord", "item"))
+    return items.select(*parts, F.col("ord").cast("long").alias("ord"), "item.*")
 
 
 def _fields(schema: str) -> str:
@@ -40,6 +41,20 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("city", "city_name", F.explode("cases").alias("case")).select("city", "city_name", "case.*")
 
 
+def write_json_arrays(df: DataFrame, path: str, part: str, order: str, force: bool = False) -> bool:
+    """One JSON array file for each value of ``part`` (a city's places, say: an array is one text, so a value's rows must fit a task), unless written already."""
+    if not force and exists(df.sparkSession, path):
+        return False
+    rows = F.struct(order, *(c for c in df.columns if c not in (part, order)))
+    df.groupBy(part).agg(F.to_json(F.sort_array(F.collect_list(rows))).alias("value")).write.mode("overwrite").partitionBy(part).text(path)
+    return True
+
+
+def append_lines(df: DataFrame, path: str) -> None:
+    """Append a batch as JSON lines; each task's file is there as soon as the batch is committed."""
+    df.write.mode("append").json(path)
+
+
 def write_rows(df: DataFrame, path: str, force: bool = False, kind: str = "parquet") -> bool:
     """Write unless it has been written already; ``force`` replaces it. True if it was written."""
     if not force and exists(df.sparkSession, path):
