@@ -155,6 +155,39 @@ def test_pick_edges():
     assert [i for i, _ in picker.pick_rows(_pool(20), style, False, numbers())] == [i for i, _ in picker.pick_rows(_pool(20), style, False, numbers())]
 
 
+def test_pick_trace(spark):
+    pools = _pool(9, level="5A", t_rating=np.arange(9) / 9).assign(day=1), _pool(3).assign(day=2), _pool(9).assign(day=3)
+    rows = [x.assign(request_id=7, rank=range(len(x)), style="口碑") for x in pools]
+    df = spark.createDataFrame([r for x in rows for r in x.to_dict("records")])
+    got = {(x.day, x.id): x for x in picker.pick_traces(df, 1).collect()}
+    assert [got[1, i].picked_in for i in range(9)] == [None] * 4 + [0] * 5 and all(got[1, i].weights == [] for i in range(9))
+    assert all(got[2, i].picked_in == 0 and got[2, i].base is None for i in range(3))
+    stops = {x.id for x in picker.pick_days(df, 1).filter("day = 3").collect()}
+    assert {i for i in range(9) if got[3, i].picked_in} == stops and sorted(got[3, i].picked_in for i in stops) == [1, 2, 3, 4, 5]
+    for i in stops:  # a weight in every round up to the one that took it, none after
+        assert [w is not None for w in got[3, i].weights] == [r <= got[3, i].picked_in for r in range(1, 6)]
+    top = picker.heaviest(picker.pick_traces(df, 1)).collect()
+    assert len(top) == 25 and all(x.day == 3 for x in top)
+
+
+def test_json_arrays_and_lines(spark, tmp_path):
+    at = str(tmp_path / "arrays")
+    rows = spark.createDataFrame([("a", "x", "1,2", None), ("a", "w", None, "t"), ("b", "y", "3,4", "t")], "part string, name string, location string, type string")
+    assert places.write_json_arrays(rows, at, "part", "name") and not places.write_json_arrays(rows.limit(0), at, "part", "name")
+    assert sorted(map(tuple, places.read_raw_anchors(spark, at).select("part", "ord", "name", "location", "type").collect())) == [("a", 0, "w", None, "t"), ("a", 1, "x", "1,2", None), ("b", 0, "y", "3,4", "t")]
+    assert places.write_json_arrays(rows.filter("part = 'b'"), at, "part", "name", force=True) and places.read_raw_anchors(spark, at).count() == 1
+
+
+def test_index_written_from_its_postings(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b a", "x"), (2, "b c", "y"), (3, "", "x"), (4, None, "y")], "id long, text string, city string")
+    made, stored = index.bm25_index(docs), index.write_bm25_index(docs, str(tmp_path))
+    for name in ("postings", "lengths", "terms", "sums"):
+        assert sorted(map(repr, map(tuple, getattr(made, name).collect()))) == sorted(map(repr, map(tuple, getattr(stored, name).collect())))
+    asked = spark.createDataFrame([(1, "a b", "x"), (2, "c c", "x")], "query_id long, query string, city string")
+    every, own = (index.bm25_scores(stored, asked, docs=d).collect() for d in (None, docs))
+    assert {(x.query_id, x.id) for x in every} >= {(1, 1), (2, 2)} and {(x.query_id, x.id) for x in own} == {(x.query_id, x.id) for x in every if x.id == 1}
+
+
 def test_spatial_edges():
     s = config.Spatial(("D0",))
     same = np.zeros((23, 2))
