@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from placeloom.config import Groups
 from placeloom.functions.text import or_empty, split_tags
+from placeloom.operators.blocks import NAME_ROWS, if_few
 
 
-def shortest_substring(names: DataFrame, column: str = "name") -> DataFrame:
+def shortest_substring(names: DataFrame, column: str = "name", few: int = NAME_ROWS) -> DataFrame:
     """name, canonical: the shortest name of the table that is a substring of it (itself at least), ties by name.
 
     Instead of comparing all pairs, every name lists its own substrings of such lengths as names
-    have and looks them up by an equi-join; that grows with the names, not with their pairs.
+    have and looks them up by an equi-join; that grows with the names, not with their pairs. Up to
+    ``few`` names, which are counted, go to the substrings, so that only what is found is shuffled.
     """
     vocab = names.select(F.col(column).alias("name")).filter("name <> ''").distinct()
     lengths = F.broadcast(vocab.agg(F.collect_set(F.length("name")).alias("_lengths")))  # as many numbers as lengths exist
     starts = F.flatten(F.transform("_lengths", lambda n: F.when(n <= F.length("name"), F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substr("name", i, n))).otherwise(F.array().cast("array<string>"))))
     parts = vocab.join(lengths).select("name", F.explode(F.array_distinct(starts)).alias("part"))
-    hits = parts.join(vocab.select(F.col("name").alias("part")), "part")
+    hits = parts.join(if_few(vocab.select(F.col("name").alias("part")), few), "part")
     return hits.groupBy("name").agg(F.min_by("part", F.struct(F.length("part"), F.col("part"))).alias("canonical"))
 
 

@@ -195,6 +195,34 @@ def plan_days(points: np.ndarray, districts: np.ndarray, days: int, start: np.nd
     return order_days(points, segments, start)
 
 
+def one_step(members: DataFrame, settings: Spatial, step: str) -> DataFrame:
+    """request_id, id, day, cluster after one step ("absorbed", "corrected" or "filled") on clusters that are given.
+
+    ``members`` has request_id, id, rank, lat, lng, district, days, day (from 1) and cluster, a
+    number that is known within a request; a cluster is in one day. Clusters come in the order of
+    their numbers, and one that takes in another's point keeps its own.
+    """
+    spatial = asdict(settings)
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, s = rows.sort_values(["rank", "id"], kind="stable").reset_index(drop=True), Spatial(**spatial)
+        points, labels, day = rows[["lat", "lng"]].to_numpy(float), rows["cluster"].to_numpy().copy(), rows["day"].to_numpy().copy()
+        clusters = [np.flatnonzero(labels == c).tolist() for c in np.unique(labels)]
+        if step == "absorbed":
+            for members in absorb_singletons(points, rows["district"].to_numpy(), clusters, s):
+                labels[members], day[members] = labels[members[0]], day[members[0]]
+        else:
+            segments = [[c for c in clusters if day[c[0]] == d + 1] for d in range(int(rows["days"].iloc[0]))]
+            for d, segment in enumerate({"corrected": correct, "filled": fill}[step](points, segments, s)):
+                for members in segment:
+                    day[members] = d + 1
+        return pd.DataFrame({"request_id": rows["request_id"], "id": rows["id"], "day": day.astype("int32"), "cluster": labels.astype("int32")})
+
+    kinds = dict(members.dtypes)
+    slim = members.select("request_id", "id", "rank", "lat", "lng", "district", "days", "day", "cluster")
+    return slim.groupBy("request_id").applyInPandas(work, f"request_id {kinds['request_id']}, id {kinds['id']}, day int, cluster int")
+
+
 def spatial_plan(candidates: DataFrame, settings: Spatial, upto: str = "planned") -> DataFrame:
     """request_id, id, day (from 1; null: dropped), cluster_id (within the day; -1: dropped).
 

@@ -183,9 +183,16 @@ def pick_rounds(spark, sf_dir):
     return picker.heaviest(traced(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+# Every request once under each style, as if it were three requests.
+_STYLED = ", styled AS (SELECT * REPLACE (request_id * 3 + s AS request_id, ['balanced', 'acclaimed', 'relaxed'][s + 1] AS style) FROM cand_fx, range(3) r(s))"
+_COMPARED = _PICK.replace("cand_fx", "styled").replace(
+    "SELECT request_id, day, stop, id FROM walk WHERE stop > 0", "SELECT request_id // 3 AS request_id, ['balanced', 'acclaimed', 'relaxed'][request_id % 3 + 1] AS style, day, stop, id FROM walk WHERE stop > 0"
+)
+
+
+@query(oracle(_STYLED + _COMPARED, "cand_fx", recursive=True))
 def style_compare(spark, sf_dir):
-    return picker.compare_styles(scored(spark, sf_dir), 42, "python", STYLE_TABLE, default="balanced", locking="acclaimed").drop("base")
+    return picker.compare_styles(scored(spark, sf_dir), 42, "md5", STYLE_TABLE, default="balanced", locking="acclaimed").drop("base")
 
 
 # Spatial.
@@ -244,6 +251,54 @@ for _name, _upto in (("geo_kmeans", "clusters"), ("cluster_size_cap", "clusters"
     query(name=_name)(_planned(_upto))
 
 
+# Steps on clusters that are given: every ninth place alone, the others dealt by their ranks; a cluster's number gives its day.
+_GIVEN = "CASE WHEN rank % 9 = 0 THEN 100 + rank ELSE rank % 17 END"
+_CITY = ", ".join(f"'{d}'" for d in SPATIAL.urban_districts)
+_LABELLED = f""", given AS (SELECT request_id, id, lat, lng, district, days, {_GIVEN} AS cluster, ({_GIVEN}) * 5 % 7 % days + 1 AS day FROM cand_fx),
+grp AS (SELECT request_id, cluster, any_value(days) AS days, any_value(day) AS day, count(*) AS n, sum(lat) AS lat, sum(lng) AS lng, count(*) FILTER (district IN ({_CITY})) * 2 > count(*) AS urban FROM given GROUP BY request_id, cluster)"""
+
+
+def _given(step: str):
+    def run(spark, sf_dir):
+        cand = view(spark, sf_dir, "cand_fx").withColumn("cluster", F.expr(_GIVEN))
+        return spatial.one_step(cand.withColumn("day", F.expr("cluster * 5 % 7 % days + 1")), SPATIAL, step)
+
+    return run
+
+
+def _km_to(lat: str, lng: str) -> str:
+    return km_sql("c.lat / c.n", "c.lng / c.n", lat, lng)
+
+
+# Clusters as lists of sums: single points in the order of their numbers join the nearest, whose sums grow.
+query(oracle(f"""{_LABELLED}, larger AS (SELECT request_id, list({{'cluster': cluster, 'day': day, 'n': n, 'lat': lat, 'lng': lng}} ORDER BY cluster) AS cs FROM grp WHERE urban AND n > 1 GROUP BY request_id),
+alone AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY cluster) AS i FROM grp WHERE urban AND n = 1),
+joined AS (SELECT request_id, 0::BIGINT AS i, 0 AS cluster, 0 AS into_cluster, 0 AS into_day, cs FROM larger UNION ALL
+  SELECT request_id, i, cluster, goal.cluster, goal.day, list_transform(cs, lambda c: CASE WHEN c.cluster = goal.cluster THEN {{'cluster': c.cluster, 'day': c.day, 'n': c.n + 1, 'lat': c.lat + lat, 'lng': c.lng + lng}} ELSE c END)
+  FROM (SELECT a.request_id, a.i, a.cluster, a.lat, a.lng, j.cs, list_sort(list_transform(j.cs, lambda c: {{'km': {_km_to('a.lat', 'a.lng')}, 'cluster': c.cluster, 'day': c.day}}))[1] AS goal FROM joined j JOIN alone a ON a.request_id = j.request_id AND a.i = j.i + 1))
+SELECT g.request_id, g.id, coalesce(j.into_day, g.day) AS day, coalesce(j.into_cluster, g.cluster) AS cluster FROM given g LEFT JOIN joined j ON g.request_id = j.request_id AND g.cluster = j.cluster AND j.i > 0""", "cand_fx", recursive=True), "absorb_given_clusters")(_given("absorbed"))
+
+# Rounds of all clusters to the nearest day's centre; once none moves, further rounds change nothing.
+query(oracle(f"""{_LABELLED}, turns AS (SELECT request_id, cluster, n, lat, lng, day, 0 AS turn FROM grp UNION ALL
+  SELECT request_id, cluster, n, lat, lng, list_sort(list_transform(centres, lambda d: {{'km': {km_sql('lat / n', 'lng / n', 'd.lat', 'd.lng')}, 'day': d.day}}))[1].day, turn + 1
+  FROM (SELECT *, list({{'day': day, 'lat': dlat, 'lng': dlng}}) OVER (PARTITION BY request_id) AS centres
+    FROM (SELECT *, sum(lat) OVER d / sum(n) OVER d AS dlat, sum(lng) OVER d / sum(n) OVER d AS dlng FROM turns WHERE turn < {SPATIAL.correction_rounds} WINDOW d AS (PARTITION BY request_id, day))))
+SELECT g.request_id, g.id, t.day, g.cluster FROM given g JOIN turns t ON g.request_id = t.request_id AND g.cluster = t.cluster AND t.turn = {SPATIAL.correction_rounds}""", "cand_fx", recursive=True), "reassign_given_clusters")(_given("corrected"))
+
+# Rounds in which one cluster of a request moves: sizes and centres of its days, the poorest day, its giver, what is given.
+query(oracle(f"""{_LABELLED}, turns AS (SELECT request_id, any_value(days) AS days, 0 AS turn, list({{'cluster': cluster, 'day': day, 'n': n, 'lat': lat, 'lng': lng}} ORDER BY cluster) AS cs FROM grp GROUP BY request_id UNION ALL
+  SELECT request_id, days, turn + 1, list_transform(cs, lambda c: CASE WHEN c.cluster = moved THEN {{'cluster': c.cluster, 'day': poor.day, 'n': c.n, 'lat': c.lat, 'lng': c.lng}} ELSE c END)
+  FROM (SELECT *, list_sort(list_transform(list_filter(cs, lambda c: c.day = giver), lambda c: {{'km': {_km_to('poor.lat', 'poor.lng')}, 'cluster': c.cluster}}))[1].cluster AS moved
+  FROM (SELECT *, list_sort(list_transform(list_filter(segs, lambda s: s.day <> poor.day AND s.n > 0 AND s.n - s.least >= {SPATIAL.min_points}), lambda s: {{'km': {km_sql('poor.lat', 'poor.lng', 's.lat', 's.lng')}, 'day': s.day}}))[1].day AS giver
+  FROM (SELECT *, list_sort(segs)[1] AS poor
+  FROM (SELECT request_id, any_value(days) AS days, any_value(turn) AS turn, any_value(cs) AS cs, list({{'n': n, 'day': day, 'least': least, 'lat': CASE WHEN n > 0 THEN lat / n ELSE 0 END, 'lng': CASE WHEN n > 0 THEN lng / n ELSE 0 END}}) AS segs
+  FROM (SELECT request_id, days, turn, cs, d.day AS day, list_sum([0] || list_transform(list_filter(cs, lambda c: c.day = d.day), lambda c: c.n)) AS n, list_min(list_transform(list_filter(cs, lambda c: c.day = d.day), lambda c: c.n)) AS least,
+    list_sum(list_transform(list_filter(cs, lambda c: c.day = d.day), lambda c: c.lat)) AS lat, list_sum(list_transform(list_filter(cs, lambda c: c.day = d.day), lambda c: c.lng)) AS lng FROM turns, range(1, 11) d(day) WHERE d.day <= days AND turn < {SPATIAL.fill_rounds})
+  GROUP BY request_id)) WHERE poor.n < {SPATIAL.min_points}) WHERE giver IS NOT NULL)),
+last AS (SELECT request_id, unnest(arg_max(cs, turn), recursive := true) FROM turns GROUP BY request_id)
+SELECT g.request_id, g.id, l.day, g.cluster FROM given g JOIN last l ON g.request_id = l.request_id AND g.cluster = l.cluster""", "cand_fx", recursive=True), "fill_given_clusters")(_given("filled"))
+
+
 @query(name="cluster_size_cap")
 def cluster_size_cap(spark, sf_dir):
     """The clusters' sizes; none is above the cap."""

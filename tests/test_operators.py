@@ -292,6 +292,31 @@ def test_blocks_give_the_same_pairs(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) and whole.count() == 140
 
 
+def test_names_found_alike_few_or_many(spark):
+    names = spark.createDataFrame([(x,) for x in ("ab", "abc", "b", "xab y", "黄鹤楼公园", "黄鹤楼", "zz", "", None)], "name string")
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+    short = pairs(group.shortest_substring(names))
+    assert short == pairs(group.shortest_substring(names, few=0)) == [("ab", "b"), ("abc", "b"), ("b", "b"), ("xab y", "b"), ("zz", "zz"), ("黄鹤楼", "黄鹤楼"), ("黄鹤楼公园", "黄鹤楼")]
+    texts = spark.createDataFrame([(1, "x" * 254 + "abc"), (2, "在黄鹤楼"), (3, ""), (4, None)], "id long, text string")
+    found = pairs(itinerary.contained(texts, names, "id"))
+    assert found == pairs(itinerary.contained(texts, names, "id", few=0)) == [(1, "ab"), (1, "abc"), (1, "b"), (2, "黄鹤楼")]
+    none = names.limit(0)
+    assert not pairs(group.shortest_substring(none)) and not pairs(itinerary.contained(texts, none, "id")) and not pairs(itinerary.contained(texts.limit(0), names, "id"))
+
+
+def test_steps_on_given_clusters(spark):
+    rows = [(1, i, i, 30.0 + lat, 114.0, "U" if i < 9 else "R", 3, day, cluster) for i, (lat, day, cluster) in enumerate([(0, 1, 1), (0, 1, 1), (0.02, 2, 2), (0.5, 2, 3), (0.5, 2, 3), (0.5, 2, 3), (0.51, 1, 4), (0.51, 1, 4), (0.02, 3, 5), (0.9, 3, 6)])]
+    members = spark.createDataFrame(rows, "request_id long, id long, rank int, lat double, lng double, district string, days int, day int, cluster int")
+    s = config.Spatial(("U",), min_points=2)
+    after = lambda step: {x.id: (x.day, x.cluster) for x in spatial.one_step(members, s, step).collect()}
+    assert after("absorbed") == {0: (1, 1), 1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (1, 4), 7: (1, 4), 8: (1, 1), 9: (3, 6)}
+    assert {i: c for i, (_, c) in after("corrected").items()} == {r[1]: r[8] for r in rows}
+    by_day = after("corrected")
+    assert by_day[0][0] == by_day[2][0] == by_day[8][0] and by_day[3][0] == by_day[6][0] != by_day[0][0]
+    assert after("filled") == {r[1]: (r[7], r[8]) for r in rows}
+    assert spatial.one_step(members.limit(0), s, "filled").count() == 0
+
+
 def test_mentions_by_start(spark):
     texts = spark.createDataFrame([(1, "去黄鹤楼看看 ab"), (2, None)], "id long, text string")
     names = spark.createDataFrame([("黄鹤楼公园",), ("黄鹤",), ("abc",), ("ab",)], "name string")
