@@ -362,7 +362,7 @@ def _cut(before: str, after: str) -> str:
   UNION ALL SELECT request_id, day, 2 * vertex + 1, 0.25::DOUBLE * lat + 0.75::DOUBLE * lat2, 0.25::DOUBLE * lng + 0.75::DOUBLE * lng2 FROM {before}_n WHERE m > 2)"""
 
 
-_RING = " SELECT request_id, day, vertex::INT AS vertex, round(lat, 9) AS lat, round(lng, 9) AS lng FROM {}"
+_RING_SQL = " SELECT request_id, day, vertex::INT AS vertex, round(lat, 9) AS lat, round(lng, 9) AS lng FROM {}"
 # The smoothed hull (a circle for fewer than three corners) grown about the mean of the stops by the first factor that leaves all of them well inside.
 _AREA = _HULL + _cut("hull", "one") + _cut("one", "two") + _cut("two", "three") + f""", mid AS (SELECT request_id, day, avg(lat) AS mlat, avg(lng) AS mlng, cos(radians(avg(lat))) * {KM_A_DEGREE} AS km_lng FROM cand_fx GROUP BY ALL),
 corners AS (SELECT request_id, day, count(*) AS h FROM hull GROUP BY ALL),
@@ -380,7 +380,7 @@ fits AS (SELECT request_id, day, f FROM held GROUP BY ALL HAVING bool_and(inside
 grows AS (SELECT mid.request_id, mid.day, coalesce(min(f), {len(geometry.FACTORS) - 1}) AS f FROM mid LEFT JOIN fits ON mid.request_id = fits.request_id AND mid.day = fits.day GROUP BY ALL),
 area AS (SELECT g.* FROM grown g JOIN grows USING (request_id, day, f))"""
 
-_SHAPE_SQL = {"hull": oracle(_HULL + _RING.format("hull"), "cand_fx"), "smooth": oracle(_HULL + _cut("hull", "one") + _cut("one", "two") + _cut("two", "three") + _RING.format("three"), "cand_fx"), "area": oracle(_AREA + _RING.format("area"), "cand_fx")}
+_SHAPE_SQL = {"hull": oracle(_HULL + _RING_SQL.format("hull"), "cand_fx"), "smooth": oracle(_HULL + _cut("hull", "one") + _cut("one", "two") + _cut("two", "three") + _RING_SQL.format("three"), "cand_fx"), "area": oracle(_AREA + _RING_SQL.format("area"), "cand_fx")}
 
 for _name, _shape in (("convex_hull", "hull"), ("chaikin", "smooth"), ("fit_area", "area")):
     query(_SHAPE_SQL[_shape], name=_name)(_shapes(_shape))
