@@ -1,14 +1,15 @@
 """Filter interaction audit: what each of several filters removes in every order they could be applied in.
 
-One pass over the texts turns every document into a mask of the filters it fails. Four conditions
-need the text alone; the fifth, being identical to the text of any smaller doc_id, is settled by
-fingerprints: a map task chains the texts of one xxhash64 value in its rows, keeps of each text the
-rows of the smallest id, and settles all others at once (a smaller id has been seen). Only those
-rows travel, with their full text, to the partition that owns the fingerprint. It reads them in the
-order of fingerprints, chains the different texts of one value, compares them whole, and emits the
-rows that aren't of the smallest id. A group of copies of any size thus sends at most the rows of its
-smallest id from each map task (more if a task has to let go of its chains, at CHAIN_CHARS characters),
-and the owner holds one chain at a time: Spark's external sort spills the rest.
+One pass over the texts turns every document into a mask of the filters it fails and a fingerprint,
+the xxhash64 of its text. Four conditions need the text alone; the fifth, being identical to the
+text of any smaller doc_id, is settled among the documents whose fingerprint occurs more than once:
+only their texts travel. A map task chains the texts of one fingerprint, keeps of each the smallest
+id it has seen, and emits all others at once. What it keeps goes, with the full text, to the
+partition that owns the fingerprint, which reads its entries in the order of fingerprints, chains
+the different texts of one value, compares them whole and emits the ids that aren't the smallest. A
+group of copies of any size thus sends one text from each map task (more if a task has to let go of
+its chains, at CHAIN_CHARS characters), and the owner holds one chain at a time: Spark's external
+sort spills the rest.
 
 Masks, with the labels joined by doc_id, are counted per part by combineByKey into vectors of
 3 x 32 numbers (all, good and toxic documents of each mask), from which every order's steps follow
@@ -16,7 +17,7 @@ without looking at a document again.
 
 Defined cases: a null text counts as empty, and empty texts are equal; a null lang is the part of
 the empty string; a null doc_id is larger than any other, and has no labels; rows repeated under one
-doc_id count as often as they stand there and don't make each other copies; a document is good
+doc_id count as often as they stand there and don't make each other copies (their verdicts are told apart by fingerprint); a document is good
 (toxic) if any row of its labels says so; other columns are ignored; an empty table gives no rows.
 """
 
@@ -27,12 +28,12 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import groupby, permutations
 
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from placeloom.llm.common import documents
+from placeloom.llm.common import counted_broadcast, documents, scratch
 
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 200, 50, 3
@@ -52,59 +53,42 @@ def text_mask(text: str) -> int:
     return (n < MIN_WORDS) | (100 * len(set(words)) < MIN_DISTINCT * n) << 1 | (100 * sum(map(len, CAPITALS(text))) > MAX_CAPITALS * len(text)) << 2 | (SYMBOLS(text) is not None) << 3
 
 
-def fingerprint(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode())
-
-
 def smaller(a: object, b: object) -> bool:
     """Whether id ``a`` comes before id ``b``; a null one comes last."""
     return a is not None and (b is None or a < b)
 
 
 class Chains:
-    """Texts by fingerprint: of each, its mask, the smallest id and that id's rows (how many of each part).
-
-    ``add`` returns the rows (doc_id, part, mask, how many) that turn out to be copies.
-    """
+    """The different texts of each fingerprint with the smallest id of each. ``add`` returns the id that turns out to be of a copy."""
 
     def __init__(self) -> None:
-        self.of: defaultdict[int, dict[str, list]] = defaultdict(dict)  # a chain is searched by whole texts
+        self.of: defaultdict[int, dict[str, object]] = defaultdict(dict)  # a chain is searched by whole texts
         self.chars = 0
 
-    def add(self, key: int, text: str, mask: int, doc_id: object, rows: dict[str, int]) -> list[tuple]:
+    def add(self, key: int, text: str, doc_id: object) -> list:
         chain = self.of[key]
-        held = chain.get(text)
-        if held is None:
-            chain[text] = [mask, doc_id, rows]
+        if text not in chain:
+            chain[text] = doc_id
             self.chars += len(text)
             return []
-        if held[1] == doc_id:
-            for part, n in rows.items():
-                held[2][part] = held[2].get(part, 0) + n
+        if chain[text] == doc_id:
             return []
-        if smaller(doc_id, held[1]):
-            held[1:], doc_id, rows = [doc_id, rows], *held[1:]
-        return [(doc_id, part, mask | COPY, n) for part, n in rows.items()]
+        if smaller(doc_id, chain[text]):
+            chain[text], doc_id = doc_id, chain[text]
+        return [doc_id]
 
     def entries(self) -> Iterator[tuple]:
         for key, chain in self.of.items():
-            for text, held in chain.items():
-                yield key, (text, *held)
-
-    def smallest(self) -> Iterator[tuple]:
-        """The rows of the smallest ids, which are no copies."""
-        for _, (_, mask, doc_id, rows) in self.entries():
-            yield from ((doc_id, part, mask, n) for part, n in rows.items())
+            yield from ((key, x) for x in chain.items())
 
 
 def _send(rows: Iterable) -> Iterator[tuple]:
-    """Of (doc_id, lang, text): settled rows dealt out evenly, and the chains' entries under the fingerprint of their text."""
+    """Of (h, text, doc_id): the chains' entries (h, (text, doc_id)) and, without a text, the ids of copies; these are dealt out evenly."""
     chains, settled = Chains(), 0
-    for doc_id, lang, text in rows:
-        text = text or ""
-        for row in chains.add(fingerprint(text), text, text_mask(text), doc_id, {lang or "": 1}):
+    for key, text, doc_id in rows:
+        for copy in chains.add(key, text, doc_id):
             settled += 1
-            yield fingerprint(f"{row[0]}:{settled}"), (None, row)
+            yield hash((copy, settled)), (None, (copy, key))
         if chains.chars > CHAIN_CHARS:
             yield from chains.entries()
             chains = Chains()
@@ -112,26 +96,41 @@ def _send(rows: Iterable) -> Iterator[tuple]:
 
 
 def _own(entries: Iterable) -> Iterator[tuple]:
-    """(doc_id, part, mask, n) of all rows of a partition whose entries come in the order of fingerprints."""
+    """(doc_id, h) of the copies of a partition whose entries come in the order of fingerprints."""
     for key, group in groupby(entries, lambda e: e[0]):
         chains = Chains()
-        for _, (text, *rest) in group:
+        for _, (text, x) in group:
             if text is None:
-                yield rest[0]
+                yield x
             else:
-                yield from chains.add(key, text, *rest)
-        yield from chains.smallest()
+                yield from ((copy, key) for copy in chains.add(key, text, x))
 
 
-def masks(docs: DataFrame) -> DataFrame:
-    """doc_id, part, mask and n, the number of rows of ``docs`` that are so."""
-    rows = docs.select("doc_id", "lang", "text").rdd
+def copies(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """doc_id, h of the rows of ``docs`` (doc_id, text, h) whose text a smaller id has; ``repeated`` has the fingerprints to look at."""
+    rows = docs.join(counted_broadcast(repeated), "h", "left_semi").select("h", "text", "doc_id").rdd
     partitions = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     owned = rows.mapPartitions(_send).repartitionAndSortWithinPartitions(partitions, lambda key: key % partitions).mapPartitions(_own)
-    kinds = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("part", StringType()), StructField("mask", IntegerType()), StructField("n", LongType())])
+    kinds = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("h", LongType())])
     return docs.sparkSession.createDataFrame(owned, kinds, verifySchema=False)
 
 
+def masks(docs: DataFrame) -> DataFrame:
+    """doc_id, part, mask of every row of ``docs``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("part"), text.alias("text"), F.xxhash64(text).alias("h"))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["part"], b["h"], pa.array([text_mask(x.as_py()) for x in b["text"]], pa.int32())], ["doc_id", "part", "h", "mask"])
+
+    alone = scratch(docs.mapInArrow(judged, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part string, h long, mask int"), "masks")
+    repeated = scratch(alone.groupBy("h").count().filter("count > 1").select("h"), "repeated")
+    again = copies(docs.select("doc_id", "text", "h"), repeated).distinct().select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    mask = F.when(F.col("_h").isNull(), F.col("mask")).otherwise(F.col("mask").bitwiseOR(F.lit(COPY)))
+    return alone.join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select("doc_id", "part", mask.alias("mask"))
+
+
 def _count(vector: list[int], seen: tuple[int, int, int, int]) -> list[int]:
     mask, good, toxic, n = seen
     vector[mask] += n
@@ -143,7 +142,7 @@ def _count(vector: list[int], seen: tuple[int, int, int, int]) -> list[int]:
 def mask_counts(masked: DataFrame, labels: DataFrame):
     """An RDD of (part, vector): for all, the good and the toxic documents, the number of each mask."""
     label = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    known = masked.join(label, "doc_id", "left").groupBy("part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")).agg(F.sum("n"))
+    known = masked.join(label, "doc_id", "left").groupBy("part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic")).count()
     pairs = known.rdd.map(lambda r: (r[0], tuple(r[1:])))
     return pairs.combineByKey(lambda seen: _count([0] * 3 * MASKS, seen), _count, lambda a, b: [x + y for x, y in zip(a, b)])
 

@@ -67,14 +67,21 @@ def test_audit_equals_plain(spark, monkeypatch, chars):
     assert len(out) == 600 * 3
 
 
-def test_audit_chains_collisions(spark, monkeypatch):
-    """Different texts of one fingerprint are told apart; of a hot text few entries travel."""
-    entries = list(filter_audit._send([(i, "en", "same") for i in range(1000, 0, -1)] + [(5, "fr", "same"), (1, "fr", "same")]))
-    assert [x[1:] for k, x in entries if x[0] is not None] == [(filter_audit.text_mask("same"), 1, {"en": 1, "fr": 1})] and len(entries) == 1001
-    monkeypatch.setattr(filter_audit, "fingerprint", lambda text: 7)
-    rows = [(i, "en", t) for i, t in enumerate(["a", "b", "a", "c", "b", "a"])]
-    done = list(filter_audit._own(sorted(filter_audit._send(rows), key=lambda e: e[0])))
-    assert sorted(d for d, _, mask, _ in done if mask & filter_audit.COPY) == [2, 4, 5] and len(done) == 6
+def test_audit_chains_collisions(spark):
+    """Different texts of one fingerprint are told apart; of a hot text one entry travels from a map task."""
+    entries = list(filter_audit._send([(9, "same", i) for i in (*range(1000, 0, -1), 5, 1)]))
+    assert [x for x in entries if x[1][0] is not None] == [(9, ("same", 1))] and len(entries) == 1001
+    rows = [(7, t, i) for i, t in enumerate(["a", "b", "a", "c", "b", "a"])] + [(7, "a", 0), (7, "c", None)]
+    for cut in range(len(rows) + 1):  # in two map tasks
+        sent = [*filter_audit._send(rows[:cut]), *filter_audit._send(rows[cut:])]
+        assert sorted(filter_audit._own(sorted(sent, key=lambda e: e[0])), key=str) == [(2, 7), (4, 7), (5, 7), (None, 7)]
+
+
+def test_audit_with_one_fingerprint_for_all(spark, monkeypatch):
+    monkeypatch.setattr(filter_audit.F, "xxhash64", lambda text: filter_audit.F.length(text) * 0 + filter_audit.F.lit(-3).cast("long"))
+    rows = [(i, lang, t) for i, (_, lang, t) in enumerate(audit_rows(2, 60))]
+    out = filter_audit.audit(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    assert {(x.part, x.filter_order, x.step): list(x[3:]) for x in out} == plain_audit(rows, [])
 
 
 def test_audit_of_nothing(spark):
