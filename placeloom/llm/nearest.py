@@ -12,8 +12,9 @@ these hold ``budget`` vectors. The leaves' members are then scored exactly, in d
 The budget isn't fixed: it is measured, as the smallest one at which at least RECALL of the true
 neighbours of a sample of queries (QUERY_SAMPLE, found by brute force) are reached.
 
-Work is dealt out by leaf. Members of a leaf are cut into chunks of at most about CHUNK_ROWS, its
-queries likewise, and a task sees one chunk of each. Only thresholds, directions and leaf sizes are sent to all
+Work is dealt out by buckets of neighbouring leaves with CHUNK_ROWS members together; a leaf that
+has more alone is cut into chunks, and so are the queries of a bucket. A task sees one chunk of each and returns
+the best of a query's leaves in it. Only thresholds, directions and leaf sizes are sent to all
 tasks: 2^MAX_DEPTH numbers a tree at most. Of vectors that are equal, one is indexed, with its
 smallest k + 1 ids; of queries whose vectors are equal, one is searched. A floor for each query's
 scores, from those of the sample that lie in its leaves, keeps leaves from sending what can't be among the nearest found.
@@ -41,10 +42,10 @@ from pyspark.sql import functions as F
 from placeloom.llm.common import save, scratch
 
 K, QUERIES_BY, SEED, TREES = 20, 20, 12, 8
-#: Distinct vectors of a leaf, levels of a tree, rows of a leaf's chunk and queries of a leaf's chunk.
+#: Distinct vectors of a leaf, levels of a tree, members and queries that a task scores against each other.
 LEAF_ROWS, MAX_DEPTH, CHUNK_ROWS, CHUNK_QUERIES = 256, 12, 20_000, 20_000
 #: Bytes of vectors that thresholds are fitted on, and rows of these from which floors are taken.
-FIT_BYTES, FLOOR_ROWS = 32_000_000, 4096
+FIT_BYTES, FLOOR_ROWS = 32_000_000, 8192
 #: Queries whose true neighbours are looked for, and the share of these that the budget has to reach.
 QUERY_SAMPLE, RECALL = 256, 0.95
 
@@ -136,14 +137,46 @@ def scores_of(query: np.ndarray, members: np.ndarray) -> np.ndarray:
     return (members * query).sum(axis=1)
 
 
-def _best(query: np.ndarray, members: np.ndarray, reps: np.ndarray, rough: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """reps and scores of the k best members by score, then rep; rough: scores that are right but for rounding."""
-    slack = 1e-9 * (1 + np.abs(rough).max(initial=0.0))
-    least = np.partition(rough, len(rough) - k)[len(rough) - k] if len(rough) > k else -np.inf
-    some = np.flatnonzero(rough >= max(least, floor) - slack)
-    exact = scores_of(query, members[some])
-    some = some[order := np.lexsort((reps[some], -exact))[:k]]
-    return reps[some], exact[order]
+def _pairs(queries: pa.Table, vectors: np.ndarray, reps: np.ndarray, leaf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, rep, score of each query's k best in its leaves, by score, then rep; ``leaf``, of the members, is sorted.
+
+    A first pass by matrix products leaves out what can't be among the k best of a leaf or is below the floor.
+    """
+    asked, ids, floors = _matrix(queries["vector"]), np.asarray(queries["rep"]), np.asarray(queries["floor"])
+    lists = queries["leaves"].combine_chunks()
+    who, where = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())
+    order = np.argsort(where, kind="stable")
+    some_q, some_m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+        first, last = np.searchsorted(leaf, where[part[0]] + np.arange(2)) if len(part) else (0, 0)
+        if first == last:
+            continue
+        rough = asked[who[part]] @ vectors[first:last].T
+        least = floors[who[part]]
+        if last - first > k:
+            least = np.maximum(least, np.partition(rough, last - first - k, axis=1)[:, last - first - k])
+        q, m = np.nonzero(rough >= (least - 1e-9 * (1 + np.abs(rough).max(axis=1)))[:, None])
+        some_q.append(who[part][q])
+        some_m.append(m + first)
+    q, m = np.concatenate(some_q), np.concatenate(some_m)
+    scores = scores_of(asked[q], vectors[m])
+    order = np.lexsort((reps[m], -scores, q))
+    q, m, scores = q[order], m[order], scores[order]
+    starts = np.searchsorted(q, q)
+    best = np.arange(len(q)) - starts < k
+    return ids[q[best]], reps[m[best]], scores[best]
+
+
+def _buckets(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each leaf (neighbours in a tree, CHUNK_ROWS members together), and of each bucket into how many chunks it is cut: more than one only if a leaf alone has more."""
+    of, held = [], [0]
+    for tree in sizes.tolist():
+        for i, n in enumerate(tree):
+            if of and (i == 0 or held[-1] + n > CHUNK_ROWS):
+                held.append(0)
+            held[-1] += n
+            of.append(len(held) - 1)
+    return np.array(of), np.maximum(1, -(-np.array(held) // CHUNK_ROWS))
 
 
 def distinct_vectors(vectors: DataFrame, k: int = K) -> DataFrame:
@@ -160,19 +193,16 @@ def _sample(reps: DataFrame, rows: int, total: int) -> DataFrame:
 
 def true_neighbours(reps: DataFrame, queries: pa.Table, k: int) -> DataFrame:
     """query, rep, vector: the k distinct vectors nearest to each of a few queries (rep, vector), by brute force over all rows."""
-    asked, ids = _matrix(queries["vector"]), np.asarray(queries["rep"])
+    every = queries.append_column("leaves", pa.array([[0]] * len(queries), pa.list_(pa.int32()))).append_column("floor", pa.array(np.full(len(queries), -np.inf)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, vectors = np.asarray(b["rep"]), _matrix(b["vector"])
-            if not len(own):
-                continue
-            rough = asked @ vectors.T
-            best = [_best(q, vectors, own, rough[i], k, -np.inf) for i, q in enumerate(asked)]
-            found = np.concatenate([r for r, _ in best])
-            at = np.argsort(own)
-            rows = at[np.searchsorted(own, found, sorter=at)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(r) for r, _ in best])), pa.array(found), pa.array(np.concatenate([s for _, s in best])), b["vector"].take(pa.array(rows))], ["query", "rep", "score", "vector"])
+            if b.num_rows:
+                own = np.asarray(b["rep"])
+                ids, found, scores = _pairs(every, _matrix(b["vector"]), own, np.zeros(len(own), np.int64), k)
+                at = np.argsort(own)
+                rows = at[np.searchsorted(own, found, sorter=at)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found), pa.array(scores), b["vector"].take(pa.array(rows))], ["query", "rep", "score", "vector"])
 
     kind = reps.schema["vector"].dataType.simpleString()
     found = reps.select("rep", "vector").mapInArrow(work, f"query long, rep long, score double, vector {kind}")
@@ -235,40 +265,41 @@ def _of_one_length(reps: DataFrame, queries: DataFrame, k: int, recall: float) -
         scores = scores[reached[floor_leaves].any(axis=1)]
         return float(np.partition(scores, len(scores) - near)[len(scores) - near]) if len(scores) >= near else -np.inf
 
+    buckets, chunks_of = _buckets(sizes)
+
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows = []
             if b.num_rows:
                 vectors = _matrix(b["vector"])
-                hits = [[t * shape[1] + n for t, n in forest.search(s, sizes, budget)] for s in forest.shadows(vectors)]
-                floors = [floor(row, h) for row, h in zip(vectors @ floor_rows.T, hits)]
-                yield pa.RecordBatch.from_arrays([b["rep"], pa.array(hits, pa.list_(pa.int32())), pa.array(floors, pa.float64())], ["rep", "leaves", "floor"])
-
-    hits = save(queries.select("rep", "vector").repartition("rep").mapInArrow(searched, "rep long, leaves array<int>, floor double"), "hits")
-    asked = hits.df.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("_q"))
-    chunks = scratch(members.df.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("_m")).join(asked, "leaf"), "chunks")
-    chunks = F.broadcast(chunks)  # at most TREES * 2^MAX_DEPTH rows
+                for rep, row, scores in zip(b["rep"].to_pylist(), forest.shadows(vectors), vectors @ floor_rows.T):
+                    hits = np.sort([t * shape[1] + n for t, n in forest.search(row, sizes, budget)])
+                    cuts = np.flatnonzero(np.diff(buckets[hits])) + 1
+                    rows += [(rep, int(buckets[part[0]]), part, floor(scores, hits)) for part in np.split(hits, cuts)]
+            columns = zip(*rows) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64()))], ["rep", "bucket", "leaves", "floor"])
+
+    hits = save(queries.select("rep", "vector").repartition("rep").mapInArrow(searched, "rep long, bucket int, leaves array<int>, floor double"), "hits")
+    asked = hits.df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("_q"))
+    known = spark.createDataFrame([(i, int(x), int(chunks_of[x])) for i, x in enumerate(buckets)], "leaf int, bucket int, _m int")
+    dealt = F.broadcast(scratch(known.join(asked, "bucket"), "buckets"))  # at most TREES * 2^MAX_DEPTH rows
     spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = members.df.join(reps.select("rep", "vector"), "rep").select("rep", "vector", F.explode("leaves").alias("leaf")).join(chunks, "leaf")
-    left = left.select("leaf", spread(F.col("_m")).alias("m"), every(F.col("_q")).alias("q"), "rep", "vector")
-    right = hits.df.join(queries.select("rep", "vector"), "rep").select("rep", "vector", "floor", F.explode("leaves").alias("leaf")).join(chunks, "leaf")
-    right = right.select("leaf", every(F.col("_m")).alias("m"), spread(F.col("_q")).alias("q"), "rep", "vector", "floor")
+    left = members.df.join(reps.select("rep", "vector"), "rep").select("rep", "vector", F.explode("leaves").alias("leaf")).join(dealt, "leaf")
+    left = left.select("bucket", spread(F.col("_m")).alias("m"), every(F.col("_q")).alias("q"), "leaf", "rep", "vector")
+    right = hits.df.join(queries.select("rep", "vector"), "rep").join(F.broadcast(dealt.select("bucket", "_m", "_q").distinct()), "bucket")
+    right = right.select("bucket", every(F.col("_m")).alias("m"), spread(F.col("_q")).alias("q"), "leaves", "rep", "vector", "floor")
 
     def scored(members: pa.Table, queries: pa.Table) -> pa.Table:
-        found = ([], [], [])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(members) and len(queries):
-            vectors, own = _matrix(members["vector"]), np.asarray(members["rep"])
+            members = members.sort_by("leaf")
+            vectors, own, leaf = _matrix(members["vector"]), np.asarray(members["rep"]), np.asarray(members["leaf"])
             for start in range(0, len(queries), 256):
-                part = queries.slice(start, 256)
-                asked = _matrix(part["vector"])
-                for q, i, rough, floor in zip(asked, np.asarray(part["rep"]), asked @ vectors.T, np.asarray(part["floor"])):
-                    if rough.max() >= floor - 1e-6 * (1 + abs(floor)):
-                        reps_, scores = _best(q, vectors, own, rough, near, floor)
-                        for values, x in zip(found, (np.full(len(reps_), i), reps_, scores)):
-                            values.append(x)
-        return pa.table([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.float64()))], ["query", "rep", "score"])
-
-    keys = ("leaf", "m", "q")
+                found.append(_pairs(queries.slice(start, 256), vectors, own, leaf, near))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*found)], ["query", "rep", "score"])
+
+    keys = ("bucket", "m", "q")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scored, "query long, rep long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     found = found.groupBy("query", "rep").agg(F.max("score").alias("score")).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= near)
