@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placeloom.config import BM25_B, BM25_EPSILON, BM25_K1, TEXT_TEMPLATE
 from placeloom.functions.text import alias_text, build_text, clean_type, display_name, parse_level, parse_location, tokens
+from placeloom.operators.segment import dictionary, segment
 
 
 def build_documents(merged: DataFrame, template: str = TEXT_TEMPLATE) -> DataFrame:
@@ -25,6 +26,13 @@ def build_documents(merged: DataFrame, template: str = TEXT_TEMPLATE) -> DataFra
     return out.withColumns({c: filled(c) for c in ("tags", "behaviors", "aliases")})
 
 
+def terms_of(texts: DataFrame, text: str, bigrams: bool, lexicon: DataFrame | None, *keys: str) -> DataFrame:
+    """keys, term: a row per term of each text; by the words of a dictionary (word, freq) if there is one."""
+    if lexicon is None:
+        return texts.select(*keys, F.explode(tokens(F.col(text), bigrams)).alias("term"))
+    return segment(texts, dictionary(lexicon), text, *keys).select(*keys, F.col("word").alias("term"))
+
+
 @dataclass
 class Bm25Index:
     """postings (term, id, tf), lengths (id, dl), terms (term, df, idf), one row of sums (n, avgdl, bigrams), and how texts were cut into terms."""
@@ -34,6 +42,7 @@ class Bm25Index:
     terms: DataFrame
     sums: DataFrame
     bigrams: bool = False
+    lexicon: DataFrame | None = None
 
     def write(self, path: str) -> None:
         """Postings and terms are written in the order of terms, so files and row groups cover ranges of them."""
@@ -42,42 +51,46 @@ class Bm25Index:
             if name in ("postings", "terms"):
                 table = table.repartitionByRange("term").sortWithinPartitions("term")
             table.write.mode("overwrite").parquet(f"{path}/{name}")
+        if self.lexicon is not None:
+            self.lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
 
     @staticmethod
     def read(spark, path: str) -> "Bm25Index":
         """The index as written, with the choice of terms it was made with."""
         postings, lengths, terms, sums = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms", "sums"))
-        return Bm25Index(postings, lengths, terms, sums, sums.first()["bigrams"])
+        how = sums.first()
+        return Bm25Index(postings, lengths, terms, sums, how["bigrams"], spark.read.parquet(f"{path}/lexicon") if how["words"] else None)
 
 
 #: Asked (query, term) pairs that are broadcast to the postings once they have been counted; some 5 MB.
 ASKED_ROWS = 100_000
 
 
-def _of_postings(postings: DataFrame, docs: DataFrame, bigrams: bool, epsilon: float) -> Bm25Index:
+def _of_postings(postings: DataFrame, docs: DataFrame, bigrams: bool, epsilon: float, lexicon: DataFrame | None) -> Bm25Index:
     """All else is summed from the postings, so Spark can use their one exchange again; texts without tokens have no length."""
     lengths = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
     sums = docs.agg(F.count(F.lit(1)).alias("n")).join(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))
-    sums = sums.select("n", F.try_divide(F.col("total").cast("double"), F.col("n")).alias("avgdl"), F.lit(bigrams).alias("bigrams"))
+    sums = sums.select("n", F.try_divide(F.col("total").cast("double"), F.col("n")).alias("avgdl"), F.lit(bigrams).alias("bigrams"), F.lit(lexicon is not None).alias("words"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     plain = df.join(F.broadcast(sums)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = F.broadcast(plain.agg(F.avg("raw").alias("mean")))
     terms = plain.join(mean).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, lengths, terms, sums, bigrams)
+    return Bm25Index(postings, lengths, terms, sums, bigrams, lexicon)
 
 
-def bm25_index(docs: DataFrame, text: str = "text", bigrams: bool = False, epsilon: float = BM25_EPSILON) -> Bm25Index:
-    """The index of ``docs`` (id, text). A negative idf becomes epsilon times the mean of all idfs."""
-    listed = docs.select("id", tokens(F.col(text), bigrams).alias("_tokens"))
-    postings = listed.select("id", F.explode("_tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    return _of_postings(postings, docs, bigrams, epsilon)
+def bm25_index(docs: DataFrame, text: str = "text", bigrams: bool = False, epsilon: float = BM25_EPSILON, lexicon: DataFrame | None = None) -> Bm25Index:
+    """The index of ``docs`` (id, text). A negative idf becomes epsilon times the mean of all idfs. With a ``lexicon`` (word, freq) texts are cut into its words."""
+    postings = terms_of(docs, text, bigrams, lexicon, "id").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    return _of_postings(postings, docs, bigrams, epsilon, lexicon)
 
 
-def write_bm25_index(docs: DataFrame, path: str, text: str = "text", bigrams: bool = False, epsilon: float = BM25_EPSILON) -> Bm25Index:
+def write_bm25_index(docs: DataFrame, path: str, text: str = "text", bigrams: bool = False, epsilon: float = BM25_EPSILON, lexicon: DataFrame | None = None) -> Bm25Index:
     """Write the index of ``docs`` and read it back. Texts are cut into terms once: the other tables are made from the postings as written."""
-    postings = bm25_index(docs, text, bigrams).postings
+    if lexicon is not None:
+        lexicon.write.mode("overwrite").parquet(f"{path}/lexicon")
+    postings = bm25_index(docs, text, bigrams, lexicon=lexicon).postings
     postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    made = _of_postings(docs.sparkSession.read.parquet(f"{path}/postings"), docs, bigrams, epsilon)
+    made = _of_postings(docs.sparkSession.read.parquet(f"{path}/postings"), docs, bigrams, epsilon, lexicon)
     made.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     made.sums.write.mode("overwrite").parquet(f"{path}/sums")
     made.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
@@ -93,7 +106,7 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = BM25_K1, b: fl
     documents. There they meet the queries and are summed, in place.
     """
     city = [] if docs is None else ["city"]
-    asked = queries.select("query_id", *city, F.explode(tokens(F.col("query"), index.bigrams)).alias("term")).groupBy("query_id", *city, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = terms_of(queries, "query", index.bigrams, index.lexicon, "query_id", *city).groupBy("query_id", *city, "term").agg(F.count(F.lit(1)).alias("qtf"))
     few = (lambda df: F.broadcast(df)) if asked.count() <= ASKED_ROWS else (lambda df: df)
     asked = asked.join(index.terms, "term").select("query_id", *city, "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     lengths = index.lengths if docs is None else index.lengths.join(docs.select("id", "city"), "id")

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placeloom.functions import text as T
-from placeloom.operators import index, retrieve
+from placeloom.operators import impact, index, retrieve, segment
 from placeloom.plans import build_queries as build
 from placeloom.plans.fixtures import oracle, table, view
 from placeloom.plans.registry import registry
+from placeloom.session import new_folder
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -97,6 +98,82 @@ def bm25_ideographs(spark, sf_dir):
     return index.bm25_scores(made, names.filter("id % 50 = 0").selectExpr("id AS query_id", "substr(text, 2, 4) AS query"))
 
 
+#: Indexes that this application has written, by what the files of their table were.
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _blocks(spark, sf_dir):
+    """The index in blocks over all documents, written on first use into the shared folder and anew whenever the table's files differ."""
+    files = corpus(spark, sf_dir).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    key = (spark.sparkContext.applicationId, *sorted(map(tuple, files.collect())))  # a row per file of the table
+    if key not in _WRITTEN:
+        at = f"{new_folder(spark)}/bm25"
+        impact.add_documents(corpus(spark, sf_dir), at, group="city")
+        _WRITTEN[key] = at
+    return impact.read(spark, _WRITTEN[key])
+
+
+# Words of ideographs: two words of parts are unknown; pieces across the border of a name's two words are listed, too.
+_HAN = f"translate({{}}, '{_LETTERS}', '{_IDEOGRAPHS}')"
+_LEXICON = f"""SELECT word, cast(sum(n) AS bigint) AS freq FROM (SELECT {_HAN.format('w')} AS word, 5 * count(*) AS n FROM (SELECT split_part(p_name, ' ', 1) AS w FROM part UNION ALL SELECT split_part(p_name, ' ', 2) FROM part) a WHERE w NOT IN ('gizmo', 'anvil', '') GROUP BY w
+  UNION ALL SELECT {_HAN.format("substr(replace(p_name, ' ', ''), 3, 3)")}, count(*) FROM part GROUP BY substr(replace(p_name, ' ', ''), 3, 3)
+  UNION ALL SELECT {_HAN.format("substr(p_name, 1, 1)")}, count(*) FROM part GROUP BY substr(p_name, 1, 1)) b GROUP BY word"""
+
+
+def lexicon(spark, sf_dir):
+    return spark.sql(_LEXICON.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+
+
+def _whole(p: str) -> str:
+    """A weight in whole millionths of a logarithm."""
+    return f"round(ln({p}) * 1000000)::BIGINT"
+
+
+# All ways to cut a run into listed words and single characters, and all ways to cut what is left of it into words of any length.
+_CUT = rf""", lex AS (SELECT word, sum(freq)::DOUBLE AS freq, length(word) AS n FROM ({_LEXICON}) GROUP BY word),
+tot AS (SELECT sum(freq) AS t, coalesce(sum(freq) FILTER (n = 1), 0) AS ones, coalesce(sum(freq * (n - 3)) FILTER (n > 2), 0) AS inn, coalesce(sum(freq) FILTER (n > 2), 0) AS lng FROM lex),
+run AS (SELECT DISTINCT r.piece, r.run, length(r.run) AS m, r.id FROM (SELECT id, unnest(regexp_extract_all(lower(text), '\p{{Han}}+|[a-z0-9]+')) AS run, generate_subscripts(regexp_extract_all(lower(text), '\p{{Han}}+|[a-z0-9]+'), 1) - 1 AS piece FROM doc_fx) r),
+han AS MATERIALIZED (SELECT DISTINCT run, m FROM run WHERE regexp_full_match(run, '\p{{Han}}+')),
+edge AS MATERIALIZED (SELECT run, a.p, k.k, {_whole("coalesce(freq, 1) / t")} AS w FROM han, range(0, 40) a(p), range(1, 13) k(k), tot LEFT JOIN lex ON lex.word = substr(run, (a.p + 1)::INT, k.k::INT) WHERE a.p + k.k <= m AND (k.k = 1 OR freq IS NOT NULL)),
+way AS (SELECT run, 0::BIGINT AS p, 0::BIGINT AS w, []::BIGINT[] AS cut FROM han UNION ALL SELECT way.run, way.p + k, way.w + edge.w, list_append(cut, k) FROM way JOIN edge ON way.run = edge.run AND way.p = edge.p),
+best AS (SELECT run, cut FROM (SELECT way.run, cut, row_number() OVER (PARTITION BY way.run ORDER BY w DESC, cut DESC) AS i FROM way JOIN han ON way.run = han.run AND p = m) WHERE i = 1),
+wd AS (SELECT run, i, cut[i] AS n, list_sum(cut[1:i]) - cut[i] AS start FROM best, range(1, 40) r(i) WHERE i <= len(cut)),
+one AS (SELECT run, min(start) AS start, count(*) AS n FROM (SELECT *, start - row_number() OVER (PARTITION BY run ORDER BY start) AS g FROM wd WHERE n = 1) GROUP BY run, g),
+unk AS (SELECT *, substr(run, (start + 1)::INT, n::INT) AS piece FROM one WHERE n > 1),
+ch AS (SELECT c, s, sum(freq) AS f FROM (SELECT substr(word, (i + 1)::INT, 1) AS c, CASE WHEN n = 1 THEN 3 WHEN i = 0 THEN 0 WHEN i = n - 1 THEN 2 ELSE 1 END AS s, freq FROM lex, range(0, 12) r(i) WHERE i < n) GROUP BY ALL),
+kinds AS (SELECT count(DISTINCT c) AS v FROM ch), held AS (SELECT s.s, coalesce(sum(f), 0) AS f FROM range(0, 4) s(s) LEFT JOIN ch ON ch.s = s.s GROUP BY s.s),
+pc AS (SELECT DISTINCT piece, length(piece) AS m FROM unk), spot AS (SELECT DISTINCT piece, i, substr(piece, (i + 1)::INT, 1) AS c FROM pc, range(0, 40) r(i) WHERE i < m),
+emit AS MATERIALIZED (SELECT piece, i, held.s, {_whole("(coalesce(ch.f, 0) + 0.5::DOUBLE) / (held.f + 0.5::DOUBLE * (v + 1))")} AS w FROM spot CROSS JOIN held CROSS JOIN kinds LEFT JOIN ch ON ch.c = spot.c AND ch.s = held.s),
+odds AS (SELECT (ones + 0.5::DOUBLE) / (t + 1) AS o, (lng + 0.5::DOUBLE) / (t - ones + 1) AS h, (inn + 0.5::DOUBLE) / (inn + lng + 1) AS q FROM tot),
+word AS MATERIALIZED (SELECT pc.piece, a.i AS p, k.k, CASE WHEN k.k = 1 THEN {_whole("o")} + e3.w ELSE {_whole("1 - o")} + e0.w + e2.w + CASE WHEN k.k = 2 THEN {_whole("1 - h")} ELSE {_whole("h")} + {_whole("q")} * (k.k - 3) + {_whole("1 - q")} END
+    + coalesce((SELECT sum(e1.w) FROM emit e1 WHERE e1.piece = pc.piece AND e1.s = 1 AND e1.i > a.i AND e1.i < a.i + k.k - 1), 0) END AS w
+  FROM pc, range(0, 40) a(i), range(1, 40) k(k), odds, emit e0, emit e2, emit e3 WHERE a.i + k.k <= m AND e0.piece = pc.piece AND e0.s = 0 AND e0.i = a.i AND e2.piece = pc.piece AND e2.s = 2 AND e2.i = a.i + k.k - 1 AND e3.piece = pc.piece AND e3.s = 3 AND e3.i = a.i),
+hid AS (SELECT piece, 0::BIGINT AS p, 0::HUGEINT AS w, []::BIGINT[] AS cut FROM pc UNION ALL SELECT hid.piece, hid.p + k, hid.w + word.w, list_append(cut, k) FROM hid JOIN word ON hid.piece = word.piece AND hid.p = word.p),
+seen AS (SELECT piece, cut FROM (SELECT hid.piece, cut, row_number() OVER (PARTITION BY hid.piece ORDER BY w DESC) AS i FROM hid JOIN pc ON hid.piece = pc.piece AND p = m) WHERE i = 1),
+cw AS (SELECT run, start, n FROM wd WHERE n > 1 UNION ALL SELECT run, start, n FROM one WHERE n = 1 UNION ALL SELECT run, start + list_sum(cut[1:i]) - cut[i], cut[i] FROM unk JOIN seen USING (piece), range(1, 40) r(i) WHERE i <= len(cut)),
+term AS MATERIALIZED (SELECT id, piece, start::BIGINT AS start, substr(run, (start + 1)::INT, n::INT) AS term FROM run JOIN cw USING (run) UNION ALL SELECT id, piece, 0, run FROM run WHERE run NOT IN (SELECT run FROM han))"""
+
+
+@query(f"WITH RECURSIVE doc_fx AS ({_NAMES}){_CUT} SELECT id, piece, start, term FROM term")
+def segment_words(spark, sf_dir):
+    """Names without spaces, cut into the words of a dictionary counted from the parts; two of the words aren't in it."""
+    words = segment.segment(_names(spark, sf_dir), segment.dictionary(lexicon(spark, sf_dir)), "text", "id")
+    return words.select("id", F.col("piece").cast("long"), F.col("start").cast("long"), F.col("word").alias("term"))
+
+
+@query(f"""WITH RECURSIVE doc_fx AS ({_NAMES}){_CUT}, post AS (SELECT term, id, count(*) AS tf FROM term GROUP BY ALL), dl AS (SELECT id, sum(tf) AS dl FROM post GROUP BY id), s AS (SELECT (SELECT count(*) FROM doc_fx) AS n, avg(dl) AS avgdl FROM dl),
+raw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY term), s), terms AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END AS idf FROM raw, (SELECT avg(raw) AS mean FROM raw)),
+asked AS (SELECT id AS query_id, term, count(*) AS qtf FROM term WHERE id % 50 = 0 GROUP BY ALL),
+bm AS (SELECT query_id, post.id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM asked JOIN terms USING (term) JOIN post USING (term) JOIN dl ON post.id = dl.id, s GROUP BY ALL)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm WHERE score > 0) WHERE rank <= 20""")
+def bm25_words(spark, sf_dir):
+    """The 20 best names for every 50th one, by words, from an index in blocks that keeps its dictionary and got its names in two batches."""
+    names, at = _names(spark, sf_dir), f"{new_folder(spark)}/words"
+    impact.add_documents(names.filter("id % 3 > 0"), at, lexicon=lexicon(spark, sf_dir))
+    made = impact.add_documents(names.filter("id % 3 = 0"), at)
+    return impact.top(made, names.filter("id % 50 = 0").selectExpr("id AS query_id", "text AS query"), 20).select("query_id", "id", "score", "rank")
+
+
 @query(f"{_BM25} SELECT query_id, id, score FROM bm")
 def bm25_scores(spark, sf_dir):
     made = index.bm25_index(corpus(spark, sf_dir))
@@ -109,7 +186,7 @@ _BM25_TOP = f"""{_BM25}, bt AS (SELECT query_id, id, score, row_number() OVER (P
 @query(f"{_BM25_TOP} SELECT query_id, id, score, rank FROM bt WHERE rank <= 20")
 def bm25_topk(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    top = retrieve.bm25_topk(index.bm25_index(docs), asked(spark, sf_dir), 20, docs)
+    top = retrieve.bm25_topk(_blocks(spark, sf_dir), asked(spark, sf_dir), 20, docs)
     return top.select("query_id", "id", "score", "rank")
 
 
@@ -153,7 +230,7 @@ def _placed(spark, sf_dir):
 def rrf_fuse(spark, sf_dir):
     docs, q = corpus(spark, sf_dir), asked(spark, sf_dir)
     near = retrieve.vector_topk(_placed(spark, sf_dir), q, 50, city=True)
-    fused = retrieve.rrf_fuse(near, retrieve.bm25_topk(index.bm25_index(docs), q, 20, docs))
+    fused = retrieve.rrf_fuse(near, retrieve.bm25_topk(_blocks(spark, sf_dir), q, 20, docs))
     return fused.select("query_id", "id", F.round("score", 6).alias("score"), "vector_rank", "bm25_rank", "rank")
 
 
@@ -164,7 +241,7 @@ _STRIPPED = f"{_fused(50, 20)} SELECT query_id, id, round(score, 6) AS score, ra
 @query(_STRIPPED)
 def hybrid_search(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    found = retrieve.search(asked(spark, sf_dir), 10, "hybrid", _placed(spark, sf_dir), index.bm25_index(docs), docs)
+    found = retrieve.search(asked(spark, sf_dir), 10, "hybrid", _placed(spark, sf_dir), _blocks(spark, sf_dir), docs)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -32,6 +32,13 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/placeloom-{uuid.uuid4().hex}"
 
 
+def written(df, folder: str | None = None):
+    """The rows of ``df``, written into a new folder (or ``folder``) and read back: what several plans read is computed once, and lost executors don't matter."""
+    at = folder or new_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def logger(name: str, folder: str | None = None) -> logging.Logger:
     """A logger to the console and, with ``folder``, to <folder>/<name>.log; asking again adds no handlers."""
     log = logging.getLogger(f"placeloom.{name}")
