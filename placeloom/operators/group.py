@@ -7,22 +7,19 @@ from pyspark.sql import functions as F
 
 from placeloom.config import Groups
 from placeloom.functions.text import or_empty, split_tags
-from placeloom.operators.blocks import NAME_ROWS, if_few
+from placeloom.operators import patterns
+from placeloom.operators.itinerary import contained
 
 
-def shortest_substring(names: DataFrame, column: str = "name", few: int = NAME_ROWS) -> DataFrame:
+def shortest_substring(names: DataFrame, column: str = "name", shards: int = patterns.SHARDS) -> DataFrame:
     """name, canonical: the shortest name of the table that is a substring of it (itself at least), ties by name.
 
-    Instead of comparing all pairs, every name lists its own substrings of such lengths as names
-    have and looks them up by an equi-join; that grows with the names, not with their pairs. Up to
-    ``few`` names, which are counted, go to the substrings, so that only what is found is shuffled.
+    Instead of comparing all pairs, every name is scanned once by an automaton of them all; beyond
+    ``shards`` automata names look up their own substrings by an equi-join.
     """
     vocab = names.select(F.col(column).alias("name")).filter("name <> ''").distinct()
-    lengths = F.broadcast(vocab.agg(F.collect_set(F.length("name")).alias("_lengths")))  # as many numbers as lengths exist
-    starts = F.flatten(F.transform("_lengths", lambda n: F.when(n <= F.length("name"), F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substr("name", i, n))).otherwise(F.array().cast("array<string>"))))
-    parts = vocab.join(lengths).select("name", F.explode(F.array_distinct(starts)).alias("part"))
-    hits = parts.join(if_few(vocab.select(F.col("name").alias("part")), few), "part")
-    return hits.groupBy("name").agg(F.min_by("part", F.struct(F.length("part"), F.col("part"))).alias("canonical"))
+    hits = contained(vocab.select("name", F.col("name").alias("text")).withColumnRenamed("name", "whole"), vocab, "whole", shards=shards)
+    return hits.groupBy(F.col("whole").alias("name")).agg(F.min_by("name", F.struct(F.length("name"), F.col("name"))).alias("canonical"))
 
 
 def canonical_map(names: DataFrame, groups: Groups = Groups(), column: str = "name") -> DataFrame:
@@ -43,7 +40,8 @@ def merge_groups(pois: DataFrame, canon: DataFrame, order: str = "ord") -> DataF
     the rating is the group's best, aliases are the other names, tags and behaviors are united in
     order. ``position`` is where the group was first seen. Rows without a name are dropped. Only
     distinct names and tags of a group are brought together, after they have been combined on the
-    map side, so a group of a third of all rows is no burden.
+    map side: a group of a third of all rows under a few names is no burden, one of that many
+    different names brings all of them into one row.
     """
     rows = pois.filter(or_empty(F.col("name")) != "").join(canon, "name")
     own = [c for c in pois.columns if c not in ("tags", "behaviors", "rating")]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeloom.functions.text import STYLE_NOTES, day_prompt, day_system_prompt, mentioned
-from placeloom.operators.blocks import NAME_ROWS, if_few
+from placeloom.operators import patterns
 from placeloom.operators.providers import Answer, answered, offline_writer
 
 
@@ -42,22 +42,27 @@ def missing_mentions(days: DataFrame) -> DataFrame:
 PIECE = 256
 
 
-def contained(texts: DataFrame, names: DataFrame, *keys: str, few: int = NAME_ROWS) -> DataFrame:
+def contained(texts: DataFrame, names: DataFrame, *keys: str, shards: int = patterns.SHARDS) -> DataFrame:
     """keys, name: the names that each text contains.
 
-    Texts list their substrings of the lengths that names have and look them up by an equi-join,
-    so it doesn't compare all texts with all names. A text is cut into pieces first, which
-    overlap by the longest name, so the work grows with its length and no row holds a long one's
-    substrings. Up to ``few`` names, which are counted, go to the substrings, so that only what is
-    found is shuffled.
+    Each text is scanned once by an automaton of the names, which are counted; only what is found is
+    shuffled. Beyond ``shards`` automata (of 2 million characters each) texts list their
+    substrings instead, of the lengths that names have, and meet the names in an equi-join.
     """
     known = names.select("name").filter("name <> ''").distinct()
+    parts = patterns.shards(known, shards)
+    if parts is not None:
+        return patterns.contained(texts.filter("text <> ''"), parts, *keys).distinct()
+    return _by_substrings(texts, known, *keys)
+
+
+def _by_substrings(texts: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
+    """The same by an equi-join of substrings; a text is cut into pieces that overlap by the longest name, so no row holds a long one's substrings."""
     lengths = F.broadcast(known.agg(F.collect_set(F.length("name")).alias("_lengths"), F.max(F.length("name")).alias("_most")))  # as many numbers as lengths exist
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text")), F.lit(PIECE))
     pieces = texts.filter("text <> ''").join(lengths).select(*keys, "_lengths", F.explode(F.transform(starts, lambda i: F.substr("text", i, F.col("_most") + (PIECE - 1)))).alias("_piece"))
     cut = F.flatten(F.transform("_lengths", lambda n: F.when(n <= F.length("_piece"), F.transform(F.sequence(F.lit(1), F.length("_piece") - n + 1), lambda i: F.substr("_piece", i, n))).otherwise(F.array().cast("array<string>"))))
-    parts = pieces.select(*keys, F.explode(F.array_distinct(cut)).alias("name"))
-    return parts.join(if_few(known, few), "name").select(*keys, "name").distinct()
+    return pieces.select(*keys, F.explode(F.array_distinct(cut)).alias("name")).join(known, "name").select(*keys, "name").distinct()
 
 
 def out_of_scope(texts: DataFrame, names: DataFrame, allowed: DataFrame, key: str = "id") -> DataFrame:

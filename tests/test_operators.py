@@ -296,10 +296,10 @@ def test_names_found_alike_few_or_many(spark):
     names = spark.createDataFrame([(x,) for x in ("ab", "abc", "b", "xab y", "黄鹤楼公园", "黄鹤楼", "zz", "", None)], "name string")
     pairs = lambda df: sorted(map(tuple, df.collect()))
     short = pairs(group.shortest_substring(names))
-    assert short == pairs(group.shortest_substring(names, few=0)) == [("ab", "b"), ("abc", "b"), ("b", "b"), ("xab y", "b"), ("zz", "zz"), ("黄鹤楼", "黄鹤楼"), ("黄鹤楼公园", "黄鹤楼")]
+    assert short == pairs(group.shortest_substring(names, shards=0)) == [("ab", "b"), ("abc", "b"), ("b", "b"), ("xab y", "b"), ("zz", "zz"), ("黄鹤楼", "黄鹤楼"), ("黄鹤楼公园", "黄鹤楼")]
     texts = spark.createDataFrame([(1, "x" * 254 + "abc"), (2, "在黄鹤楼"), (3, ""), (4, None)], "id long, text string")
     found = pairs(itinerary.contained(texts, names, "id"))
-    assert found == pairs(itinerary.contained(texts, names, "id", few=0)) == [(1, "ab"), (1, "abc"), (1, "b"), (2, "黄鹤楼")]
+    assert found == pairs(itinerary.contained(texts, names, "id", shards=0)) == [(1, "ab"), (1, "abc"), (1, "b"), (2, "黄鹤楼")]
     none = names.limit(0)
     assert not pairs(group.shortest_substring(none)) and not pairs(itinerary.contained(texts, none, "id")) and not pairs(itinerary.contained(texts.limit(0), names, "id"))
 
