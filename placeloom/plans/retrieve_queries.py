@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placeloom.functions import text as T
-from placeloom.operators import impact, index, retrieve, segment
+from placeloom.operators import cells, impact, index, retrieve, segment
 from placeloom.plans import build_queries as build
 from placeloom.plans.fixtures import oracle, table, view
 from placeloom.plans.registry import registry
@@ -98,19 +98,29 @@ def bm25_ideographs(spark, sf_dir):
     return index.bm25_scores(made, names.filter("id % 50 = 0").selectExpr("id AS query_id", "substr(text, 2, 4) AS query"))
 
 
-#: Indexes that this application has written, by what the files of their table were.
+#: Indexes that this application has written, by kind and by what the files of their table were.
 _WRITTEN: dict[tuple, str] = {}
 
 
-def _blocks(spark, sf_dir):
-    """The index in blocks over all documents, written on first use into the shared folder and anew whenever the table's files differ."""
-    files = corpus(spark, sf_dir).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    key = (spark.sparkContext.applicationId, *sorted(map(tuple, files.collect())))  # a row per file of the table
+def _index_of(spark, kind, rows, write):
+    """Where the index of ``rows`` is: written on first use into the shared folder, and anew whenever the files that rows come from differ."""
+    files = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    key = (spark.sparkContext.applicationId, kind, *sorted(map(tuple, files.collect())))  # a row per file of the table
     if key not in _WRITTEN:
-        at = f"{new_folder(spark)}/bm25"
-        impact.add_documents(corpus(spark, sf_dir), at, group="city")
+        at = f"{new_folder(spark)}/{kind}"
+        write(rows, at)
         _WRITTEN[key] = at
-    return impact.read(spark, _WRITTEN[key])
+    return _WRITTEN[key]
+
+
+def _blocks(spark, sf_dir):
+    """The BM25 index in blocks over all documents."""
+    return impact.read(spark, _index_of(spark, "bm25", corpus(spark, sf_dir), lambda rows, at: impact.add_documents(rows, at, group="city")))
+
+
+def _cells(spark, sf_dir):
+    """The index of all vectors in inverted lists."""
+    return cells.read_cells(spark, _index_of(spark, "cells", vectors(spark, sf_dir), cells.write_cells))
 
 
 # Words of ideographs: two words of parts are unknown; pieces across the border of a name's two words are listed, too.
@@ -209,6 +219,23 @@ def vector_topk(spark, sf_dir):
     return top.select("query_id", "id", "distance", "rank")
 
 
+@query()
+def vector_topk_cells(spark, sf_dir):
+    """The same from inverted lists and product codes; not every true neighbour is found."""
+    top = cells.search_cells(_cells(spark, sf_dir), _probes(spark, sf_dir), 40)
+    return top.select("query_id", "id", "distance", "rank")
+
+
+@query("SELECT count(*) AS queries, count(*) * least(40, (SELECT count(*) FROM embeddings)) AS found, true AS recalled, 0 AS inexact FROM embeddings WHERE vec_id % 50 = 0")
+def vector_cells_recall(spark, sf_dir):
+    """Whether the lists give 40 rows for each query, at least nine tenths of them true neighbours, and all with exact distances."""
+    found, true = vector_topk_cells(spark, sf_dir), vector_topk(spark, sf_dir)
+    pairs = vector_l2_scores(spark, sf_dir).withColumnRenamed("distance", "exact")
+    told = found.join(pairs, ["query_id", "id"], "left").join(true.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    count = told.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("found"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"), F.count_if(~F.col("exact").eqNullSafe(F.col("distance"))).cast("int").alias("inexact"))
+    return count.select("queries", "found", (F.col("hits") >= 0.9 * F.col("found")).alias("recalled"), "inexact")
+
+
 _VECTOR_TOP = f"""{_BM25_TOP}, qv AS (SELECT q.query_id, q.city, e.embedding AS vector FROM q JOIN embeddings e ON q.query_id = e.vec_id),
 vt AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
   FROM (SELECT query_id, v.vec_id AS id, {_L2.format('qv.vector')} AS distance FROM embeddings v JOIN doc_fx ON v.vec_id = doc_fx.id JOIN qv ON doc_fx.city = qv.city))"""
