@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from placeloom.config import City, Spatial
 from placeloom.functions import text as T
 from placeloom.operators import index
 from placeloom.plans import build_queries as build
@@ -14,7 +13,7 @@ from placeloom.plans.fixtures import oracle, table, view
 from placeloom.plans.registry import registry
 from placeloom.schema import RAW_ANCHOR
 from placeloom.session import new_folder
-from placeloom.sources import places, search_api
+from placeloom.sources import place_source, places
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -53,21 +52,22 @@ def vector_store(spark, sf_dir):
     return spark.read.schema(placed.schema).parquet(at).select("id", "city", F.size("embedding").alias("dims"), F.round(norm, 6).alias("norm"))
 
 
-# A made-up search service: the number of places of a word follows from its length.
-_SEARCHED = City("c0", "C0", "C0", Spatial(("D0",)), core_spots={"bolts": ("cold bolt", "hot bolt"), "rings": ("ring",)}, category_words=("gear", "anvil works", "red"), core_pages=(5, 1), category_pages=(4, 3))
-_WORDS = ", ".join(f"({i}, '{w}', {g}, {size}, {pages})" for i, (w, g, size, pages) in enumerate([("cold bolt", "'bolts'", 5, 1), ("hot bolt", "'bolts'", 5, 1), ("ring", "'rings'", 5, 1), ("gear", "NULL", 4, 3), ("anvil works", "NULL", 4, 3), ("red", "NULL", 4, 3)]))
+# The search service: the places of a keyword are the parts of that name, on pages of five in one city and of seven in the other.
+_PAGED = """SELECT n AS ord, p_name AS keyword, 'C' || cast(n % 2 AS string) AS region, cast(CASE WHEN n % 2 = 0 THEN 5 ELSE 7 END AS int) AS page_size, cast(n % 13 + 1 AS int) AS max_pages
+FROM (SELECT p_name, row_number() OVER (ORDER BY p_name) AS n FROM (SELECT DISTINCT p_name FROM part) a) b"""
 
 
-def _service(keyword: str, region: str, page_size: int, page: int) -> list[dict]:
-    return [{"id": f"{keyword}-{i}", "name": f"{region} {keyword} {i}"} for i in range((page - 1) * page_size, min(page * page_size, len(keyword) * 5 % 17))]
-
-
-@query(f"""WITH w(ord, keyword, interest_group, page_size, max_pages) AS (VALUES {_WORDS}) SELECT ord * 1000000 + i AS ord, keyword || '-' || i AS id, 'C0 ' || keyword || ' ' || i AS name, keyword, interest_group, 'C0' AS city
-FROM w, range(200) t(i) WHERE i < least(page_size * max_pages, length(keyword) * 5 % 17)""")
+@query(f"""WITH k AS ({_PAGED}), f AS (SELECT p_name, p_partkey, p_brand, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS i FROM part)
+SELECT ord, keyword, region, i // page_size + 1 AS page, i % page_size AS position, p_partkey AS id, p_brand AS brand FROM k JOIN f ON p_name = keyword WHERE i < page_size * max_pages AND region = 'C1'""")
 def keyword_pages(spark, sf_dir):
-    """All pages of a city's core and category words, until one is short, empty or the last one asked for."""
-    found = search_api.as_places(search_api.crawl(spark, _SEARCHED, _service), ["id", "name"], "id string, name string")
-    return found.select("ord", "id", "name", F.col("_source_keyword").alias("keyword"), F.col("_interest_group").alias("interest_group"), F.col("_city").alias("city"))
+    """The pages of all names of parts in one city, from a service whose answers are the parts themselves; the other city's keywords are never asked for."""
+    parts = table(spark, sf_dir, "part")
+    at = f"{new_folder(spark)}/service"
+    parts.select(F.col("p_name").alias("keyword"), F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand")).write.partitionBy("keyword").json(at)
+    keywords = spark.sql(_PAGED.replace("FROM part", "FROM {part}"), part=parts)
+    found = place_source.read_pages(spark, keywords, "placeloom.sources.place_source:folder", at.removeprefix("file://")).filter("region = 'C1'")
+    place = F.from_json("place", "id long, brand string")
+    return found.select("ord", "keyword", "region", F.col("page").cast("long"), F.col("position").cast("long"), place["id"].alias("id"), place["brand"].alias("brand"))
 
 
 _SPELT = "CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'n/a' WHEN 2 THEN ' ' || p_size || '.5 ' WHEN 3 THEN p_size || '_000' WHEN 4 THEN p_size || 'e2' WHEN 5 THEN '-.' || p_size WHEN 6 THEN 'inf' WHEN 7 THEN '' ELSE '+' || p_size || '.' END"
