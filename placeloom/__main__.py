@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 
-from placeloom.config import city_config, load_cities
+from placeloom.config import Vocabulary, city_config, load_cities, load_vocabulary
+from placeloom.functions.contract import load_contract
 from placeloom.operators.evaluate import aggregate
+from placeloom.operators.segment import read_dictionary
 from placeloom.plans import city as stages
 from placeloom.session import session
 from placeloom.sources.places import read_eval_set
@@ -25,16 +27,19 @@ def main(words: list[str] | None = None) -> None:
     p.add_argument("--top_k", type=int, default=10)
     p.add_argument("--mode", default="hybrid")
     p.add_argument("--whole_words", action="store_true", help="build: index runs of ideographs whole instead of by pairs")
+    p.add_argument("--dictionary", help="build: file of words and frequencies by which ideographs are cut")
+    p.add_argument("--schema", help="YAML file of the vocabulary, the text template and the field contract")
     a = p.parse_args(words)
     city, spark = city_config(load_cities(a.config), a.city), session()
+    known, fields = (load_vocabulary(a.schema), load_contract(a.schema)) if a.schema else (Vocabulary(), ())
     if a.stage == "crawl":
         stages.crawl_city(spark, city, a.root, offline(a.places), a.force)
     elif a.stage == "clean":
-        stages.clean_stage(spark, city, a.root, a.force)
+        stages.clean_stage(spark, city, a.root, a.force, fields)
     elif a.stage == "tag":
-        stages.tag_stage(spark, city, a.root)
+        stages.tag_stage(spark, city, a.root, words=known)
     elif a.stage == "build":
-        stages.build_stage(spark, city, a.root, a.force, bigrams=not a.whole_words)
+        stages.build_stage(spark, city, a.root, a.force, bigrams=not a.whole_words, lexicon=read_dictionary(spark, a.dictionary) if a.dictionary else None, words=known, fields=fields)
     elif a.stage == "eval":
         aggregate(stages.eval_stage(spark, city, a.root, read_eval_set(spark, a.cases), a.top_k)).show()
     else:

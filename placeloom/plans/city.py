@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.config import City
-from placeloom.functions.text import query_text, split_tags
+from placeloom.config import City, Vocabulary
+from placeloom.functions import contract
+from placeloom.functions.text import query_text, split_tags, tag_system_prompt
 from placeloom.operators import anchors, clean, evaluate, group, index, retrieve, tag
 from placeloom.operators.providers import Answer, Embed, embedded, offline_tagger
 from placeloom.schema import CLEAN_ANCHOR, RAW_POI, TAGGED_POI
@@ -34,10 +37,23 @@ def crawl_city(spark: SparkSession, city: City, root: str, provider: Provider, f
     return places.write_rows(found, city.paths(root)["raw"], force)
 
 
-def clean_stage(spark: SparkSession, city: City, root: str, force: bool = False) -> bool:
+def clean_stage(spark: SparkSession, city: City, root: str, force: bool = False, fields: Sequence[contract.Field] = ()) -> bool:
+    """Clean places; with a contract, rows that break it are written with their reasons to <clean>_rejected instead, and counted in the log."""
     raw = spark.read.parquet(city.paths(root)["raw"])
-    done = clean.clean_city(raw, city.rules, city.core_flat, city.max_pois)
-    return places.write_rows(done.drop("interest_group"), city.paths(root)["clean"], force)
+    done = clean.clean_city(raw, city.rules, city.core_flat, city.max_pois).drop("interest_group")
+    at = city.paths(root)["clean"]
+    if not fields:
+        return places.write_rows(done, at, force)
+    if not force and places.exists(spark, at):
+        return False
+    judged = f"{at}_judged"
+    contract.judged(done, fields, "clean").write.mode("overwrite").parquet(judged)
+    rows = spark.read.parquet(judged)
+    rejected = rows.filter(F.size(contract.REASONS) > 0)
+    rejected.write.mode("overwrite").parquet(f"{at}_rejected")
+    for r in contract.reason_counts(rejected).orderBy("reason").collect():  # as many rows as reasons exist
+        logger("clean").warning("%s: %d rows of %s rejected", r.reason, r.n, city.key)
+    return places.write_rows(rows.filter(F.size(contract.REASONS) == 0).drop(contract.REASONS), at, force)
 
 
 def anchor_stage(spark: SparkSession, city: City, root: str, found: DataFrame, force: bool = False) -> bool:
@@ -47,26 +63,31 @@ def anchor_stage(spark: SparkSession, city: City, root: str, found: DataFrame, f
     return places.write_rows(anchors.clean_anchors(hits), city.paths(root)["anchors"], force)
 
 
-def tag_stage(spark: SparkSession, city: City, root: str, answer: Answer = offline_tagger) -> None:
-    """Tag what has no tags yet and append it."""
+def tag_stage(spark: SparkSession, city: City, root: str, answer: Answer = offline_tagger, words: Vocabulary = Vocabulary()) -> None:
+    """Tag what has no tags yet, with the vocabulary's words, and append it."""
     at = city.paths(root)["tagged"]
     spark.createDataFrame([], TAGGED_POI).write.mode("append").parquet(at)
     done = spark.read.schema(TAGGED_POI).parquet(at)
-    tag.tag(tag.pending(spark.read.parquet(city.paths(root)["clean"]), done), answer).select(done.columns).write.mode("append").parquet(at)
+    tag.tag(tag.pending(spark.read.parquet(city.paths(root)["clean"]), done), answer, tag_system_prompt(words.interests, words.behaviors)).select(done.columns).write.mode("append").parquet(at)
+
 
+def build_stage(spark: SparkSession, city: City, root: str, force: bool = False, embed: Embed | None = None, bigrams: bool = True, lexicon: DataFrame | None = None, words: Vocabulary = Vocabulary(), fields: Sequence[contract.Field] = ()) -> bool:
+    """The knowledge base with texts (by the vocabulary's template) and embeddings, and the inverted index over it.
 
-def build_stage(spark: SparkSession, city: City, root: str, force: bool = False, embed: Embed | None = None, bigrams: bool = True) -> bool:
-    """The knowledge base with texts and embeddings, and the inverted index over it; ideographs are indexed by pairs unless ``bigrams`` is off.
+    Ideographs are indexed by the words of a ``lexicon`` (word, freq) if there is one, else by pairs unless ``bigrams`` is off.
+    The template is held against the contract, if there is one.
 
     Places keep the order of the clean table (by rating, then as they were found), which decides
     who stands for a group among equals.
     """
     tagged = group.attractions(spark.read.schema(TAGGED_POI).parquet(city.paths(root)["tagged"]))
     rows = tagged.join(spark.read.parquet(city.paths(root)["clean"]).select("id", "ord"), "id")
-    docs = index.build_documents(group.merge_groups(rows, group.canonical_map(rows, city.groups)))
+    if fields:
+        contract.check_template(words.template, fields)
+    docs = index.build_documents(group.merge_groups(rows, group.canonical_map(rows, city.groups)), words.template)
     if not places.write_rows(embedded(docs, embed=embed), city.paths(root)["kb"], force):
         return False
-    index.write_bm25_index(spark.read.parquet(city.paths(root)["kb"]), city.paths(root)["index"], bigrams=bigrams)
+    index.write_bm25_index(spark.read.parquet(city.paths(root)["kb"]), city.paths(root)["index"], bigrams=bigrams and lexicon is None, lexicon=lexicon)
     return True
 
 

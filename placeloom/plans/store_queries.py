@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from placeloom.functions import contract
 from placeloom.functions import text as T
 from placeloom.operators import index
 from placeloom.plans import build_queries as build
@@ -70,6 +71,22 @@ def keyword_pages(spark, sf_dir):
     return found.select("ord", "keyword", "region", F.col("page").cast("long"), F.col("position").cast("long"), place["id"].alias("id"), place["brand"].alias("brand"))
 
 
+_FIELDS = contract.contract_from({"poi": {
+    "id": {"type": "int", "required": True, "stage": "crawl", "usage": ["system"]}, "name": {"type": "string", "required": True, "stage": "crawl", "usage": ["embed"]},
+    "district": {"type": "string", "required": True, "stage": "clean", "usage": ["embed", "filter"]}, "rating_raw": {"type": "float", "stage": "crawl", "usage": ["filter"]},
+    "interest_group": {"type": "string", "required": True, "stage": "crawl"}, "opentime": {"type": "string", "required": True, "stage": "crawl"}, "level": {"type": "bool", "stage": "clean"},
+    "tags": {"type": "list[string]", "required": True, "stage": "tag"},
+}})
+_REASONS = """SELECT id, list_filter([CASE WHEN district = '' THEN 'district: missing' END, CASE WHEN rating_raw = 'n/a' THEN 'rating_raw: not a float' END, CASE WHEN interest_group IS NULL THEN 'interest_group: missing' END,
+  'opentime: missing', CASE WHEN level <> '' THEN 'level: not a bool' END], lambda x: x IS NOT NULL) AS reasons FROM poi_fx"""
+
+
+@query(oracle(f", r AS ({_REASONS}) SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM r) GROUP BY reason", "poi_fx"))
+def field_contract(spark, sf_dir):
+    """How many places break each line of a contract; one field is of a later stage and isn't looked at."""
+    return contract.reason_counts(contract.route(view(spark, sf_dir, "poi_fx"), _FIELDS, "clean")[1])
+
+
 _SPELT = "CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'n/a' WHEN 2 THEN ' ' || p_size || '.5 ' WHEN 3 THEN p_size || '_000' WHEN 4 THEN p_size || 'e2' WHEN 5 THEN '-.' || p_size WHEN 6 THEN 'inf' WHEN 7 THEN '' ELSE '+' || p_size || '.' END"
 _READ = "CASE p_partkey % 9 WHEN 2 THEN p_size + 0.5::DOUBLE WHEN 3 THEN p_size * 1000::DOUBLE WHEN 4 THEN p_size * 100::DOUBLE WHEN 5 THEN -p_size / CASE WHEN p_size < 10 THEN 10::DOUBLE ELSE 100::DOUBLE END WHEN 8 THEN p_size::DOUBLE ELSE -1::DOUBLE END"
 

@@ -95,3 +95,63 @@ def test_vocabulary_file(tmp_path):
     at.write_text("interest_tags: [甲]\n", encoding="utf-8")
     with pytest.raises(ValueError, match="behavior_tags"):
         config.load_vocabulary(str(at))
+
+
+SCHEMA = """
+poi:
+  id: {type: string, required: true, stage: crawl, usage: [system]}
+  name: {type: string, required: true, stage: crawl, usage: [embed]}
+  location: {type: string, required: true, stage: crawl, usage: [compute]}
+  rating: {type: float, stage: clean, usage: [filter]}
+  address: {type: string, required: true, stage: clean, usage: display}
+  tags: {type: string, required: true, stage: tag, usage: [embed, filter]}
+interest_tags: [自然]
+behavior_tags: [散步]
+crowd_to_tags: {一个人: {散步: 1.0}}
+text_template: "名{name}签{tags}"
+"""
+
+
+def test_schema_file_and_dictionary_on_the_real_path(spark, tmp_path):
+    from placeloom.operators import index
+
+    root, settings, found = (tmp_path / x for x in ("data", "cities", "places"))
+    settings.mkdir(), found.mkdir()
+    (settings / "z.yaml").write_text("name: Z\nspatial: {urban_districts: [D0]}\ncategory_words: [园]\n", encoding="utf-8")
+    (tmp_path / "schema.yaml").write_text(SCHEMA, encoding="utf-8")
+    (tmp_path / "words.txt").write_text("听涛 5\n涛景 1\n景区 9\n木兰 4\n草原 4\n", encoding="utf-8")
+    rows = [{"id": str(i), "name": n, "adname": "D0", "address": a, "location": f"114.{i},30.{i}", "type": "风景名胜"} for i, (n, a) in enumerate([("听涛景区", "a"), ("木兰草原", "b"), ("昙华林", " "), ("江汉关", "c")])]
+    (found / "园.json").write_text(json.dumps(rows, ensure_ascii=False), encoding="utf-8")
+    common = ["--city", "z", "--config", str(settings), "--root", str(root), "--schema", str(tmp_path / "schema.yaml")]
+    for stage, more in (("crawl", ["--places", str(found)]), ("clean", []), ("clean", []), ("tag", []), ("build", ["--dictionary", str(tmp_path / "words.txt")])):
+        main([stage, *common, *more])
+    city = config.load_cities(str(settings))["z"]
+    at = city.paths(str(root))
+    assert [(x.name, x._reasons) for x in spark.read.parquet(f"{at['clean']}_rejected").collect()] == [("昙华林", ["address: missing"])]
+    assert {x.name for x in spark.read.parquet(at["clean"]).collect()} == {"听涛景区", "木兰草原", "江汉关"}
+    assert all(x.text.startswith("名") for x in spark.read.parquet(at["kb"]).collect())
+    made = index.Bm25Index.read(spark, at["index"])
+    assert {"听涛", "景区", "木兰", "草原"} <= {x.term for x in made.terms.collect()} and made.lexicon.count() == 5
+    asked = spark.createDataFrame([(0, "想去听涛的湖边")], "query_id long, query string")
+    assert [x.id for x in stages.search_city(spark, city, str(root), asked, 1, "bm25").collect()] == ["0"]
+
+
+def test_contract_kinds(spark):
+    import pytest
+
+    from placeloom.functions import contract
+
+    for wrong in ({"type": "text"}, {"stage": "never"}, {"usage": ["show"]}):
+        with pytest.raises(ValueError):
+            contract.contract_from({"poi": {"a": wrong}})
+    kinds = contract.contract_from({"poi": {k.replace("[string]", ""): {"type": k} for k in contract.KINDS} | {"later": {"required": True, "stage": "build", "usage": "embed"}}})
+    df = spark.createDataFrame([("a", "1.5", "7", "True", ["x"]), (None, None, None, None, None), ("", " ", "", "", []), ("b", "x", "1.5", "yes", [None])], "string string, float string, int string, bool string, list array<string>")
+    got = [x._reasons for x in contract.judged(df, kinds, "tag").collect()]
+    assert got == [[], [], [], ["float: not a float", "int: not a int", "bool: not a bool", "list: not a list[string]"]]
+    typed = spark.createDataFrame([(1, 1, 1.0, 1, 1)], "string int, float int, int double, bool int, list int")
+    assert contract.judged(typed, kinds, "tag").first()._reasons == ["string: not a string", "int: not a int", "bool: not a bool", "list: not a list[string]"]
+    assert contract.judged(typed, kinds, "build").first()._reasons[-1] == "later: missing" and contract.judged(df.limit(0), kinds, "build").count() == 0
+    with pytest.raises(ValueError, match="string"):
+        contract.check_template("{later} {string}", kinds)
+    with pytest.raises(FileNotFoundError):
+        contract.load_contract("/nowhere.yaml")
