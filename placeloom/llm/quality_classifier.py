@@ -151,16 +151,18 @@ def training_rows(docs: DataFrame, grades: DataFrame, max_rows: int = MAX_ROWS)
     """Hashed features and grades of at most ``max_rows`` labelled rows, the same at every run."""
     sample = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select(F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("copy"), "grade", "text")
-    # Rows repeated under one doc_id could exceed the bound again.
-    texts = texts.orderBy("place", "copy").limit(max_rows)
 
     def work(batches):
         features = Features()
         for batch in batches:
-            found = [features(x).tolist() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("place", "copy", "grade")), pa.array(found, pa.list_(pa.int32()))], ["place", "copy", "grade", "features"])
-
-    rows = texts.mapInArrow(work, "place long, copy long, grade int, features array<int>").toArrow().sort_by([("place", "ascending"), ("copy", "ascending")])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = [features(x).tolist() for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("place", "copy", "grade")), pa.array(found, pa.list_(pa.int32()))], ["place", "copy", "grade", "features"])
+
+    # Texts become features where they are; only these are sorted. Rows repeated under one doc_id could exceed the bound again.
+    made = texts.mapInArrow(work, "place long, copy long, grade int, features array<int>").orderBy("place", "copy").limit(max_rows)
+    rows = made.toArrow().sort_by([("place", "ascending"), ("copy", "ascending")])
     return [np.array(x, np.int64) for x in rows["features"].to_pylist()], np.array(rows["grade"].to_pylist(), np.int64)
 
 
