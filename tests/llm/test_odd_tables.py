@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from placeloom.llm import byte_bpe, chat, exact, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, suffix_dedup
+from placeloom.llm import byte_bpe, chat, exact, fill_in_middle, filter_audit, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, suffix_dedup
 from placeloom.llm.common import replace_columns
 
 CLASHING = (
@@ -26,6 +26,7 @@ def docs(spark, request):
 WHOLE = {
     "exact": lambda d: exact.exact_dedup(d)[0], "lines": line_dedup.drop_recurring_lines, "near": near_dedup.near_duplicates, "suffix": suffix_dedup.remove_repeats, "encode": byte_bpe.encode_documents,
     "digests": byte_bpe.token_digests, "round trip": lambda d: byte_bpe.decode_documents(byte_bpe.encode_documents(d)), "shards": sharding.assign_shards, "rules": lambda d: quality_rules.judged(quality_rules.measured(d)),
+    "fill": fill_in_middle.transform_documents, "fill digests": fill_in_middle.transform_digests, "masks": filter_audit.masks,
     "mix": lambda d: mixing.mix(s := replace_columns(d, size=mixing.n_words(d["text"])), mixing.source_targets(s)), "score": lambda d: quality_classifier.score_documents(d, quality_classifier.fit([], quality_classifier.np.zeros(0, int))),
 }
 
