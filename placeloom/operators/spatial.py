@@ -9,6 +9,7 @@ result; the order of a group is that of its ranks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import asdict
 
 import numpy as np
@@ -251,12 +252,66 @@ def centroids(members: DataFrame, *keys: str) -> DataFrame:
     return members.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
 
 
+def outermost(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
+    """The places (numbers) that are corners of the smallest convex area on the sphere around all of them; all places, if they are more than 45 degrees from their middle.
+
+    Seen from the centre of the sphere, great circles are straight lines, so the corners are those of a plane hull; within a quarter of the
+    sphere the place farthest from any other is one of them.
+    """
+    la, ln = np.radians(lat), np.radians(lng)
+    v = np.column_stack([np.cos(la) * np.cos(ln), np.cos(la) * np.sin(ln), np.sin(la)])
+    mid = v.mean(axis=0)
+    far = np.linalg.norm(mid)
+    up = v @ (mid / far) if far > 1e-6 else np.zeros(len(v))
+    if len(v) < 4 or up.min() < 0.71:
+        return np.arange(len(v))
+    east = np.cross(mid, np.eye(3)[np.abs(mid).argmin()])
+    east /= np.linalg.norm(east)
+    x, y = v @ east / up, v @ np.cross(mid / far, east) / up
+    order = np.lexsort((y, x))
+    order = order[np.concatenate([[True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)])]
+    corners: set[int] = set()
+    for way in (order.tolist(), order[::-1].tolist()):
+        chain: list[int] = []
+        for i in way:
+            while len(chain) > 1 and (x[chain[-1]] - x[chain[-2]]) * (y[i] - y[chain[-2]]) - (y[chain[-1]] - y[chain[-2]]) * (x[i] - x[chain[-2]]) <= 0:
+                chain.pop()
+            chain.append(i)
+        corners.update(chain)
+    return np.array(sorted(corners))
+
+
+def farthest_km(lat: np.ndarray, lng: np.ndarray) -> float:
+    """The largest distance of two places, compared corner by corner in blocks."""
+    some = outermost(lat, lng)
+    la, ln = np.radians(lat[some]), np.radians(lng[some])
+    most = 0.0
+    for start in range(0, len(some), 512):
+        p, q = la[start : start + 512, None], ln[start : start + 512, None]
+        h = np.sin((la - p) / 2) ** 2 + np.cos(la) * np.cos(p) * np.sin((ln - q) / 2) ** 2
+        most = max(most, float(h.max()))
+    return 2 * EARTH_KM * float(np.arcsin(np.sqrt(min(1.0, most))))
+
+
 def diameters(members: DataFrame, *keys: str) -> DataFrame:
-    """The largest distance of two members of each group; groups are small (a cluster's size is capped)."""
-    a, b = members.alias("a"), members.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    both = a.join(b, [*same, F.col("a.id") < F.col("b.id")])
-    return both.groupBy(*(F.col(f"a.{k}").alias(k) for k in keys)).agg(F.max(haversine(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng"))).alias("km"))
+    """The largest distance of two members of each group of two or more; null places don't count.
+
+    Tasks send the corners of what they hold of a group, so a group of any size meets as few places; corners of corners are the group's.
+    """
+    places = members.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(*keys, "lat", "lng")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in places.schema]
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for _, group in rows.groupby(list(keys), dropna=False, sort=False):
+                some = group.iloc[outermost(group["lat"].to_numpy(float), group["lng"].to_numpy(float))]
+                yield some.assign(n=[len(group), *[0] * (len(some) - 1)])
+
+    def widest(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[list(keys)].head(1).assign(km=farthest_km(rows["lat"].to_numpy(float), rows["lng"].to_numpy(float)), n=rows["n"].sum())
+
+    sent = places.mapInPandas(corners, ", ".join([*kinds, "n long"]))
+    return sent.groupBy(*keys).applyInPandas(widest, ", ".join([*kinds[: len(keys)], "km double", "n long"])).filter("n > 1").drop("n")
 
 
 def urban_majority(members: DataFrame, urban_districts: tuple[str, ...], *keys: str) -> DataFrame:

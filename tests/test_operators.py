@@ -430,3 +430,27 @@ def test_spatial_steps_against_plain_loops():
             at = _middle(points, sum(want[-1], []))
         assert flat(spatial.order_days(points, segments, np.array([30.5, 114.5]))) == flat(want) + [[]] * (days - len(want))
         assert flat(spatial.deal_days(points, clusters[:days], days + 1, s)) == [[c] for c in clusters[:days]] + [[]] * (days + 1 - len(clusters[:days]))
+
+
+def test_farthest_pair_by_corners(spark):
+    import numpy as np
+
+    from placeloom.operators import spatial
+
+    r = np.random.default_rng(5)
+    for n, spread in ((1, 1.0), (2, 1.0), (3, 0.0), (50, 0.5), (400, 20.0), (400, 80.0), (300, 0.0001)):
+        for _ in range(5):
+            at = np.column_stack([30 + r.normal(size=n) * spread, 114 + r.normal(size=n) * spread])
+            at[:, 0] = np.clip(at[:, 0], -90, 90)
+            at = np.concatenate([at, at[: n // 3]])
+            true = max(float(spatial.km(at[i], at).max()) for i in range(len(at)))
+            assert abs(spatial.farthest_km(at[:, 0], at[:, 1]) - true) < 1e-7, (n, spread)
+    big = r.normal(size=(100_000, 2)) * 0.2 + [30, 114]
+    assert len(spatial.outermost(big[:, 0], big[:, 1])) < 100
+    rows = [(None if g == 2 else g, float(a), float(b), "clash") for g in range(3) for a, b in r.normal(size=(200, 2))] + [(7, 1.0, 1.0, "x"), (8, 2.0, 2.0, "x"), (8, 2.0, 2.0, "x"), (9, None, 1.0, "x"), (9, 1.0, 1.0, "x")]
+    df = spark.createDataFrame(rows, "g int, lat double, lng double, n string").repartition(5)
+    got = {x.g: round(x.km, 6) for x in spatial.diameters(df, "g").collect()}
+    for g in (0, 1, None):
+        at = np.array([x[1:3] for x in rows if x[0] == g])
+        assert got.pop(g) == round(max(float(spatial.km(p, at).max()) for p in at), 6)
+    assert got == {8: 0.0} and spatial.diameters(df.limit(0), "g").count() == 0
