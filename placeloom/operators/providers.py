@@ -35,6 +35,21 @@ def offline_writer(prompt: str) -> str:
     return "\n".join(re.findall(r"^\d+\. .*$", prompt, re.MULTILINE))
 
 
+def http_model(endpoint: str, key: str, model: str, temperature: float = 0.0, timeout_s: float = 60.0) -> Answer:
+    """A chat model over HTTP: the prompt's part before the first empty line is the system message, the rest the user's; any answer without a message is an error."""
+    import urllib.request
+
+    def answer(prompt: str) -> str:
+        system, _, user = prompt.partition("\n\n")
+        said = [{"role": "system", "content": system}, {"role": "user", "content": user}] if user else [{"role": "user", "content": system}]
+        body = json.dumps({"model": model, "temperature": temperature, "messages": said}).encode()
+        request = urllib.request.Request(endpoint, body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+        with urllib.request.urlopen(request, timeout=timeout_s) as got:
+            return json.load(got)["choices"][0]["message"]["content"]
+
+    return answer
+
+
 def hashed_embedding(size: int = 64) -> Embed:
     """Unit vectors of signed hashed words and character pairs."""
 

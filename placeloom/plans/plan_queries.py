@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from placeloom.config import KM_A_DEGREE
+from placeloom.config import DEFAULT_STYLE, KM_A_DEGREE
 from placeloom.functions import scores
 from placeloom.functions import text as T
 from placeloom.functions.geo import circle, haversine, inside
@@ -420,6 +420,18 @@ def day_prompt(spark, sf_dir):
     return _prompts(spark, sf_dir).select("request_id", "day", "prompt")
 
 
+_TOLD = "CASE style " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.STYLE_NOTES.items()) + f" ELSE '{T.STYLE_NOTES[DEFAULT_STYLE]}' END"
+_STYLED = "CASE request_id % 4 WHEN 0 THEN '口碑' WHEN 1 THEN '悠闲' WHEN 2 THEN '综合' ELSE style END"
+
+
+@query(oracle(f", r AS (SELECT request_id, {_STYLED} AS style FROM req_fx) SELECT request_id, day, {_TOLD} AS note, 4 AS n_lines FROM (SELECT DISTINCT request_id, day FROM cand_fx) JOIN r USING (request_id)", "cand_fx"))
+def day_system_note(spark, sf_dir):
+    """What the system prompt of each day ends with, by the request's style, and how many lines it has; an unknown style has the default's note."""
+    req = view(spark, sf_dir, "req_fx").withColumns({"interests": T.split_tags(F.col("interests")), "style": F.expr(_STYLED)})
+    lines = F.split("system", "\n")
+    return itinerary.day_prompts(_stops(spark, sf_dir), req).select("request_id", "day", F.element_at(lines, -1).alias("note"), F.size(lines).alias("n_lines"))
+
+
 _SAID = "SELECT DISTINCT conv_id, turn, text FROM conversations"
 _NAMES = "SELECT DISTINCT split_part(name, '-', 1) AS name FROM poi_fx"
 

@@ -454,3 +454,82 @@ def test_farthest_pair_by_corners(spark):
         at = np.array([x[1:3] for x in rows if x[0] == g])
         assert got.pop(g) == round(max(float(spatial.km(p, at).max()) for p in at), 6)
     assert got == {8: 0.0} and spatial.diameters(df.limit(0), "g").count() == 0
+
+
+def test_a_killed_batch_asks_the_model_once(spark, tmp_path):
+    """A run that dies in its second slice, and one that dies after it has appended, are gone on with by the next."""
+    from placeloom.schema import CLEAN_POI, TAGGED_POI
+    from placeloom.streaming import tagging
+
+    places_at, tagged, mark, asked = (str(tmp_path / x) for x in ("p", "t", "c", "asked"))
+    (tmp_path / "asked").mkdir()
+    row = lambda i: (str(i), f"name {i}", *["x"] * 5, 1.0, *["x"] * 2, ["u"], *["x"] * 2)
+    spark.createDataFrame([(*row(0), True, "old", "", "")], TAGGED_POI).write.parquet(tagged)
+    spark.createDataFrame([row(i) for i in range(40)] + [row(3)], CLEAN_POI).write.parquet(places_at)
+
+    def answer(prompt):
+        import re
+        import uuid
+        from pathlib import Path
+
+        i = re.search(r"name (\d+)", prompt)[1]
+        Path(asked, f"{i}-{uuid.uuid4().hex}").touch()
+        return '{"tags": "new"}'
+
+    def times():
+        return sorted(x.name.split("-")[0] for x in (tmp_path / "asked").iterdir())
+
+    was, calls = tagging.tag, []
+
+    def dies(rows, how):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        return was(rows, how)
+
+    tagging.tag = dies
+    try:
+        with pytest.raises(Exception, match="killed"):
+            tag_new_places(spark, places_at, tagged, mark, answer, slice_rows=10)
+    finally:
+        tagging.tag = was
+    first = times()
+    assert 0 < len(first) < 39 and spark.read.schema(TAGGED_POI).parquet(tagged).count() == 1
+    tag_new_places(spark, places_at, tagged, mark, answer, slice_rows=10)
+    assert times() == sorted(map(str, range(1, 40)))
+    (tmp_path / "c-answers" / "0" / "done" / "_SUCCESS").unlink()  # as if it had died right after appending
+    tagging.tag_batch(spark.read.schema(CLEAN_POI).parquet(places_at), 0, tagged, f"{mark}-answers", answer, 10)
+    spark.createDataFrame([row(i) for i in range(35, 45)], CLEAN_POI).write.mode("append").parquet(places_at)
+    tag_new_places(spark, places_at, tagged, mark, answer, slice_rows=10)
+    tag_new_places(spark, places_at, tagged, mark, answer, slice_rows=10)
+    assert times() == sorted(map(str, range(1, 45)))
+    got = spark.read.schema(TAGGED_POI).parquet(tagged).collect()
+    assert sorted(int(x.id) for x in got) == list(range(45)) and {x.id for x in got if x.tags == "old"} == {"0"}
+
+
+def test_http_model():
+    import http.server
+    import threading
+
+    from placeloom.operators.providers import http_model
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": "said"}}]} if len(seen) < 3 else {}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = http_model(f"http://127.0.0.1:{server.server_port}/", "secret", "m")
+    assert ask("be brief\n\nhow\n\nare you") == "said" and ask("hello") == "said"
+    assert seen[0][0] == "Bearer secret" and [m["content"] for m in seen[0][1]["messages"]] == ["be brief", "how\n\nare you"] and [m["role"] for m in seen[1][1]["messages"]] == ["user"]
+    with pytest.raises(KeyError):
+        ask("hello")
+    server.shutdown()
