@@ -11,16 +11,18 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import asdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.config import EARTH_KM, Spatial
 from placeloom.functions.geo import haversine
 from placeloom.functions.text import valid_coordinate
-from placeloom.operators.blocks import against
+from placeloom.operators.blocks import against, if_few
+from placeloom.session import written
 
 Cluster = list[int]
 
@@ -319,8 +321,46 @@ def urban_majority(members: DataFrame, urban_districts: tuple[str, ...], *keys:
     return members.groupBy(*keys).agg((F.count_if(F.col("district").isin(*urban_districts)) > F.count(F.lit(1)) / 2).alias("urban"))
 
 
+#: Centres up to which each point is compared with all of them, and the rings of cells that a point's centre is looked for in.
+FEW_CENTRES, RINGS = 16, (1, 3)
+
+
+def _on_sphere(lat: Column, lng: Column) -> list[Column]:
+    """Coordinates on the unit sphere; nearest there is nearest on the ground."""
+    la, ln = F.radians(lat), F.radians(lng)
+    return [F.cos(la) * F.cos(ln), F.cos(la) * F.sin(ln), F.sin(la)]
+
+
 def nearest_centre(points: DataFrame, centres: DataFrame, centre_key: str = "centre") -> DataFrame:
-    """id, centre, km of the nearest of the centres, a stated set that goes to all tasks in blocks; ties by centre."""
-    c = centres.select(F.col(centre_key).alias("centre"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
-    away = against(points, c, "centre").withColumn("km", haversine(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")))
-    return away.groupBy("id").agg(F.min_by("centre", F.struct("km", "centre")).alias("centre"), F.min("km").alias("km"))
+    """id, centre, km of the nearest of the centres; ties by centre; points and centres without a place don't count.
+
+    Centres are dealt to the cells of a grid about as fine as they are dense. A point meets those of the cells
+    around its own, in rings that grow; whatever lies outside a ring is farther than its width, so
+    a point whose best is nearer than that is done. The few that aren't, far from every centre, are compared with
+    all centres, which go to the tasks in blocks.
+    """
+    placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    c = centres.filter(placed).select(F.col(centre_key).alias("centre"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    left = points.filter(placed).select("id", "lat", "lng")
+    away = haversine(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng"))
+    best = lambda pairs: pairs.withColumn("km", away).groupBy("id", "lat", "lng").agg(F.min_by("centre", F.struct("km", "centre")).alias("centre"), F.min("km").alias("km"))
+    at = _on_sphere(F.col("_lat"), F.col("_lng"))
+    n, *ends = c.agg(F.count(F.lit(1)), *(f(x) for x in at for f in (F.min, F.max))).first()
+    done = []
+    if n > FEW_CENTRES:
+        size = max([1e-9, *(b - a for a, b in zip(ends[::2], ends[1::2]))]) / math.sqrt(n)
+        cell = lambda x: F.floor(x / size).cast("long")
+        dealt = if_few(c.select("*", F.array(*map(cell, at)).alias("_cell")))
+        for ring in RINGS:
+            near = F.sequence(F.lit(-ring), F.lit(ring))
+            own = left.select("*", *(cell(x).alias(f"_{i}") for i, x in enumerate(_on_sphere(F.col("lat"), F.col("lng")))))
+            for axis in ("_0", "_1", "_2"):
+                own = own.withColumn("_step", F.explode(near)).withColumn(axis, F.col(axis) + F.col("_step"))
+            found = own.select("id", "lat", "lng", F.array("_0", "_1", "_2").alias("_cell")).join(dealt, "_cell")
+            sure = written(best(found).filter(F.lit(2.0) * F.sin(F.col("km") / (2 * EARTH_KM)) < ring * size * (1 - 1e-9)))
+            done.append(sure)
+            left = written(left.join(sure.select("id", "lat", "lng"), ["id", "lat", "lng"], "left_anti"))
+            if left.isEmpty():
+                break
+    found = reduce(DataFrame.unionByName, [*done, best(against(left, c, "centre"))])
+    return found.groupBy("id").agg(F.min_by("centre", F.struct("km", "centre")).alias("centre"), F.min("km").alias("km"))

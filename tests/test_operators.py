@@ -533,3 +533,21 @@ def test_http_model():
     with pytest.raises(KeyError):
         ask("hello")
     server.shutdown()
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_nearest_centre_by_rings(spark, monkeypatch, few):
+    monkeypatch.setattr(spatial, "FEW_CENTRES", few)
+    r = np.random.default_rng(9)
+    city = lambda n: r.normal(size=(n, 2)) * 0.2 + [30, 114]
+    for at, centres in ((city(300), city(120)), (np.concatenate([city(50), [[-30, -66], [90, 0], [89.9, 179], [0, 180], [0, -180]]]), np.concatenate([city(60), [[89.99, -100], [0, -179.99]]]))):
+        centres = np.concatenate([centres, centres[:5]])  # ties
+        rows = [(i, float(a), float(b), "x") for i, (a, b) in enumerate(at)] + [(9999, None, 1.0, "x"), (0, float(at[0][0]), float(at[0][1]), "x")]
+        points = spark.createDataFrame(rows, "id int, lat double, lng double, _cell string")
+        table = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(centres)] + [(-1, None, None)], "c int, lat double, lng double")
+        got = {x.id: (x.centre, x.km) for x in spatial.nearest_centre(points, table, "c").collect()}
+        assert got.keys() == set(range(len(at)))
+        for i, p in enumerate(at):
+            far = spatial.km(np.array(p), centres)
+            assert got[i][1] == pytest.approx(far.min(), abs=1e-6) and got[i][0] in np.flatnonzero(far < far.min() + 1e-6) and got[i][0] < len(centres) - 5
+    assert spatial.nearest_centre(points.limit(0), table, "c").count() == 0 and spatial.nearest_centre(points, table.limit(0), "c").count() == 0
