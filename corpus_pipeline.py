@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor. All but the last
 return the columns of ``documents``; the last adds the token ids. ``run`` writes each stage's rows
 to the shared folder and reads them again for the next.
+
+Defined cases, in every stage: null ids, texts, languages and sources are kept as they are unless the
+stage's operator drops the row for its words; null and empty texts have no words, so the quality rules
+drop them, and later stages, given such rows, let them through (near dedup links them with
+nothing, mixing repeats them by whole passes only, encoding gives no ids and a null text stays null). Rows
+repeated under one doc_id share a verdict of the quality rules (all of them good, or none stays). Ties go to the smaller doc_id in near dedup and to
+the seeded order in mixing. Long texts are read whole. Empty tables give empty tables. Further columns stay,
+whatever their names; those named like an output column (ids, n_tokens) give way in the last stage.
 """
 
 from __future__ import annotations
