@@ -29,6 +29,14 @@ def json_array_places(spark, sf_dir):
     return places.read_json_array(spark, at, RAW_ANCHOR).select(F.col("region").cast("long").alias("region"), "ord", "name", "location", "type")
 
 
+@query("SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS ord, doc_id AS id, md5(coalesce(text, '')) AS digest FROM documents")
+def json_array_texts(spark, sf_dir):
+    """The documents of a language as one JSON array file, large files read by many tasks."""
+    at = f"{new_folder(spark)}/texts"
+    places.write_json_arrays(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"), at, "lang", "doc_id")
+    return places.read_json_array(spark, at, "doc_id long, text string").select("lang", "ord", F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
 _SAID = ("id % 3 <> 0 AS is_attraction", "CASE WHEN id % 4 = 0 THEN '' ELSE tags END AS tags", "behaviors", "CASE WHEN id % 5 = 0 THEN NULL ELSE description END AS description")
 
 

@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.schema import EVAL_CASE, RAW_ANCHOR, RAW_POI, TAGGED_POI
+from placeloom.sources import json_array
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files that each hold one JSON array of objects, with ``ord``, the place in the array, and the values of folders."""
-    whole = spark.read.text(path, wholetext=True)
-    parts = [c for c in whole.columns if c != "value"]
-    items = whole.select(*parts, F.posexplode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("ord", "item"))
-    return items.select(*parts, F.col("ord").cast("long").alias("ord"), "item.*")
+    """Files that each hold one JSON array of objects, with ``ord``, the place in the array, and the values of folders; large files are read in ranges."""
+    return json_array.read(spark, path, schema)
 
 
 def _fields(schema: str) -> str:
@@ -42,11 +40,10 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json_arrays(df: DataFrame, path: str, part: str, order: str, force: bool = False) -> bool:
-    """One JSON array file for each value of ``part`` (a city's places, say: an array is one text, so a value's rows must fit a task), unless written already."""
+    """One JSON array file for each value of ``part``, in the order of ``order``, unless written already."""
     if not force and exists(df.sparkSession, path):
         return False
-    rows = F.struct(order, *(c for c in df.columns if c not in (part, order)))
-    df.groupBy(part).agg(F.to_json(F.sort_array(F.collect_list(rows))).alias("value")).write.mode("overwrite").partitionBy(part).text(path)
+    json_array.write(df, path, part, order)
     return True
 
 
