@@ -14,8 +14,10 @@ then lie in one component are done; the others are compared with another centre.
 that are still apart after that are compared across components, but only if they can be similar:
 of two similar sets each has one of their common elements among its rarest ones (as many as may be
 missing in the other, and one more), so pairs are joined on those elements, with bounds on sizes
-and places. A large bucket of documents that share much but not enough has rare elements of each
-one's own, and makes hardly a pair. Before sets are fetched, a bitmap of each set refuses pairs
+and places. A large bucket of documents that share much but not enough mostly has rare elements of each
+one's own, and makes hardly a pair. Where documents draw from a common pool of phrases they share rare elements, too:
+a sketch of each set (the parity of its elements in each of 512 cells) goes with these, and the join writes
+only pairs whose sketches allow the similarity. Before sets are fetched, a bitmap of each set refuses pairs
 whose sets must differ in too many elements. Links, classes and components stay in tables.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of fewer
@@ -46,6 +48,8 @@ SHINGLE, PERCENT = 5, 80
 CENTRES = 2
 #: Cells of the bitmap by which pairs that cannot be similar are refused before their sets are fetched.
 BITMAP = 2048
+#: Cells of the sketch that refuses pairs in the join on rare elements, before they are written.
+SKETCH = 512
 #: Documents whose sets a task holds at once, and elements hashed at once; both bound a worker's memory.
 ROWS, ELEMENTS = 128, 1 << 12
 
@@ -127,29 +131,44 @@ def bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(cells).view(np.int64)
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the elements of a set falls into each of SKETCH cells, as 64-bit integers."""
+    cells = np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(cells.astype(bool)).view(np.int64)
+
+
 def _sizes(percent: int) -> Column:
     """Whether sets of x_n and y_n elements can be similar enough."""
     return F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
 
 
-def _may_link(percent: int) -> Column:
-    """Whether two sets (size x_n and bitmap x; y_n, y) can be similar enough: a cell that only one of
-    them fills stands for an element that only this one has, so no similar pair is ever refused."""
-    apart = reduce(lambda s, i: s + F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))), range(1, BITMAP // 64), F.bit_count(F.get("x", F.lit(0)).bitwiseXOR(F.get("y", F.lit(0)))))
+def _may_link(percent: int, cells: int = BITMAP) -> Column:
+    """Whether two sets (size x_n and bitmap or sketch x; y_n, y) can be similar enough: a cell that differs (filled by only one of
+    them, or of another parity) stands for an element that only one has, so no similar pair is ever refused."""
+    apart = reduce(lambda s, i: s + F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))), range(1, cells // 64), F.bit_count(F.get("x", F.lit(0)).bitwiseXOR(F.get("y", F.lit(0)))))
     return apart * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent)
 
 
-def _rarest(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """rep, component, n, e, at: the elements, and their places by rarity, of which each similar pair of ``members`` (rep, component) shares one.
+def _rarest(sets: DataFrame, members: DataFrame, percent: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """rep, component, n, e, at and the ``carried`` columns of ``sets``: the elements, and their places by rarity, of which each similar pair of ``members`` (rep, component) shares one.
 
     An element that one member alone has counts for the places, but is left out.
     """
-    elements = sets.join(counted_broadcast(members), sets["doc_id"] == members["rep"]).select("rep", "component", "n", F.explode("found").alias("e"))
+    elements = sets.join(counted_broadcast(members), sets["doc_id"] == members["rep"]).select("rep", "component", "n", *carried, F.explode("found").alias("e"))
     counted = elements.join(elements.groupBy("e").agg(F.count(F.lit(1)).alias("c")), "e")
-    ordered = counted.groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))
+    ordered = counted.groupBy("rep", "component", "n").agg(*(F.first(c).alias(c) for c in carried), F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))
     needed = F.floor((F.col("n") * percent + 99) / 100)
-    first = ordered.select("rep", "component", "n", F.posexplode(F.slice("es", F.lit(1), (F.col("n") - needed + 1).cast("int"))).alias("at", "x"))
-    return first.filter(F.col("x.c") > 1).select("rep", "component", "n", F.col("x.e").alias("e"), "at")
+    first = ordered.select("rep", "component", "n", *carried, F.posexplode(F.slice("es", F.lit(1), (F.col("n") - needed + 1).cast("int"))).alias("at", "x"))
+    return first.filter(F.col("x.c") > 1).select("rep", "component", "n", *carried, F.col("x.e").alias("e"), "at")
+
+
+def _pairs_of(rare: DataFrame, percent: int) -> DataFrame:
+    """rep, x_n, o, y_n: pairs of ``rare`` that share an element and can be similar by their sizes, places and sketches; one row for each shared element."""
+    x = rare.select("e", "rep", "component", F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("sketch").alias("x"))
+    y = rare.select("e", F.col("rep").alias("o"), F.col("component").alias("oc"), F.col("n").alias("y_n"), F.col("at").alias("y_at"), F.col("sketch").alias("y"))
+    room = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
+    both = x.join(y, "e").filter((F.col("component") < F.col("oc")) & _sizes(percent) & room & _may_link(percent, SKETCH))
+    return both.select("rep", "x_n", "o", "y_n")
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, centres: int = CENTRES) -> DataFrame:
@@ -162,9 +181,10 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, centres:
 
     def row(text):
         found = shingles(text, size)
-        return found.view(np.int64), len(found), bitmap(found)
+        return found.view(np.int64), len(found), bitmap(found), sketch(found)
 
-    sets = scratch(_batches(some, "found array<long>, n long, bits array<long>", [pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())], row), "sets")
+    longs = pa.list_(pa.int64())
+    sets = scratch(_batches(some, "found array<long>, n long, bits array<long>, sketch array<long>", [longs, pa.int64(), longs, longs], row), "sets")
 
     def side(node: str, into: str, column: str) -> DataFrame:
         return sets.select(F.col("doc_id").alias(node), F.col(column).alias(into))
@@ -204,11 +224,8 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, centres:
     # What is left after that: pairs across components that share one of their rarest elements.
     apart = scratch(known.df.select("rep", "component").distinct(), "apart")
     known.drop()
-    rare = scratch(_rarest(sets, apart, percent), "rarest")
-    x = rare.select("e", "rep", "component", F.col("n").alias("x_n"), F.col("at").alias("x_at"))
-    y = rare.select("e", F.col("rep").alias("o"), F.col("component").alias("oc"), F.col("n").alias("y_n"), F.col("at").alias("y_at"))
-    room = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
-    new = confirmed(ordered(x.join(y, "e").filter((F.col("component") < F.col("oc")) & _sizes(percent) & room)))
+    rare = scratch(_rarest(sets, apart, percent, ("sketch",)), "rarest")
+    new = confirmed(ordered(_pairs_of(rare, percent)))
     return new if found is None else found.union(new)
 
 

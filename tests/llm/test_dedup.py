@@ -124,6 +124,44 @@ def test_near_bucket_of_documents_that_share_too_little(spark):
     assert [tuple(p) for p in pairs] == [(0, 60)]
 
 
+def slots(n, seed=4):
+    """Pages of one template: passages of it between 12 slots, each filled from ten values; much is shared, and rare things, too."""
+    r = random.Random(seed)
+    fixed = [[f"f{k}x{j}" for j in range(7)] for k in range(12)]
+    return [" ".join(w for k in range(12) for w in (*fixed[k], f"v{k}y{r.randrange(10)}")) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [250, 500])
+def test_near_bucket_of_one_template(spark, n):
+    """What shares rare elements but not enough of all is refused in the join: pairs that leave it grow no faster than documents."""
+    texts = slots(n)
+    texts += [texts[0].replace("f3x2", "other"), texts[1].replace("f5x5", "another")]
+    rows = []
+    for i, t in enumerate(texts):
+        found = near_dedup.shingles(t, 3)
+        rows.append((i, found.view("int64").tolist(), len(found), near_dedup.sketch(found).tolist()))
+    sets = spark.createDataFrame(rows, "doc_id long, found array<long>, n long, sketch array<long>")
+    rare = near_dedup._rarest(sets, sets.selectExpr("doc_id AS rep", "doc_id AS component"), 85, ("sketch",))
+    pairs = {(x.rep, x.o) for x in near_dedup._pairs_of(rare, 85).collect()}
+    assert {(0, n), (1, n + 1)} <= pairs and len(pairs) <= n // 10
+    members = rare.select("e", "rep")
+    assert members.join(members.withColumnRenamed("rep", "o"), "e").filter("rep < o").select("rep", "o").distinct().count() > n * n // 20
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs(spark, texts), 3, 85).collect()}
+    assert got == {d: c for d, (_, c) in near(list(enumerate(texts)), 3, 85).items()}
+
+
+def test_near_sketch_refuses_no_similar_sets():
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    for n in (1, 3, 40, 700, 20_000):
+        for _ in range(20):
+            a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[: len(a) - r.integers(0, len(a) + 1)], r.integers(0, 2**63, r.integers(0, n + 1), dtype=np.uint64)]))
+            cells = sum(int(v).bit_count() for v in (near_dedup.sketch(a) ^ near_dedup.sketch(b)).view(np.uint64))
+            assert cells <= len(np.setxor1d(a, b))
+
+
 def test_near_on_documents(spark):
     table = spark.read.parquet(f"{ROOT}/sf0.01/documents.parquet").select("doc_id", "text")
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in queries.QUERIES["op3_minhash_near_dedup"](spark, f"{ROOT}/sf0.01").collect()}
