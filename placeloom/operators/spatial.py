@@ -9,7 +9,7 @@ result; the order of a group is that of its ranks.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
 from functools import reduce
 
@@ -198,32 +198,87 @@ def plan_days(points: np.ndarray, districts: np.ndarray, days: int, start: np.nd
     return order_days(points, segments, start)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _nearest(here: Column, places: Column, key: str) -> Column:
+    """The ``key`` of the nearest of ``places`` (sums lat and lng of n points); ties to the smallest key; null if there are none."""
+    centre = lambda p: (p["lat"] / p["n"], p["lng"] / p["n"])
+    away = lambda p: F.struct(haversine(here["lat"] / F.greatest(here["n"], F.lit(1)), here["lng"] / F.greatest(here["n"], F.lit(1)), *centre(p)).alias("km"), p[key].alias("key"))
+    return F.array_min(F.transform(places, away))["key"]
+
+
+def _days(clusters: Column, days: Column) -> Column:
+    """n, day, least (points of the smallest cluster) and sums lat and lng of each day's points; a day without clusters has zeros."""
+
+    def day(d: Column) -> Column:
+        own = F.filter(clusters, lambda c: c["day"] == d)
+        total = lambda x, name, zero: F.aggregate(x, zero, lambda t, c: t + c[name])
+        sums = lambda x: F.struct(total(x, "n", F.lit(0).cast("long")).alias("n"), d.alias("day"), F.array_min(F.transform(x, lambda c: c["n"])).alias("least"), *(total(x, c, F.lit(0.0)).alias(c) for c in ("lat", "lng")))
+        return _let(own, sums)
+
+    return F.transform(F.filter(F.sequence(F.lit(0), days), lambda d: d > 0), day)
+
+
+def _absorbed(clusters: Column) -> Column:
+    """Clusters after urban single points, in the order of their numbers, have joined the nearest larger urban one, whose centre moves with them."""
+
+    def join(found: Column, p: Column) -> Column:
+        grown = lambda c: c.withField("n", c["n"] + 1).withField("lat", c["lat"] + p["lat"]).withField("lng", c["lng"] + p["lng"]).withField("ids", F.concat(c["ids"], p["ids"]))
+        return _let(_nearest(p, found, "cluster"), lambda goal: F.transform(found, lambda c: F.when(c["cluster"] == goal, grown(c)).otherwise(c)))
+
+    larger, alone = F.filter(clusters, lambda c: c["urban"] & (c["n"] > 1)), F.filter(clusters, lambda c: c["urban"] & (c["n"] == 1))
+    joined = F.concat(F.aggregate(alone, larger, join), F.filter(clusters, lambda c: ~c["urban"]))
+    return F.when(F.size(larger) > 0, joined).otherwise(clusters)
+
+
+def _corrected(clusters: Column, days: Column, rounds: int) -> Column:
+    """Clusters after rounds in which each moves to the nearest day's centre, centres held still; once none moves, rounds change nothing."""
+
+    def turn(found: Column, _: Column) -> Column:
+        full = F.filter(_days(found, days), lambda d: d["n"] > 0)
+        return _let(full, lambda ds: F.transform(found, lambda c: F.when(c["day"].between(1, days), c.withField("day", _nearest(c, ds, "day"))).otherwise(c)))
+
+    return F.aggregate(F.array_repeat(F.lit(0), rounds), clusters, turn)
+
+
+def _filled(clusters: Column, days: Column, rounds: int, least: int) -> Column:
+    """Clusters after rounds in which the day of fewest points takes the closest cluster of the nearest day that can spare its smallest one."""
+
+    def take(found: Column, ds: Column, poor: Column) -> Column:
+        donors = F.filter(ds, lambda d: (d["day"] != poor["day"]) & (d["n"] > 0) & (d["n"] - d["least"] >= least))
+        moved = _let(_nearest(poor, donors, "day"), lambda giver: _nearest(poor, F.filter(found, lambda c: c["day"] == giver), "cluster"))
+        return _let(moved, lambda m: F.transform(found, lambda c: F.when(c["cluster"] == m, c.withField("day", poor["day"])).otherwise(c)))
+
+    def turn(found: Column, _: Column) -> Column:
+        poorest = lambda ds: F.array_min(F.transform(ds, lambda d: d))
+        return _let(_days(found, days), lambda ds: _let(poorest(ds), lambda poor: F.when(poor["n"] < least, take(found, ds, poor)).otherwise(found)))
+
+    return F.aggregate(F.array_repeat(F.lit(0), rounds), clusters, turn)
+
+
 def one_step(members: DataFrame, settings: Spatial, step: str) -> DataFrame:
     """request_id, id, day, cluster after one step ("absorbed", "corrected" or "filled") on clusters that are given.
 
-    ``members`` has request_id, id, rank, lat, lng, district, days, day (from 1) and cluster, a
+    ``members`` has request_id, id, lat, lng, district, days, day (from 1) and cluster, a
     number that is known within a request; a cluster is in one day. Clusters come in the order of
-    their numbers, and one that takes in another's point keeps its own.
+    their numbers, and one that takes in another's point keeps its own; days outside 1 to ``days`` stay as they are;
+    places without coordinates are left out. Rows are dealt by request once; a step is an expression over the sums of a request's clusters, so it runs in the JVM and
+    a round costs clusters x days, however many points the clusters have.
     """
-    spatial = asdict(settings)
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, s = rows.sort_values(["rank", "id"], kind="stable").reset_index(drop=True), Spatial(**spatial)
-        points, labels, day = rows[["lat", "lng"]].to_numpy(float), rows["cluster"].to_numpy().copy(), rows["day"].to_numpy().copy()
-        clusters = [np.flatnonzero(labels == c).tolist() for c in np.unique(labels)]
-        if step == "absorbed":
-            for members in absorb_singletons(points, rows["district"].to_numpy(), clusters, s):
-                labels[members], day[members] = labels[members[0]], day[members[0]]
-        else:
-            segments = [[c for c in clusters if day[c[0]] == d + 1] for d in range(int(rows["days"].iloc[0]))]
-            for d, segment in enumerate({"corrected": correct, "filled": fill}[step](points, segments, s)):
-                for members in segment:
-                    day[members] = d + 1
-        return pd.DataFrame({"request_id": rows["request_id"], "id": rows["id"], "day": day.astype("int32"), "cluster": labels.astype("int32")})
-
-    kinds = dict(members.dtypes)
-    slim = members.select("request_id", "id", "rank", "lat", "lng", "district", "days", "day", "cluster")
-    return slim.groupBy("request_id").applyInPandas(work, f"request_id {kinds['request_id']}, id {kinds['id']}, day int, cluster int")
+    urban = F.count_if(F.col("district").isin(*settings.urban_districts)) * 2 > F.count(F.lit(1))
+    sums = (F.count(F.lit(1)).alias("n"), F.sum("lat").alias("lat"), F.sum("lng").alias("lng"), urban.alias("urban"), F.collect_list("id").alias("ids"))
+    placed = members.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    dealt = placed.select("request_id", "id", "lat", "lng", "district", "days", F.col("day").cast("int").alias("day"), F.col("cluster").cast("int").alias("cluster")).repartition("request_id")
+    each = dealt.groupBy("request_id", "cluster").agg(F.max("days").alias("days"), F.min("day").alias("day"), *sums)
+    fields = F.struct("cluster", "day", "n", "lat", "lng", "urban", "ids")
+    requests = each.groupBy("request_id").agg(F.coalesce(F.max("days"), F.lit(0)).cast("int").alias("days"), F.sort_array(F.collect_list(fields)).alias("clusters"))
+    found, days = F.col("clusters"), F.col("days")
+    after = {"absorbed": lambda: _absorbed(found), "corrected": lambda: _corrected(found, days, settings.correction_rounds), "filled": lambda: _filled(found, days, settings.fill_rounds, settings.min_points)}[step]()
+    clusters = requests.select("request_id", F.explode(after).alias("c"))
+    return clusters.select("request_id", F.explode("c.ids").alias("id"), F.col("c.day").alias("day"), F.col("c.cluster").alias("cluster"))
 
 
 def spatial_plan(candidates: DataFrame, settings: Spatial, upto: str = "planned") -> DataFrame:

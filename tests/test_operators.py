@@ -317,6 +317,32 @@ def test_steps_on_given_clusters(spark):
     assert spatial.one_step(members.limit(0), s, "filled").count() == 0
 
 
+def test_steps_as_expressions_equal_plain_steps(spark):
+    """Random clusters of many requests after each step, against the steps on arrays; odd rows by their stated results."""
+    r, s = np.random.default_rng(5), config.Spatial(("U",), min_points=4)
+    rows, want = [], {"absorbed": {}, "corrected": {}, "filled": {}}
+    for request in range(40):
+        n, days = int(r.integers(1, 30)), int(r.integers(1, 5))
+        points, districts = np.column_stack([30 + r.random(n), 114 + r.random(n)]), np.where(r.random(n) < 0.7, "U", "R")
+        labels = r.integers(0, max(2, n // 2), n)
+        day = r.integers(1, days + 1, n + 1)[labels]
+        rows += [(request, i, float(points[i][0]), float(points[i][1]), str(districts[i]), days, int(day[i]), int(labels[i])) for i in range(n)]
+        clusters = [np.flatnonzero(labels == c).tolist() for c in np.unique(labels)]
+        for group in spatial.absorb_singletons(points, districts, clusters, s):
+            want["absorbed"] |= {(request, i): (int(day[group[0]]), int(labels[group[0]])) for i in group}
+        segments = [[c for c in clusters if day[c[0]] == d + 1] for d in range(days)]
+        for step, after in (("corrected", spatial.correct), ("filled", spatial.fill)):
+            want[step] |= {(request, i): (d + 1, int(labels[i])) for d, segment in enumerate(after(points, segments, s)) for c in segment for i in c}
+    odd = [(90, 1, None, 114.0, "U", 2, 1, 1), (90, 2, 30.0, 114.0, None, 2, 9, 2), (91, 1, 30.0, 114.0, "U", 0, 1, 1), (None, 1, 30.0, 114.0, "U", 1, 1, 1)]
+    members = spark.createDataFrame(rows + odd, "request_id long, id long, lat double, lng double, district string, days int, day int, cluster int")
+    left = {(90, 2): (9, 2), (91, 1): (1, 1), (None, 1): (1, 1)}
+    for step, expected in want.items():
+        found = spatial.one_step(members, s, step).collect()
+        assert len(found) == len(rows) + len(left) and {(x.request_id, x.id): (x.day, x.cluster) for x in found} == expected | left, step
+    still = config.Spatial(("U",), correction_rounds=0)
+    assert {(x.request_id, x.id): x.day for x in spatial.one_step(members, still, "corrected").collect()} == {(x[0], x[1]): x[6] for x in rows + odd[1:]}
+
+
 def test_mentions_by_start(spark):
     texts = spark.createDataFrame([(1, "去黄鹤楼看看 ab"), (2, None)], "id long, text string")
     names = spark.createDataFrame([("黄鹤楼公园",), ("黄鹤",), ("abc",), ("ab",)], "name string")
