@@ -9,9 +9,7 @@ the guard aren't judged by their histograms, as theirs are too thin.
 Defined cases: a null text has no words, so it fails the base rules; a language that isn't in
 COMMON_WORDS has its own reference, of characters only; documents whose language is null or has too
 few good documents aren't judged by histograms; repeated rows are judged alike; an empty table
-gives an empty result; input columns named like an output column give way to it. OP9_SQL still sums
-all languages that are null or not in COMMON_WORDS into one reference, and has no MIN_REFERENCE: it
-says the same only of tables without such languages.
+gives an empty result; input columns named like an output column give way to it.
 """
 
 from __future__ import annotations
@@ -152,7 +150,7 @@ def _sql() -> str:
     count = lambda pattern: f"len(regexp_extract_all(t, '{pattern.replace(chr(39), chr(39) * 2)}'))"
     langs = ", ".join(f"('{k}', {i}, '{w}')" for k, ws in COMMON_WORDS.items() for i, w in enumerate(ws))
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({", ".join(f"'{k}'" for k in COMMON_WORDS)}) THEN lang ELSE '' END AS lang FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, lang FROM documents),
 w AS (SELECT r, lang, unnest(regexp_extract_all(t, '{word}')) AS w, generate_subscripts(regexp_extract_all(t, '{word}'), 1) AS i FROM d),
 g AS (SELECT r, i, lead(i, 7) OVER o AS e, concat_ws(' ', w, {", ".join(f"lead(w, {j}) OVER o" for j in range(1, 8))}) AS g FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
 f AS (SELECT r, g FROM g WHERE e IS NOT NULL GROUP BY r, g HAVING count(*) > 1),
@@ -165,7 +163,8 @@ v(lang, k, w) AS (VALUES {langs}),
 h AS (SELECT w.r, v.k, count(*)::DOUBLE AS n FROM w JOIN v ON w.lang = v.lang AND translate(w.w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = v.w GROUP BY ALL),
 c AS (SELECT r, 0 AS kind, unnest(range(7)) AS k, unnest([{", ".join(count(k) for k in kinds)}])::DOUBLE AS n FROM d
   UNION ALL SELECT r, 1, k, n FROM h UNION ALL SELECT x.r, 1, 99, n_words - coalesce(sum(n), 0) FROM x LEFT JOIN h ON x.r = h.r GROUP BY x.r, n_words),
-q AS (SELECT x.lang, kind, k, sum(n) AS n FROM c JOIN x ON c.r = x.r WHERE NOT base_failed AND n_words >= {GUARD_WORDS} GROUP BY ALL),
+gl AS (SELECT lang FROM x WHERE NOT base_failed AND n_words >= {GUARD_WORDS} AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= {MIN_REFERENCE}),
+q AS (SELECT x.lang, kind, k, sum(n) AS n FROM c JOIN x ON c.r = x.r JOIN gl ON x.lang = gl.lang WHERE NOT base_failed AND n_words >= {GUARD_WORDS} GROUP BY ALL),
 q1 AS (SELECT lang, kind, k, n / sum(n) OVER (PARTITION BY lang, kind) AS q FROM q),
 dp AS (SELECT x.r, x.lang, z.kind, z.k, z.q FROM x JOIN q1 z ON x.lang = z.lang WHERE n_words >= {GUARD_WORDS}),
 dk AS (SELECT dp.*, coalesce(c.n, 0) / s.n AS p FROM dp LEFT JOIN c ON dp.r = c.r AND dp.kind = c.kind AND dp.k = c.k JOIN (SELECT r, kind, sum(n) AS n FROM c GROUP BY ALL) s ON dp.r = s.r AND dp.kind = s.kind WHERE s.n > 0),

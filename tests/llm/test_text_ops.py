@@ -1,6 +1,8 @@
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from placeloom.llm import byte_bpe, chat, mixing, quality_classifier, quality_rules, queries, sharding
@@ -235,6 +237,11 @@ def test_rules_judge_each_language_by_itself(spark):
     out = quality_rules.judged(quality_rules.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect()
     assert len(out) == len(rows) and not any(x.base_failed or x.n_words < quality_rules.GUARD_WORDS for x in out)
     assert sorted(x.doc_id for x in out if not x.kept) == [60, 61]
+    frame = pd.DataFrame([*rows, (300, None, "it"), (301, "", None)], columns=["doc_id", "text", "lang"])
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
+    con.execute("INSERT INTO documents SELECT doc_id, text, lang FROM frame")
+    assert {x[0] for x in con.execute(f"SELECT doc_id FROM ({quality_rules.OP9_SQL}) WHERE NOT kept").fetchall()} == {60, 61, 300, 301}
 
 
 def test_rules_keep_clean_documents(spark):
