@@ -9,11 +9,12 @@ the same place, and the suffixes that start there have a common prefix of ``gram
 Consecutive strings with one anchor form a run. The hash only chooses anchors; nothing is taken for
 equal because of it.
 
-A batch of documents gets a suffix array: the first ``gram`` bytes of its sampled suffixes, each
-once with the number of its occurrences, in the order of bytes. It is a bucketed and sorted table,
-so a merge-scan of two arrays is a sort-merge join without an exchange. A new array is merge-scanned
-against all levels for common prefixes, and enters the family: arrays of equal size merge, in
-order, into one twice as large, so each suffix is rewritten as often as the logarithm of the number
+A batch of documents gets a sparse suffix array: the first ``gram`` bytes of its sampled suffixes, each
+once with the number of its occurrences. It is a table dealt to buckets by hash and in the order of bytes
+only within a bucket, so neighbours of the whole order may lie in different buckets, and only prefixes of
+exactly ``gram`` bytes are found in it. A merge-scan of two arrays is a join on these without an exchange; Spark
+sorts both sides again. A new array is merge-scanned against all levels, and enters the family: arrays of equal size merge
+(added up by suffix, written and sorted anew) into one twice as large, so each suffix is rewritten as often as the logarithm of the number
 of batches. What has been merged is deleted.
 
 The occurrences of matched suffixes are then extended to both sides. Runs whose bytes agree as a
