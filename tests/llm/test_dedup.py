@@ -226,6 +226,30 @@ def test_repeats_cases(spark):
     assert sorted((x.doc_id or -1, x.n_bytes, x.n_bytes - x.n_removed) for x in out) == [(-1, 900, 0), (-1, 900, 0), (5, 0, 0), (5, 901, 1)]
 
 
+def test_query_shows_what_is_left_of_planted_passages(spark, tmp_path):
+    """Of passages of over 50 words in three documents each, those of 400 bytes or more are gone; all else stays, in any language."""
+    r = random.Random(8)
+    words = lambda n, letters, size: " ".join("".join(r.choice(letters) for _ in range(size)) for _ in range(n))
+    english, french = "abcdefghijklmnop", "abcdeéèçêuonrtl"
+    passages = [words(n, letters, size) for letters in (english, french) for n, size in ((55, 8), (120, 5), (51, 3))]
+    texts, left = [None, ""], ["", ""]
+    for i, passage in enumerate(passages * 3):
+        # A letter of its own on either side, so that the passage alone is repeated.
+        before, after = words(80, english, 6) + chr(65 + i), chr(65 + i) + words(30, french, 6)
+        texts.append(before + passage + after)
+        left.append(before + after if len(passage.encode()) >= 400 else texts[-1])
+    assert sum(x != (y or "") for x, y in zip(left, texts)) == 12
+    clean = [words(300, letters, 6) for letters in (english, french) for _ in range(4)]
+    # Repeated up to the first byte of two characters; their second bytes, which stay, are no characters.
+    cut = words(60, english, 8)
+    texts += [*clean, f"X{cut}é.", f"Y{cut}è,"]
+    left += [*clean, "X\ufffd.", "Y\ufffd,"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in queries.QUERIES["op4_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    assert {i: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for i, x in got.items()} == repeats(list(enumerate(texts)), 400)
+    assert {i: x.text for i, x in got.items()} == dict(enumerate(left))
+
+
 def test_lines_templates_and_cases(spark):
     notice = "Printed on page {} of volume {} by the old press"
     bodies = [f"Chapter about {WORDS[i]} and {WORDS[i + 1]} here\n{notice.format(i, i * 3)}\n\nok" for i in range(8)]
