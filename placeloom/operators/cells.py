@@ -8,7 +8,8 @@ their members by tables of distances to codewords, and computes exact distances
 RERANK x k of them. How many lists it takes is measured when the index is written: as many as hold
 RECALL of the true nearest vectors of sampled ones, found by brute force.
 
-Work is dealt out by list; long lists and many queries of one list are cut into chunks. Only
+Work is dealt out by bundles of neighbouring lists, which return their best members per query, not those of each list; large
+bundles and many queries of one are cut into chunks. Only
 centroids and codewords are sent to all tasks: MOST_LISTS and 256 vectors at most.
 
 Defined cases: vectors have one length and no nulls; a null city is found only by searches that don't ask for one;
@@ -28,14 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.operators.retrieve import squared_l2, top_k, vector_topk
+from placeloom.operators.tiles import tiled
 from placeloom.session import written
 
 #: Vectors that centroids and codewords are fitted on, rounds of fitting, the largest number of lists, and numbers in a part of a vector.
 FIT_ROWS, ROUNDS, MOST_LISTS, PART_DIMS = 65_536, 8, 4_096, 4
 #: Sampled queries, neighbours of each and the share of these that the lists read must hold; exact distances per wanted row.
 SAMPLED, NEIGHBOURS, RECALL, RERANK = 200, 20, 0.97, 10
-#: Members and queries of a list that a task compares at once.
-CHUNK = 20_000
+#: Members of a bundle of lists and queries of it that meet in one group, and rough distances held at once.
+CHUNK, QUERIES, ROUGH = 65_536, 1_024, 1 << 22
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -186,33 +188,46 @@ def search_cells(index: VectorIndex, queries: DataFrame, k: int, city: bool = Fa
 
     kind = queries.schema["vector"].dataType.simpleString()
     asked = written(queries.select("query_id", own.alias("city"), "vector").mapInArrow(probed, f"query_id long, city string, vector {kind}, lists array<int>"))
-    hits = asked.select("query_id", "city", "vector", F.explode("lists").alias("cell"))
-    chunk = lambda n: F.ceil(F.count(F.lit(1)) / n).cast("int")
-    sizes = index.vectors.groupBy("cell").agg(chunk(CHUNK).alias("_m")).join(hits.groupBy("cell").agg(chunk(CHUNK).alias("_q")), "cell")
-    sizes = F.broadcast(written(sizes))  # a row per list
-    spread = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = index.vectors.select("id", "city", "cell", "code").join(sizes, "cell").select("cell", spread(F.col("id"), F.col("_m")).alias("m"), every(F.col("_q")).alias("q"), "id", "city", "code")
-    right = hits.join(sizes, "cell").select("cell", every(F.col("_m")).alias("m"), spread(F.col("query_id"), F.col("_q")).alias("q"), "query_id", "city", "vector")
+    wide = max(1, math.ceil(len(cells.centroids) * CHUNK / max(1, index.vectors.count())))  # lists of a bundle
+    bundle = F.floor(F.col("cell") / wide).cast("int").alias("bundle")
+    members = index.vectors.select(bundle, "id", "city", "cell", "code")
+    of = lambda x: F.floor(x / wide).cast("int")
+    hits = asked.select("query_id", "city", "vector", "lists", F.explode(F.array_distinct(F.transform("lists", of))).alias("bundle"))
+    hits = hits.withColumn("lists", F.filter("lists", lambda x: of(x) == F.col("bundle")))
 
     def ranked(members: pa.Table, queries: pa.Table) -> pa.Table:
+        """The best of a bundle's members for each query, by tables of distances to codewords; few queries at once."""
         found: tuple[list, list, list] = ([], [], [])
         if len(members) and len(queries):
-            ids, codes = np.asarray(members["id"]), np.frombuffer(b"".join(members["code"].to_pylist()), np.uint8).reshape(len(members), -1)
-            cities, centroid = np.array(members["city"].to_pylist(), object), cells.centroids[members.column("cell")[0].as_py()]
-            rest = cells.parts(matrix(queries["vector"]) - centroid)
-            tables = np.stack([apart(p, w) for p, w in zip(rest, cells.codewords)], 1)  # [query, part, code]
-            for q, mine, table in zip(queries["query_id"].to_pylist(), queries["city"].to_pylist(), tables):
-                some = np.flatnonzero(cities == mine) if city else np.arange(len(ids))
-                rough = table[np.arange(codes.shape[1]), codes[some]].sum(1)
-                keep = np.argpartition(rough, best - 1)[:best] if len(rough) > best else np.arange(len(rough))
-                for values, x in zip(found, (np.full(len(keep), q), ids[some[keep]], rough[keep])):
-                    values.append(x)
+            members = members.sort_by("cell")
+            ids, of = np.asarray(members["id"]), np.asarray(members["cell"])
+            codes = np.ascontiguousarray(np.frombuffer(b"".join(members["code"].to_pylist()), np.uint8).reshape(len(members), -1).T)
+            cities, vectors, lists = np.array(members["city"].to_pylist(), object), matrix(queries["vector"]), queries["lists"].to_pylist()
+            ends = np.append(np.flatnonzero(np.diff(of, prepend=of[0] - 1)), len(of))
+            step = max(1, ROUGH // len(ids))
+            for first in range(0, len(vectors), step):
+                some = range(first, min(first + step, len(vectors)))
+                rough = np.full((len(some), len(ids)), np.inf)
+                asks: dict[int, list[int]] = {}
+                for i in some:
+                    for c in lists[i]:
+                        asks.setdefault(c, []).append(i)
+                for start, end in zip(ends[:-1], ends[1:]):
+                    mine = np.array(asks.get(int(of[start]), []), int)
+                    if len(mine):
+                        rest = cells.parts(vectors[mine] - cells.centroids[of[start]])
+                        rough[mine - first, start:end] = sum(apart(p, w)[:, c] for p, w, c in zip(rest, cells.codewords, codes[:, start:end]))
+                for i in some:
+                    row, at = rough[i - first], queries["city"][i].as_py()
+                    keep = np.flatnonzero(np.isfinite(row) & (cities == at)) if city else np.flatnonzero(np.isfinite(row))
+                    if len(keep) > best:
+                        keep = keep[np.argpartition(row[keep], best - 1)[:best]]
+                    for values, x in zip(found, (np.full(len(keep), queries["query_id"][i].as_py()), ids[keep], row[keep])):
+                        values.append(x)
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(found, kinds)], ["query_id", "id", "rough"])
 
-    keys = ("cell", "m", "q")
-    rough = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(ranked, "query_id long, id long, rough double")
+    rough = tiled(members, hits, ranked, "query_id long, id long, rough double", (CHUNK, min(CHUNK, QUERIES)), ("id", "query_id"), "bundle")
     few = top_k(rough, best, F.col("rough"), F.col("id")).select("query_id", "id")
     exact = few.join(index.vectors.select("id", "embedding"), "id").join(queries.select("query_id", "vector"), "query_id")
     distance = F.round(squared_l2(F.col("embedding"), F.col("vector")), 9)

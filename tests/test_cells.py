@@ -40,3 +40,15 @@ def test_few_vectors(spark, tmp_path):
     assert cells.search_cells(none, queries.limit(0), 3).count() == 0
     two = cells.write_cells(spark.createDataFrame([(1, [0.0, 1.0, 0.0]), (2, [5.0, 1.0, 1.0])], kind), str(tmp_path / "two"))
     assert ranked(cells.search_cells(two, queries, 3, probes=2)) == {1: [(1, 0.0), (2, 26.0)]}
+
+
+def test_a_query_gets_rows_per_bundle_not_per_list(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(2)
+    vectors = spark.createDataFrame([(i, [float(x) for x in r.normal(size=8)]) for i in range(2000)], "id long, embedding array<float>")
+    queries = vectors.filter("id % 200 = 0").selectExpr("id AS query_id", "embedding AS vector")
+    made = cells.write_cells(vectors, str(tmp_path))
+    seen, top_k = [], cells.top_k
+    monkeypatch.setattr(cells, "top_k", lambda df, *more: (seen.append(df), top_k(df, *more))[1])
+    monkeypatch.setattr(cells, "RERANK", 2)
+    found = ranked(cells.search_cells(made, queries, 5, probes=len(made.cells.centroids)))
+    assert seen[0].count() == 10 * 2 * 5 and all(len(x) == 5 for x in found.values())
