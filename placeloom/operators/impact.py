@@ -67,9 +67,10 @@ def _write_blocks(postings: DataFrame, at: str) -> None:
     name = at.rsplit("/", 1)[-1]
     placed = postings.withColumn("long", lengths).join(F.broadcast(counts.withColumnsRenamed({"group": "_g", "long": "_l"})), F.col("group").eqNullSafe(F.col("_g")) & (F.col("long") == F.col("_l")))
     key = F.xxhash64(F.lit(name), "group", "long", F.pmod(F.xxhash64("id"), F.col("ranges")))
-    entry = F.struct("id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
-    blocks = placed.groupBy("term", key.alias("range"), "group").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").cast("int").alias("most"), F.min("dl").cast("int").alias("least"), F.collect_list(entry).alias("postings"))
-    blocks.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(at)
+    # Dealt by ranges of terms at once, so the one exchange of postings serves their grouping and the files' order.
+    dealt = placed.select("term", key.alias("range"), "group", "id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")).repartitionByRange("term")
+    blocks = dealt.groupBy("term", "range", "group").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.collect_list(F.struct("id", "tf", "dl")).alias("postings"))
+    blocks.sortWithinPartitions("term").write.mode("overwrite").parquet(at)
 
 
 def _publish(spark: SparkSession, path: str, version: int, rows: list[tuple], bigrams: bool, words: bool, epsilon: float) -> None:
@@ -104,12 +105,13 @@ def add_documents(docs: DataFrame, path: str, text: str = "text", bigrams: bool
     lexicon = spark.read.parquet(f"{path}/lexicon") if words else None
     name, new = uuid.uuid4().hex, f"{path}/parts"
     of = F.lit(None).cast("string") if group is None else F.col(group)
-    each = terms_of(docs.select("id", of.alias("group"), F.col(text).alias("text")), "text", bigrams, lexicon, "id", "group")
-    each.groupBy("id", "group", "term").agg(F.count(F.lit(1)).alias("tf")).write.mode("overwrite").parquet(f"{new}/{name}")
+    # Texts are dealt by id, and their terms are counted where they lie: a text travels once, its postings don't.
+    texts = docs.select("id", of.alias("group"), F.col(text).alias("text")).repartition("id")
+    each = terms_of(texts, "text", bigrams, lexicon, "id", "group").groupBy("id", "group", "term").agg(F.count(F.lit(1)).alias("tf"))
+    each.withColumn("dl", F.sum("tf").over(Window.partitionBy("id"))).write.mode("overwrite").parquet(f"{new}/{name}")
     counted = spark.read.parquet(f"{new}/{name}")
-    lengths = counted.groupBy("id").agg(F.sum("tf").alias("dl"))
-    _write_blocks(counted.join(lengths, "id"), f"{path}/blocks/{name}")
-    rows = [(r.segment, r.docs, r.total) for r in held] + [(name, docs.count(), lengths.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0])]
+    _write_blocks(counted, f"{path}/blocks/{name}")
+    rows = [(r.segment, r.docs, r.total) for r in held] + [(name, docs.count(), counted.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0])]
     rows = [r for r in rows if r[1]] or rows[:1]
     while True:
         rows.sort(key=lambda r: (r[1], r[0]))

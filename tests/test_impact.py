@@ -70,3 +70,17 @@ def test_empty_and_words(spark, tmp_path):
     assert [x.id for x in impact.top(made, queries, 5).orderBy("rank").collect()] == [1, 11]
     index.write_bm25_index(docs, str(tmp_path / "plain"), lexicon=lexicon)
     assert [x.id for x in retrieve.bm25_topk(index.Bm25Index.read(spark, str(tmp_path / "plain")), queries, 5).collect()] == [1]
+
+
+def test_postings_travel_once(spark, tmp_path, monkeypatch):
+    """Of the two tables written, the terms need the texts' exchange only, and the blocks one of postings by ranges of terms."""
+    from pyspark.sql import readwriter
+
+    plans, write = {}, readwriter.DataFrameWriter.parquet
+    monkeypatch.setattr(readwriter.DataFrameWriter, "parquet", lambda self, at, *more, **how: (plans.update({at: self._df._jdf.queryExecution().executedPlan().toString()}), write(self, at, *more, **how))[1])
+    docs = spark.createDataFrame(corpus(4, 200), SCHEMA)
+    impact.add_documents(docs, str(tmp_path), group="city")
+    parts, blocks = (next(p for at, p in plans.items() if f"{tmp_path}/{name}/" in at) for name in ("parts", "blocks"))
+    assert parts.count("Exchange hashpartitioning") == 1 and "Exchange rangepartitioning" not in parts
+    of_postings = [line for line in blocks.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert sum("rangepartitioning" in line for line in of_postings) == 1 and not any("hashpartitioning(term" in line for line in of_postings)
