@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeloom.config import BM25_B, BM25_EPSILON, BM25_K1, TEXT_TEMPLATE
 from placeloom.functions.text import alias_text, build_text, clean_type, display_name, parse_level, parse_location, tokens
+from placeloom.operators.blocks import if_few
 from placeloom.operators.segment import dictionary, segment
+from placeloom.session import written
 
 
 def build_documents(merged: DataFrame, template: str = TEXT_TEMPLATE) -> DataFrame:
@@ -103,18 +105,25 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = BM25_K1, b: fl
     With ``docs`` (id, city) only documents of the query's city count. Queries are cut into terms as
     the index was. The asked terms are counted: if they are few they go to the postings, which are
     scanned where they are, so only postings of asked terms travel: once, to the lengths of their
-    documents. There they meet the queries and are summed, in place.
+    documents. There they meet the queries and are summed, in place. What is summed grows with the
+    different queries; those of the same terms get their rows by a join.
     """
     city = [] if docs is None else ["city"]
-    asked = terms_of(queries, "query", index.bigrams, index.lexicon, "query_id", *city).groupBy("query_id", *city, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    cut = terms_of(queries, "query", index.bigrams, index.lexicon, "query_id", *city).groupBy("query_id", *city, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    # Queries of the same terms have the same scores: one of them is scored, and its rows are told to all.
+    bags = cut.groupBy("query_id", *city).agg(F.sort_array(F.collect_list(F.struct("term", "qtf"))).alias("bag"))
+    alike = written(bags.select("query_id", *city, "bag", F.min("query_id").over(Window.partitionBy("bag", *city)).alias("first")))
+    firsts = alike.filter(F.col("query_id") == F.col("first")).dropDuplicates(["first", *city])
+    asked = firsts.select("first", *city, F.inline("bag"))
     few = (lambda df: F.broadcast(df)) if asked.count() <= ASKED_ROWS else (lambda df: df)
-    asked = asked.join(index.terms, "term").select("query_id", *city, "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    asked = asked.join(index.terms, "term").select("first", *city, "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     lengths = index.lengths if docs is None else index.lengths.join(docs.select("id", "city"), "id")
     found = index.postings.join(few(asked.select("term").distinct()), "term", "left_semi").join(lengths, "id").join(F.broadcast(index.sums))
     part = found.select("id", *city, "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))).alias("part"))
     hits = part.join(few(asked), ["term", *city])
     # Rounded, so that texts that are copies tie in whatever order their terms are summed.
-    return hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("part")), 6).alias("score")).filter("score > 0")
+    scored = hits.groupBy("first", "id", *city).agg(F.round(F.sum(F.col("weight") * F.col("part")), 6).alias("score")).filter("score > 0")
+    return scored.join(if_few(alike.select("query_id", "first", *city)), ["first", *city]).select("query_id", "id", "score")
 
 
 def archive(docs: DataFrame, path: str) -> None:

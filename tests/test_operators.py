@@ -188,6 +188,22 @@ def test_index_written_from_its_postings(spark, tmp_path):
     assert {(x.query_id, x.id) for x in every} >= {(1, 1), (2, 2)} and {(x.query_id, x.id) for x in own} == {(x.query_id, x.id) for x in every if x.id == 1}
 
 
+def test_queries_of_the_same_terms_are_scored_once(spark, monkeypatch):
+    """In each city; terms in another order are the same, terms asked twice are not, and every query gets all its rows."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3} x", "uv"[i % 2]) for i in range(60)], "id long, text string, city string")
+    asked = [(i, ("w1 w2", "w2 w1", "w1 w1 w2", "w4", "none")[i % 5], "uv"[i % 2]) for i in range(40)]
+    made, written, seen = index.bm25_index(docs), index.written, []
+    monkeypatch.setattr(index, "written", lambda df: seen.append(written(df)) or seen[-1])
+    schema = "query_id long, query string, city string"
+    rows = lambda queries, d: sorted(map(tuple, index.bm25_scores(made, spark.createDataFrame(queries, schema), docs=d).collect()))
+    for d, groups in ((None, 4), (docs, 8)):
+        every = rows(asked, d)
+        assert seen[-1].select("first").distinct().count() == groups
+        for q in asked[:10]:
+            own = rows([q], d)
+            assert own == [x for x in every if x[0] == q[0]]
+
+
 def test_spatial_edges():
     s = config.Spatial(("D0",))
     same = np.zeros((23, 2))
